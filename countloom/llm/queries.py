@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, secrets, simhash_dedup
+from . import chat, decontaminate, langid, secrets, sentencepiece_scan, simhash_dedup
 from .common import table
 
 
@@ -31,6 +31,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = sentencepiece_scan.decode(sentencepiece_scan.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    same = F.col("decoded").eqNullSafe(F.translate(F.coalesce("text", F.lit("")), "\u2581", " "))
+    ids = F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256")
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids, F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -42,5 +53,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op4_chat_formatting, op5_language_id, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op4_chat_formatting, op5_language_id, op6_sentencepiece, op7_benchmark_decontamination, op10_secret_scans)}
 ORACLE_SQL: dict[str, str] = {}
