@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import TOKENIZERS, stage
 
@@ -299,7 +300,7 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, chunk: int =
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 yield pa.record_batch([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=[*columns, "ids"])
 
-    schema = docs.schema.add("ids", "array<int>")
+    schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))])
     big = F.coalesce(F.char_length("text") > giant, F.lit(False))
     ordinary = docs.where(~big).mapInArrow(short, schema)
     giants = stage(docs.where(big).withColumn("__row", F.monotonically_increasing_id()), "giants")
@@ -323,4 +324,4 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
                 texts = [None if x.values is None else p.decode(x.values.to_numpy()) for x in part.column(at)]
                 yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=[*columns, "decoded"])
 
-    return encoded.mapInArrow(run, encoded.schema.add("decoded", "string"))
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
