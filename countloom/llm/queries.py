@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, secrets, sentencepiece_scan, simhash_dedup
+from . import chat, cover_dedup, decontaminate, langid, rlbwt_dedup, secrets, sentencepiece_scan, simhash_dedup
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = rlbwt_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -42,6 +47,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = cover_dedup.dedup_windows(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -53,5 +63,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op4_chat_formatting, op5_language_id, op6_sentencepiece, op7_benchmark_decontamination, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_simhash_dedup, op4_chat_formatting, op5_language_id, op6_sentencepiece, op7_benchmark_decontamination, op9_substring_dedup, op10_secret_scans)}
 ORACLE_SQL: dict[str, str] = {}

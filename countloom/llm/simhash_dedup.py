@@ -72,10 +72,9 @@ def _star(own: np.ndarray, every: np.ndarray, radius: int) -> np.ndarray:
         for i in range(0, len(own), BLOCK):
             for j in range(0, len(every), BLOCK * 4):
                 near = np.bitwise_count(own[i : i + BLOCK, None] ^ every[None, j : j + BLOCK * 4]) <= radius
-                mine, theirs = label[i : i + BLOCK], label[j : j + BLOCK * 4]
-                low = np.where(near, np.minimum(mine[:, None], theirs[None, :]), len(every))
-                label[i : i + BLOCK] = np.minimum(mine, low.min(axis=1))
-                label[j : j + BLOCK * 4] = np.minimum(label[j : j + BLOCK * 4], np.where(near, label[i : i + BLOCK, None], len(every)).min(axis=0))
+                rows, cols = slice(i, i + len(near)), slice(j, j + near.shape[1])
+                label[rows] = np.minimum(label[rows], np.where(near, label[None, cols], len(every)).min(axis=1))
+                label[cols] = np.minimum(label[cols], np.where(near, label[rows, None], len(every)).min(axis=0))
         label = label[label]
         if (label == before).all():
             return label

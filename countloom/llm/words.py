@@ -12,7 +12,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 PIECE = 1 << 20
 
 
-@functools.lru_cache(4)
+@functools.lru_cache(12)
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64, n of each."""
     inverse = pow(base, -1, 1 << 64)
@@ -23,7 +23,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = int(BASE)) -> np.ndarray:
     """Polynomial hash, mixed, of values[start:end] for each pair; ``values`` are 64-bit."""
-    up, down = powers(base, 1 << max(12, int(len(values)).bit_length()))
+    up, down = powers(base, 1 << max(16, int(len(values)).bit_length()))
     prefix = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=prefix[1:])
     return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
