@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cover_dedup, decontaminate, langid, rlbwt_dedup, secrets, sentencepiece_scan, simhash_dedup
+from . import chat, cover_dedup, decontaminate, langid, rlbwt_dedup, secrets, sentencepiece_scan, simhash_dedup, vector_graph
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -63,5 +67,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_simhash_dedup, op4_chat_formatting, op5_language_id, op6_sentencepiece, op7_benchmark_decontamination, op9_substring_dedup, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_simhash_dedup, op4_chat_formatting, op5_language_id, op6_sentencepiece, op7_benchmark_decontamination, op9_substring_dedup, op10_secret_scans)}
 ORACLE_SQL: dict[str, str] = {}
