@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cover_dedup, decontaminate, langid, rlbwt_dedup, secrets, sentencepiece_scan, simhash_dedup, vector_graph
-from .common import table
+from . import chat, cover_dedup, decontaminate, langid, rlbwt_dedup, secrets, sentencepiece_scan, simhash_dedup, training_order, vector_graph
+from .common import shared_dir, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +53,13 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/countloom/training-order-{uuid.uuid4().hex}"
+    training_order.materialise(table(spark, sf_dir, "documents"), path)
+    got = training_order.read(spark, path)
+    return got.select("slot", "sequence", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = cover_dedup.dedup_windows(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -67,5 +76,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_simhash_dedup, op4_chat_formatting, op5_language_id, op6_sentencepiece, op7_benchmark_decontamination, op9_substring_dedup, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_simhash_dedup, op4_chat_formatting, op5_language_id, op6_sentencepiece, op7_benchmark_decontamination, op8_training_order, op9_substring_dedup, op10_secret_scans)}
 ORACLE_SQL: dict[str, str] = {}
