@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64
+from .repeats import grouped
 from .words import normal_words, shingles
 
 #: Items of a block that is sent to the executors at once: at most about this many bytes of text.
@@ -48,7 +49,7 @@ class Items:
         self.ids, self.sizes, self.bags, fps = [], [], [], []
         places: dict[int, dict[int, set[tuple[int, int]]]] = {}
         for item, text in items:
-            words = normal_words(text or "")
+            words = normal_words([text or ""])[0]
             if not len(words):
                 continue
             w = min(width, len(words))
@@ -78,6 +79,18 @@ class Items:
         found = np.unique(np.concatenate([self.table[k][(fp >> (BITS * k)) & 255] for k in range(BLOCKS)]))
         return found[np.bitwise_count(self.fps[found] ^ np.uint64(fp)) <= self.radius]
 
+    def maybe_in(self, words: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Which of the documents, that have ``count`` of the ``words`` each, share a shingle with an item."""
+        last = np.cumsum(count)
+        found = np.zeros(len(count), bool)
+        for w, keys in self.sorted.items():
+            h = shingles(words, w)
+            hits = np.flatnonzero(self.maybe[w][h >> np.uint64(44)])
+            hits = hits[np.isin(h[hits], keys)]
+            owner = np.searchsorted(last, hits, "right")
+            found[owner[hits + w <= last[owner]]] = True
+        return found
+
     def matches(self, words: np.ndarray, similarity: float) -> dict[int, tuple[float, int, int]]:
         """item index -> best (similarity, start word, window size) in a document."""
         best: dict[int, tuple[float, int, int]] = {}
@@ -129,10 +142,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity
             of = shared.value
             for b in batches:
                 rows = []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    if text:
-                        found = of.matches(normal_words(text), similarity)
-                        rows += [(doc, of.ids[i], *found[i]) for i in sorted(found)]
+                docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+                for lo, hi in grouped([len(t) for t in texts]):
+                    words, count = normal_words(texts[lo:hi])
+                    end = np.cumsum(count)
+                    for k in np.flatnonzero(of.maybe_in(words, count)).tolist():
+                        found = of.matches(words[end[k] - count[k] : end[k]], similarity)
+                        rows += [(docs[lo + k], of.ids[i], *found[i]) for i in sorted(found)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
 

@@ -41,20 +41,31 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def normal_words(text: str) -> np.ndarray:
-    """A hash for each word of the lower-cased text; words are runs of letters and digits."""
-    out = []
-    text = text.lower()
+@functools.lru_cache(1)
+def character_values() -> np.ndarray:
+    """A 64-bit value for each code point."""
+    return mix64(np.arange(1, 0x110001, dtype=np.uint64))
+
+
+def normal_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of the lower-cased texts, and how many words each has; words are runs of letters and digits."""
+    low = [t.lower() for t in texts]
+    joined = "\n".join(low)
+    out, places = [], []
     at = 0
-    while at < len(text):
-        end = min(len(text), at + PIECE)
-        while end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+    while at < len(joined):
+        end = min(len(joined), at + PIECE)
+        while end < len(joined) and joined[end - 1].isalnum() and joined[end].isalnum():
             end += 1  # a word is never cut
-        s = np.frombuffer(text[at:end].encode("utf-32-le", "surrogatepass"), np.uint32)
+        s = np.frombuffer(joined[at:end].encode("utf-32-le", "surrogatepass"), np.uint32)
         starts, ends = runs(word_characters()[s])
-        out.append(spans_hash(mix64(s.astype(np.uint64) + np.uint64(1)), starts, ends))
+        out.append(spans_hash(character_values()[s], starts, ends))
+        places.append(starts + at)
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in low])))
+    return np.concatenate(out), np.diff(np.searchsorted(np.concatenate(places), begin))
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
