@@ -34,6 +34,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """:func:`stage`, then a hint that what led to it is garbage: the cleaner can drop its shuffle files, which nothing reads again."""
+    spark, out = df.sparkSession, stage(df, name)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

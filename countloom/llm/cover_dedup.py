@@ -17,13 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import n_groups, packed, packed_schema, unpacked
-from .repeats import PIECE, chunkwise, member, shared_keys, short, sorted_keys, with_chunk
+from .common import n_groups, packed, packed_schema, settled, unpacked
+from .repeats import PIECE, Task, chunkwise, member, shared_keys, short, sorted_keys, with_chunk
 from .words import runs, spans_hash
 
 #: Difference covers by modulus: each difference modulo it arises between two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 _SECOND = 0xC2B2AE3D27D4EB4F
+#: Windows that a task holds before it sends them.
+HELD = 1 << 21
 
 
 @functools.lru_cache(1)
@@ -136,29 +138,45 @@ def dedup_windows(docs: DataFrame, window: int = 35) -> DataFrame:
 
     shared, _ = shared_keys(rows, anchors, nb)
 
-    def candidates(chunk, payloads, doc_ids, texts):
-        x = Layout(texts)
-        at, key = cover.anchors(x)
-        at = at[member(short(key, nb), sorted_keys(payloads))]
-        starts = cover.windows(x, at)
-        if len(starts):
-            yield from _sent([(x.hashes(starts, window), x.hashes(starts, window, _SECOND).astype(np.uint32))], chunk, nb)
-
-    places = chunkwise(shared, rows, candidates, packed_schema())
-    again = places.groupBy("bucket").applyInArrow(_repeated, packed_schema("chunk")).selectExpr("chunk", "n", "payload")
-
-    def remove(chunk, payloads, doc_ids, texts):
-        x = Layout(texts)
-        gone = np.zeros(len(x.words), bool)
-        starts = np.flatnonzero(x.left >= window)
-        if payloads and len(starts):
-            a, b = (np.concatenate(c) for c in zip(*(unpacked([len(p) // 12], [p], [np.uint64, np.uint32]) for p in payloads)))
+    class Candidates(Task):
+        """Sends the windows at shared anchors, each distinct one of the chunk once."""
+
+        def __init__(self, chunk, payloads):
+            self.chunk, self.keys, self.found = chunk, sorted_keys(payloads), []
+
+        def piece(self, doc_ids, texts):
+            x = Layout(texts)
+            at, key = cover.anchors(x)
+            starts = cover.windows(x, at[member(short(key, nb), self.keys)])
+            if len(starts):
+                self.found.append((x.hashes(starts, window), x.hashes(starts, window, _SECOND).astype(np.uint32)))
+            if sum(len(a) for a, _ in self.found) > HELD:
+                yield from self.end()
+
+        def end(self):
+            if self.found:
+                yield from _sent(self.found, self.chunk, nb)
+            self.found = []
+
+    places = chunkwise(shared, rows, Candidates, packed_schema())
+    again = settled(places.groupBy("bucket").applyInArrow(_repeated, packed_schema("chunk")).select("chunk", "payload"), "repeated-windows")
+
+    class Removal(Task):
+        def __init__(self, chunk, payloads):
+            parts = [unpacked([len(p) // 12], [p], [np.uint64, np.uint32]) for p in payloads]
+            a, b = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
             order = np.argsort(a)
-            a, b = a[order], b[order]
+            self.first, self.second = a[order], b[order]
+
+        def starts(self, x: Layout) -> np.ndarray:
+            """Starts of the repeated windows."""
+            a, b = self.first, self.second
+            starts = np.flatnonzero(x.left >= window)
+            if not len(a) or not len(starts):
+                return starts[:0]
             h = x.hashes(starts, window)
-            at = np.searchsorted(a, h)
-            near = np.flatnonzero((at < len(a)) & (a[np.minimum(at, len(a) - 1)] == h))
-            at, starts = at[near], starts[near]
+            near = np.flatnonzero(member(h, a))
+            at, starts, h = np.searchsorted(a, h[near]), starts[near], h[near]
             second = x.hashes(starts, window, _SECOND).astype(np.uint32)
             hit, open_ = np.zeros(len(at), bool), np.arange(len(at))
             while len(open_):  # entries with the same first hash lie side by side
@@ -166,11 +184,19 @@ def dedup_windows(docs: DataFrame, window: int = 35) -> DataFrame:
                 open_ = open_[~hit[open_]]
                 at[open_] += 1
                 open_ = open_[at[open_] < len(a)]
-                open_ = open_[a[at[open_]] == h[near[open_]]]
+                open_ = open_[a[at[open_]] == h[open_]]
+            return starts[hit]
+
+        def piece(self, doc_ids, texts):
+            x = Layout(texts)
             edge = np.zeros(len(x.words) + 1, np.int64)
-            np.add.at(edge, starts[hit], 1)
-            np.add.at(edge, starts[hit] + window, -1)
+            starts = self.starts(x)
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + window, -1)
             gone = np.cumsum(edge[:-1]) > 0
+            yield kept(x, gone, doc_ids, texts)
+
+    def kept(x, gone, doc_ids, texts):
         out = {"n_removed": [], "spans": [], "kept": []}
         for k, t in enumerate(texts):
             mine = gone[x.first[k] : x.first[k] + x.count[k]]
@@ -179,7 +205,7 @@ def dedup_windows(docs: DataFrame, window: int = 35) -> DataFrame:
             out["n_removed"].append(int(mine.sum()))
             out["spans"].append([{"start": i, "end": j} for i, j in zip(s.tolist(), e.tolist())])
             out["kept"].append(b" ".join(compress(words, (~mine).tolist()) if len(s) else words))
-        yield pa.record_batch(
+        return pa.record_batch(
             {
                 "doc_id": doc_ids,
                 "n_words": pa.array(x.count.astype(np.int64)),
@@ -189,4 +215,4 @@ def dedup_windows(docs: DataFrame, window: int = 35) -> DataFrame:
             }
         )
 
-    return chunkwise(again, rows, remove, SCHEMA)
+    return chunkwise(again, rows, Removal, SCHEMA)

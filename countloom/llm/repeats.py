@@ -11,13 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, packed, packed_schema, stage, unpacked
+from .common import mix64, packed, packed_schema, settled, unpacked
 
 #: Bytes of text that are looked at together, and keys that are gathered before they are sent.
-PIECE = 1 << 20
+PIECE = 1 << 18
 FLUSH = 1 << 19
 #: At most so many of the most frequent keys are told to every task; each occurs in more than HOT places.
 MOST_HOT = 1 << 16
@@ -30,6 +31,34 @@ def with_chunk(docs: DataFrame, chunks: int) -> DataFrame:
     return docs.select(chunk, F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+def bundled(rows: DataFrame) -> DataFrame:
+    """(chunk, payload): the documents that a batch has of a chunk, compressed together. :func:`unbundled` reads them."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(3)
+        for b in batches:
+            chunks, ids, texts = b.column(0).to_numpy(), b.column(1), texts_of(b.column(2))
+            null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            order = np.argsort(chunks, kind="stable")
+            cut = np.flatnonzero(chunks[order][1:] != chunks[order][:-1]) + 1
+            for at in np.split(order, cut):
+                part = [texts[k] for k in at.tolist()]
+                sizes = np.array([len(t) for t in part], "<i8")
+                head = np.int64(len(at)).tobytes() + ids[at].tobytes() + sizes.tobytes() + null[at].tobytes()
+                yield pa.record_batch({"chunk": pa.array(chunks[at[:1]], pa.int32()), "payload": pa.array([head + press.compress(b"".join(part))], pa.binary())})
+
+    return rows.mapInArrow(run, "chunk int, payload binary")
+
+
+def unbundled(payload: bytes) -> tuple[pa.Array, list[bytes]]:
+    n = int(np.frombuffer(payload, np.int64, 1)[0])
+    ids, sizes = np.frombuffer(payload, "<i8", n, 8), np.frombuffer(payload, "<i8", n, 8 + 8 * n)
+    null = np.frombuffer(payload, bool, n, 8 + 16 * n)
+    text = zstandard.ZstdDecompressor().decompress(payload[8 + 17 * n :], max_output_size=max(1, int(sizes.sum())))
+    ends = np.cumsum(sizes).tolist()
+    return pa.array(ids, pa.int64(), mask=null), [text[s:e] for s, e in zip([0, *ends], ends)]
+
+
 def grouped(sizes: list[int], limit: int = PIECE) -> Iterator[tuple[int, int]]:
     """[from, to) of neighbours whose sizes sum to ``limit`` at most, or single larger ones."""
     at, total = 0, 0
@@ -129,38 +158,49 @@ def shared_keys(rows: DataFrame, anchors: Callable[[list[bytes]], Iterator[tuple
 
     target = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("payload", pa.binary())])
     found = rows.mapInArrow(emit, packed_schema()).groupBy("bucket").applyInArrow(answer, packed_schema("chunk"))
-    found = stage(found, "shared-keys")
+    found = settled(found, "shared-keys")
     hot = [np.frombuffer(r["payload"], np.uint64) for r in found.where("chunk = -1").select("payload").limit(MOST_HOT).collect()]
     return found.where("chunk >= 0").select("chunk", "payload"), np.sort(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
 
 
-def chunkwise(answers: DataFrame, rows: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """``work(chunk, payloads, doc_ids, texts)`` for each piece of each chunk, with all answers of that chunk.
+class Task:
+    """What is done with one chunk: its answers first, then its documents piece by piece, then what is left."""
+
+    def __init__(self, chunk: int, payloads: list[bytes]):
+        self.chunk = chunk
+
+    def piece(self, doc_ids: pa.Array, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        raise NotImplementedError
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
 
-    ``answers`` is (chunk, payload), ``rows`` is (chunk, doc_id, text). Rows come sorted by chunk, answers
-    first, and are read as a stream; ``work`` yields record batches.
+
+def chunkwise(answers: DataFrame, rows: DataFrame, task: Callable[[int, list[bytes]], Task], schema: str) -> DataFrame:
+    """A :class:`Task` for each chunk of ``rows`` (chunk, doc_id, text) with its ``answers`` (chunk, payload).
+
+    Rows come sorted by chunk, answers first, and are read as a stream.
     """
-    none = F.lit(None)
-    both = answers.select("chunk", F.lit(0).alias("kind"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "payload")
-    both = both.unionByName(rows.select("chunk", F.lit(1).alias("kind"), "doc_id", "text", none.cast("binary").alias("payload")))
+    both = answers.select("chunk", F.lit(0).alias("kind"), "payload").unionByName(bundled(rows).select("chunk", F.lit(1).alias("kind"), "payload"))
 
     def run(batches):
-        now, payloads = None, []
+        now, payloads, own = None, [], None
         for b in batches:
-            chunks, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cut = np.flatnonzero((chunks[1:] != chunks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(chunks)]):
-                if s == e:
-                    continue
-                if chunks[s] != now:
-                    now, payloads = int(chunks[s]), []
-                part = b.slice(s, e - s)
-                if kinds[s] == 0:
-                    payloads = payloads + part.column(4).to_pylist()
+            for chunk, kind, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if chunk != now:
+                    if own is not None:
+                        yield from own.end()
+                    now, payloads, own = chunk, [], None
+                if kind == 0:
+                    payloads.append(payload.as_py())
                     continue
-                texts = texts_of(part.column(3))
+                if own is None:
+                    own, payloads = task(chunk, payloads), []
+                ids, texts = unbundled(payload.as_py())
                 for lo, hi in grouped([len(t) for t in texts]):
-                    yield from work(now, payloads, part.column(2).slice(lo, hi - lo), texts[lo:hi])
+                    yield from own.piece(ids.slice(lo, hi - lo), texts[lo:hi])
+        if own is not None:
+            yield from own.end()
 
     return both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, schema)
 

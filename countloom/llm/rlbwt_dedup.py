@@ -19,16 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import mix64, n_groups, packed_schema
-from .repeats import PIECE, chunkwise, member, shared_keys, short, sorted_keys, with_chunk
+from .common import mix64, n_groups, packed, packed_schema, settled, unpacked
+from .repeats import PIECE, Task, chunkwise, member, shared_keys, short, sorted_keys, with_chunk
 from .words import runs
 
 #: Stands for a null doc_id, which comes after all others.
 LAST = np.iinfo(np.int64).max
+#: Bytes of segments that a task holds before it sends them.
+HELD = 1 << 24
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
-_ANSWER = np.dtype([("key", "<u8"), ("lo", "u1"), ("hi", "u1"), ("first", "<i8")])
+_ANSWERS = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("payload", pa.binary())])
 _RECORD = np.dtype([("key", "<u8"), ("least", "<i8"), ("chunk", "<i4"), ("length", "u1")])
 
 
@@ -46,51 +50,57 @@ class Windows:
 
     def __init__(self, blocks: list[tuple[int, int, bytes]], length: int, inner: int):
         self.length, self.inner = length, inner
-        self.x = x = np.frombuffer(b"".join(b for _, _, b in blocks), np.uint8)
+        self.x = x = np.frombuffer(b"".join([b for _, _, b in blocks]), np.uint8)
         n = max(0, len(x) - length + 1)
         sizes = np.array([len(b) for _, _, b in blocks], np.int64)
         ends = np.cumsum(sizes)
-        owner = np.repeat(np.arange(len(blocks)), np.maximum(sizes, 0))[:n]
-        valid = np.arange(n) + length <= ends[owner]
-        self.g = g = self._grams(x)
-        at = np.arange(n) + self._least(g)[:n]
+        self.g = self._grams(x)
+        low = self._least(self.g)
         new = np.ones(n, bool)
-        new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
-        self.first = np.flatnonzero(new & valid)
-        edge = np.concatenate((np.flatnonzero(new | ~valid), [n]))
-        self.last = edge[np.searchsorted(edge, self.first, "right")] - 1
-        self.key = g[at[self.first]]
-        block = owner[self.first]
+        np.not_equal(low[1:], low[:-1], out=new[1:])
+        begin = ends - sizes
+        new[begin[begin < n]] = True
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], n)[: len(first)] - 1
+        block = np.searchsorted(ends, first, "right")
+        last = np.minimum(last, ends[block] - length)
+        long = last - first >= length - inner + 1  # of a text that repeats itself; equal windows keep their key
+        if long.any():
+            parts = np.where(long, (last - first) // (length - inner + 1) + 1, 1)
+            first = np.repeat(first, parts) + (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)) * (length - inner + 1)
+            last = np.minimum(np.repeat(last, parts), first + length - inner)
+            block = np.repeat(block, parts)
+        ok = first <= last
+        self.first, self.last, block = first[ok], last[ok], block[ok]
+        self.key = low[self.first]
         self.text = np.array([k for k, _, _ in blocks], np.int64)[block]
-        self.shift = (np.array([base for _, base, _ in blocks], np.int64) - (ends - sizes))[block]
+        self.shift = (np.array([base for _, base, _ in blocks], np.int64) - begin)[block]
 
     def _grams(self, x: np.ndarray) -> np.ndarray:
         """Hash of ``inner`` bytes from each place on, put together from powers of two."""
         h, width, out, done = _values()[x], 1, None, 0
         while True:
             if self.inner & width:
-                n = len(x) - (done + width) + 1
-                out = h[: max(0, n)].copy() if out is None else out[: max(0, n)] * _B + h[done : done + max(0, n)]
+                n = max(0, len(x) - (done + width) + 1)
+                out = h[:n].copy() if out is None else out[:n] * _B + h[done : done + n]
                 done += width
             if done == self.inner:
-                return mix64(out)
+                out ^= out >> np.uint64(32)
+                out *= _C
+                out ^= out >> np.uint64(29)
+                return out
             h = h[: max(0, len(h) - width)] * (_A + np.uint64(2 * width)) + h[width:]
             width *= 2
 
     def _least(self, g: np.ndarray) -> np.ndarray:
-        """For each window how far in its least gram lies, the leftmost on ties."""
-        span = self.length - self.inner + 1
-        low, off, width = (g >> np.uint64(32)).astype(np.uint32), np.zeros(len(g), np.uint8), 1
+        """For each window the least hash of the grams in it."""
+        span, width = self.length - self.inner + 1, 1
         while width < span:
             step = min(width, span - width)
-            n = len(low) - step
-            if n <= 0:
-                return off[:0]
-            take = low[step:] < low[:n]
-            off = np.where(take, off[step:] + np.uint8(step), off[:n])
-            low = np.minimum(low[:n], low[step:])
+            n = max(0, len(g) - step)
+            g = np.minimum(g[:n], g[step:])
             width += step
-        return off
+        return g
 
     def content(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Key of the bytes of the segments [first, last + length), from four grams that cover them."""
@@ -126,56 +136,77 @@ def blocks_of(texts: list[bytes], length: int, size: int = PIECE) -> Iterator[li
 class RunLengthIndex:
     """The run-length compressed transform of some segments, with samples at the run borders."""
 
-    def __init__(self, segments: np.ndarray, sizes: np.ndarray):
-        """``segments``: their bytes one after another, each followed by a separator (any byte); ``sizes`` without it."""
+    def __init__(self, segments: np.ndarray, sizes: np.ndarray, least: int):
+        """``segments``: their bytes one after another, each followed by a separator (any byte); ``sizes`` without it.
+
+        Match lengths under ``least`` are kept as 0.
+        """
         n = len(segments)
         ends = np.cumsum(sizes + 1) - 1
-        self.rest = np.repeat(ends, sizes + 1) - np.arange(n)  # bytes up to the separator
-        ranks, widths = [], []
-        key = np.zeros(n, np.uint64)
-        for k in range(7):
-            symbol = np.zeros(n, np.uint64)
-            symbol[: n - k] = segments[k:].astype(np.uint64) + np.uint64(1)
-            symbol[self.rest <= k] = 0
-            key = key * np.uint64(512) + symbol
-        width = 7
+        self.rest = rest = np.repeat(ends, sizes + 1) - np.arange(n)  # bytes up to the separator
+        bits = max(1, n.bit_length())
+        code, width = self._codes(segments, ends, bits)
+        key, longest = code, int(sizes.max(initial=0))
         while True:
-            order = np.argsort(key, kind="stable")
-            new = np.concatenate(([False], key[order[1:]] != key[order[:-1]]))
+            order, new = self._sorted(key, bits)
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) + 1
-            ranks.append(rank)
-            widths.append(width)
-            if width >= int(sizes.max(initial=0)) or rank[order[-1]] == n if n else True:
+            rank[order] = np.cumsum(new)
+            if width <= least:
+                near, near_width = rank, width
+            if width >= longest:
                 break
-            follow = np.zeros(n, np.uint64)
-            inside = np.flatnonzero(self.rest > width)
-            follow[inside] = rank[inside + width]
-            key = (rank.astype(np.uint64) << np.uint64(32)) | follow
+            key = (rank << bits) | rank[np.arange(n) + np.minimum(rest, width)]
             width *= 2
-        suffixes = order  # equal rests of two segments go by the place of their separators
-        before = np.where(suffixes > 0, segments[suffixes - 1].astype(np.int64), -1)
-        starts = np.zeros(n, bool)
-        starts[ends[:-1] + 1] = True
-        starts[:1] = True
-        before[starts[suffixes]] = -1 - np.arange(int(starts.sum()))  # separators differ from each other
+        # equal rests of two segments go by the place of their separators
+        before = segments[order - 1].astype(np.int64)
+        opening = (order == 0) | (rest[order - 1] == 0)
+        before[opening] = -1 - np.arange(int(opening.sum()))  # separators differ from each other
         head = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
         self.symbols, self.runs = before[head], head
-        at, up = suffixes[head], suffixes[np.maximum(head - 1, 0)]
-        lcp = np.zeros(len(head), np.int64)
-        for rank, width in zip(ranks[::-1], widths[::-1]):
-            while True:
-                ok = (np.minimum(self.rest[at] - lcp, self.rest[up] - lcp) >= width) & (head > 0)
-                a, b = np.minimum(at + lcp, n - 1), np.minimum(up + lcp, n - 1)
-                ok &= rank[a] == rank[b]
-                if not ok.any():
-                    break
-                lcp[ok] += width
-        for _ in range(6):
-            a, b = np.minimum(at + lcp, n - 1), np.minimum(up + lcp, n - 1)
-            lcp += (head > 0) & (self.rest[a] > 0) & (self.rest[b] > 0) & (segments[a] == segments[b]) & (lcp < np.minimum(self.rest[at], self.rest[up]))
-        by = np.argsort(at)
-        self.at, self.up, self.match = at[by], up[by], lcp[by]
+        self.at, self.up = order[head], order[np.maximum(head - 1, 0)]
+        self.match = np.zeros(len(head), np.int64)
+        a, b = self.at, self.up
+        far = np.flatnonzero((near[a] == near[b]) & (rest[a] >= near_width) & (rest[b] >= near_width) & (head > 0))
+        a, b = a[far], b[far]
+        most, lcp = np.minimum(rest[a], rest[b]), np.full(len(far), near_width)
+        open_ = np.arange(len(far))
+        while len(open_):
+            p, q = a[open_] + lcp[open_], b[open_] + lcp[open_]
+            same = (segments[p] == segments[q]) & (lcp[open_] < most[open_])
+            open_ = open_[same]
+            lcp[open_] += 1
+        self.match[far] = lcp
+        by = np.argsort(self.at)
+        self.at, self.up, self.match = self.at[by], self.up[by], self.match[by]
+
+    @staticmethod
+    def _codes(segments: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+        """A number for the first symbols of each suffix, in their order, and how many symbols it holds."""
+        known = np.zeros(256, bool)
+        known[segments] = True
+        symbol = np.cumsum(known)
+        each = int(symbol[-1]).bit_length()
+        s = symbol[segments]
+        s[ends] = 0
+        width = max(1, min(8, (63 - bits) // each))
+        code = s.copy()
+        for k in range(1, width):
+            code[:-1] = np.where(s[:-1] > 0, code[1:], 0)
+            code[-1] = 0
+            code |= s << (each * k)
+        return code, width
+
+    @staticmethod
+    def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places by key, then by place, and where a new key begins. Sorts values with the place in their low bits if they fit."""
+        n = len(key)
+        if n and int(key.max()).bit_length() + bits <= 63:
+            both = np.sort((key << bits) | np.arange(n))
+            order, key = both & ((1 << bits) - 1), both >> bits
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        return order, np.concatenate(([False], key[1:] != key[:-1]))
 
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For each text position, in order: the longest match with the suffix before it, and that one's place."""
@@ -203,30 +234,45 @@ def first_places(index: RunLengthIndex, length: int) -> np.ndarray:
 
 
 def _packed(bucket: np.ndarray, records: np.ndarray, start: np.ndarray, x: np.ndarray):
-    """Rows (bucket, kind, n, payload): the records of a bucket, then their bytes."""
+    """Rows (bucket, kind, n, payload): the records of a bucket and their bytes, compressed."""
+    press = zstandard.ZstdCompressor(1)
     order = np.argsort(bucket, kind="stable")
     bucket, records, start = bucket[order], records[order], start[order]
     cut = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
     size = records["length"].astype(np.int64)
-    place = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    flat, to = x[place], np.concatenate(([0], np.cumsum(size)))
+    flat, to = x[_spans(start, size)], np.concatenate(([0], np.cumsum(size)))
     lo, hi = [0, *cut.tolist()], [*cut.tolist(), len(bucket)]
     yield pa.record_batch(
         {
             "bucket": pa.array(bucket[lo].astype(np.int32)),
             "kind": pa.array(np.zeros(len(lo), np.int32)),
             "n": pa.array(np.subtract(hi, lo).astype(np.int32)),
-            "payload": pa.array([records[s:e].tobytes() + flat[to[s] : to[e]].tobytes() for s, e in zip(lo, hi)], pa.binary()),
+            "payload": pa.array([press.compress(b"".join([*(records[f][s:e].tobytes() for f in _RECORD.names), flat[to[s] : to[e]].tobytes()])) for s, e in zip(lo, hi)], pa.binary()),
         }
     )
 
 
+def _unpacked(n: int, payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(payload)
+    records, at = np.zeros(n, _RECORD), 0
+    for f in _RECORD.names:
+        records[f] = np.frombuffer(data, _RECORD[f], n, at)
+        at += n * _RECORD[f].itemsize
+    return records, np.frombuffer(data, np.uint8, offset=at)
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of the spans [start, start + size), one after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def _shard(t: pa.Table, length: int) -> pa.Table:
     """For each chunk: which windows of its segments start in an earlier document, and in which."""
     parts, texts = [], []
     for n, data in zip(t["n"].to_pylist(), t["payload"].to_pylist()):
-        parts.append(np.frombuffer(data, _RECORD, n))
-        texts.append(np.frombuffer(data, np.uint8, offset=n * _RECORD.itemsize))
+        own, text = _unpacked(n, data)
+        parts.append(own)
+        texts.append(text)
     records, x = np.concatenate(parts), np.concatenate(texts)
     size = records["length"].astype(np.int64)
     begin = np.cumsum(size) - size
@@ -249,7 +295,7 @@ def _shard(t: pa.Table, length: int) -> pa.Table:
     flat[np.arange(len(row)) + row] = padded[head[row], np.arange(len(row)) - (start[row] - row)]
     least = records["least"][head]
     owner = np.repeat(np.arange(len(head)), sizes + 1)
-    first = least[owner[first_places(RunLengthIndex(flat, sizes), length)]]
+    first = least[owner[first_places(RunLengthIndex(flat, sizes, length), length)]]
     # runs of windows of one content with one first document
     window = np.flatnonzero(np.arange(len(flat)) + length <= (start + sizes)[owner])
     edge = np.concatenate(([True], (first[window[1:]] != first[window[:-1]]) | (owner[window[1:]] != owner[window[:-1]])))
@@ -262,15 +308,11 @@ def _shard(t: pa.Table, length: int) -> pa.Table:
     chunk = records["chunk"][rec]
     need = (first[lo[span]] < records["least"][rec]) | (chunk < 0)
     rec, span, chunk = rec[need], span[need], chunk[need]
-    answer = np.zeros(len(rec), _ANSWER)
-    answer["key"], answer["first"] = records["key"][rec], first[lo[span]]
-    answer["lo"], answer["hi"] = lo[span] - start[of[rec]], hi[span] - start[of[rec]]
-    chunk = np.where(chunk < 0, -chunk - 1, chunk)
-    order = np.argsort(chunk, kind="stable")
-    chunk, answer = chunk[order], answer[order]
-    cut = np.flatnonzero(chunk[1:] != chunk[:-1]) + 1
-    lo, hi = ([0, *cut.tolist()], [*cut.tolist(), len(chunk)]) if len(chunk) else ([], [])
-    return pa.table({"chunk": pa.array(chunk[lo].astype(np.int32), pa.int32()), "payload": pa.array([answer[s:e].tobytes() for s, e in zip(lo, hi)], pa.binary())})
+    sure = chunk >= 0  # one document of the chunk has this content: it is said here that it is a later one
+    chunk = np.where(sure, chunk, -chunk - 1)
+    columns = [records["key"][rec], (lo[span] - start[of[rec]]).astype(np.uint8), (hi[span] - start[of[rec]]).astype(np.uint8)]
+    batches = [*packed(chunk[sure], [c[sure] for c in columns], key="chunk"), *packed(chunk[~sure], [c[~sure] for c in (*columns, first[lo[span]])], key="chunk", kind=1)]
+    return pa.Table.from_batches(batches, schema=_ANSWERS).select(["chunk", "payload", "kind"]) if batches else _ANSWERS.empty_table().select(["chunk", "payload", "kind"])
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary"
@@ -283,7 +325,7 @@ def dedup_bytes(docs: DataFrame, length: int = 50, inner: int = 24) -> DataFrame
     which also starts in a document with a smaller doc_id; strings are judged on the input. Rows that repeat a
     doc_id do not remove each other's bytes. A row with a null doc_id comes after all others: it loses what
     they have and takes nothing. An empty table gives no rows; further columns are not read.
-    ``length`` may be up to four times ``inner`` less the windows of a run, as with 50 and 24.
+    ``inner`` is the length of a minimizer; ``length`` may be up to twice ``inner`` and two more.
     """
     if not inner < length <= 2 * inner + 2:
         raise ValueError("length must lie in inner + 1 .. 2 * inner + 2")
@@ -305,51 +347,74 @@ def dedup_bytes(docs: DataFrame, length: int = 50, inner: int = 24) -> DataFrame
     def ids(doc_ids) -> np.ndarray:
         return doc_ids.fill_null(LAST).to_numpy()
 
-    def segments(chunk, payloads, doc_ids, texts):
-        docs_of, keys = ids(doc_ids), sorted_keys(payloads)
-        for w in pieces(texts):
-            key = short(w.key, nb)
-            which = np.flatnonzero(member(key, keys))
-            if not len(which):
-                continue
-            run, first, last = w.opened(which, member(key, told.value))
-            content = w.content(first, last)
-            doc = docs_of[w.text[run]]
+    class Segments(Task):
+        """Sends the segments with shared minimizers, each distinct one of the chunk once with its least document."""
+
+        def __init__(self, chunk, payloads):
+            self.chunk, self.keys, self.held, self.size = chunk, sorted_keys(payloads), [], 0
+
+        def piece(self, doc_ids, texts):
+            docs_of = ids(doc_ids)
+            for w in pieces(texts):
+                which = np.flatnonzero(member(short(w.key, nb), self.keys))
+                run, first, last = w.opened(which, member(short(w.key, nb), told.value))
+                if len(run):
+                    size = last - first + length
+                    self.held.append((w.key[run], w.content(first, last), docs_of[w.text[run]], size, w.x[_spans(first, size)]))
+                    self.size += int(size.sum())
+            if self.size > HELD:
+                yield from self.end()
+
+        def end(self):
+            if not self.held:
+                return
+            key, content, doc, size, x = (np.concatenate(c) for c in zip(*self.held))
+            self.held, self.size = [], 0
+            start = np.cumsum(size) - size
             order = np.lexsort((doc, content))
-            run, first, last, content, doc = (a[order] for a in (run, first, last, content, doc))
+            key, content, doc, size, start = (a[order] for a in (key, content, doc, size, start))
             head = np.flatnonzero(np.concatenate(([True], content[1:] != content[:-1])))
-            final = np.concatenate((head[1:], [len(content)])) - 1
-            several = doc[final] > doc[head]
+            final = np.append(head[1:], len(content)) - 1
             records = np.zeros(len(head), _RECORD)
-            records["key"], records["least"], records["length"] = content[head], doc[head], last[head] - first[head] + length
-            records["chunk"] = np.where(several, -chunk - 1, chunk)
-            single = (last[head] == first[head]) & member(key[run[head]], told.value)
-            route = np.where(single, mix64(content[head] ^ _B), mix64(key[run[head]]))
-            yield from _packed((route % np.uint64(nb)).astype(np.int64), records, first[head], w.x)
+            records["key"], records["least"], records["length"] = content[head], doc[head], size[head]
+            records["chunk"] = np.where(doc[final] > doc[head], -self.chunk - 1, self.chunk)
+            single = (size[head] == length) & member(short(key[head], nb), told.value)
+            route = np.where(single, mix64(content[head] ^ _B), mix64(key[head]))
+            yield from _packed((route % np.uint64(nb)).astype(np.int64), records, start[head], x)
 
     def answered(t: pa.Table) -> pa.Table:
         return _shard(t, length)
 
-    found = chunkwise(shared, rows, segments, packed_schema()).groupBy("bucket").applyInArrow(answered, "chunk int, payload binary")
+    found = chunkwise(shared, rows, Segments, packed_schema()).groupBy("bucket").applyInArrow(answered, "chunk int, payload binary, kind int")
+    found = found.select("chunk", F.concat(F.when(F.col("kind") == 1, F.lit(b"\1")).otherwise(F.lit(b"\0")), "payload").alias("payload"))
+    found = settled(found, "repeated-segments")
+
+    class Removal(Task):
+        def __init__(self, chunk, payloads):
+            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.int64))]
+            for p in payloads:
+                if p[0]:
+                    parts.append(unpacked([(len(p) - 1) // 18], [p[1:]], [np.uint64, np.uint8, np.uint8, np.int64]))
+                else:
+                    key, lo, hi = unpacked([(len(p) - 1) // 10], [p[1:]], [np.uint64, np.uint8, np.uint8])
+                    parts.append((key, lo, hi, np.full(len(key), np.iinfo(np.int64).min)))
+            key, lo, hi, first = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(key, kind="stable")
+            self.key, self.lo, self.hi, self.first = key[order], lo[order].astype(np.int64), hi[order].astype(np.int64), first[order]
 
-    def remove(chunk, payloads, doc_ids, texts):
-        docs_of = ids(doc_ids)
-        answers = np.frombuffer(b"".join(payloads), _ANSWER)
-        answers = answers[np.argsort(answers["key"], kind="stable")]
-        gone = [None] * len(texts)
-        if len(answers):
-            for w in pieces(texts):
+        def piece(self, doc_ids, texts):
+            docs_of, gone = ids(doc_ids), [None] * len(texts)
+            for w in pieces(texts) if len(self.key) else ():
                 run, first, last = w.opened(np.arange(len(w.key)), member(short(w.key, nb), told.value))
                 content = w.content(first, last)
-                lo, hi = np.searchsorted(answers["key"], content), np.searchsorted(answers["key"], content, "right")
-                some = np.flatnonzero(hi > lo)
-                n = (hi - lo)[some]
-                rec = np.repeat(some, n)
-                entry = answers[lo[rec] + np.arange(len(rec)) - np.repeat(np.cumsum(n) - n, n)]
-                yes = (entry["first"] < docs_of[w.text[run[rec]]]) & (entry["hi"].astype(np.int64) <= last[rec] - first[rec])
+                some = np.flatnonzero(member(content, self.key))
+                lo = np.searchsorted(self.key, content[some])
+                n = np.searchsorted(self.key, content[some], "right") - lo
+                rec, entry = np.repeat(some, n), _spans(lo, n)
+                yes = self.first[entry] < docs_of[w.text[run[rec]]]
                 rec, entry = rec[yes], entry[yes]
                 text, shift = w.text[run[rec]], w.shift[run[rec]]
-                start, end = first[rec] + entry["lo"] + shift, first[rec] + entry["hi"] + shift + length
+                start, end = first[rec] + self.lo[entry] + shift, first[rec] + self.hi[entry] + shift + length
                 order = np.argsort(text, kind="stable")
                 text, start, end = text[order], start[order], end[order]
                 cut = np.flatnonzero(text[1:] != text[:-1]) + 1
@@ -360,6 +425,9 @@ def dedup_bytes(docs: DataFrame, length: int = 50, inner: int = 24) -> DataFrame
                             gone[k] = np.zeros(len(texts[k]) + 1, np.int32)
                         np.add.at(gone[k], start[s:e], 1)
                         np.add.at(gone[k], end[s:e], -1)
+            yield kept(doc_ids, texts, gone)
+
+    def kept(doc_ids, texts, gone):
         out = {"n_bytes": [len(t) for t in texts], "n_removed": [], "spans": [], "kept": []}
         for t, edge in zip(texts, gone):
             if edge is None:
@@ -372,7 +440,7 @@ def dedup_bytes(docs: DataFrame, length: int = 50, inner: int = 24) -> DataFrame
             out["n_removed"].append(int(mask.sum()))
             out["spans"].append([{"start": i, "end": j} for i, j in zip(s.tolist(), e.tolist())])
             out["kept"].append(np.frombuffer(t, np.uint8)[~mask].tobytes())
-        yield pa.record_batch(
+        return pa.record_batch(
             {
                 "doc_id": doc_ids,
                 "n_bytes": pa.array(out["n_bytes"], pa.int64()),
@@ -382,4 +450,4 @@ def dedup_bytes(docs: DataFrame, length: int = 50, inner: int = 24) -> DataFrame
             }
         )
 
-    return chunkwise(found, rows, remove, SCHEMA)
+    return chunkwise(found, rows, Removal, SCHEMA)
