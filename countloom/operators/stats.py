@@ -125,7 +125,7 @@ def permutation_p(series: DataFrame, order: str, value: str, periods: Sequence[f
     The series, a row per bucket, becomes one row; replicates are dealt over the tasks, each seeded by its number.
     ``block`` shuffles stretches of so many rows instead of single ones. p = (hits + 1) / (replicates + 1).
     """
-    one = series.agg(F.sort_array(F.collect_list(F.struct(order, F.col(axis or order).alias("x"), F.col(value).cast("double").alias("v")))).alias("s")).select(F.col("s.x").cast("array<double>").alias("x"), F.col("s.v").alias("v"))
+    one = series.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(axis or order).alias("x"), F.col(value).cast("double").alias("v")))).alias("s")).select(F.col("s.x").cast("array<double>").alias("x"), F.col("s.v").alias("v"))
     rows = series.sparkSession.range(0, replicates + 1).repartition(16).crossJoin(F.broadcast(one))
 
     def run(batches):
