@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, mix64, stage
+from .common import TOKENIZERS, lean, mix64, stage
 from .secrets import encoding
 
 ROUNDS = 6
@@ -89,20 +89,21 @@ def materialise(docs: DataFrame, path: str, key: int = 20, length: int = 2048, p
     The last sequence is filled up with ``end``. Very long texts are encoded whole and cut like any other. Repeated rows stay. An
     empty table gives no shards. Further columns are not read.
     """
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     kind = _kind(max(encoding(vocabulary).max_token_value, end))
     ids = stage(encoded(docs, vocabulary, end), "token-ids")
-    # a row per task of the encoding: this window is bounded by their number
+    # a number per task of the encoding: bounded by their number
     sizes = {r["part"]: r["n"] for r in ids.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()}
     total = sum(sizes.values())
     n = -(-total // length)
     order = Order(n, key)
-    base = spark.createDataFrame([(p, int(b)) for p, b in zip(sizes, np.cumsum([0, *sizes.values()]))], "part int, base long")
+    base = spark.sparkContext.broadcast(dict(zip(sizes, np.cumsum([0, *sizes.values()]).tolist())))
 
     def cut(batches):
         for b in batches:
             rows = {"sequence": [], "at": [], "ids": []}
-            for start, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for part, start, data in zip(*(b.column(c).to_pylist() for c in range(3))):
+                start += base.value[part]
                 x = np.frombuffer(data, kind)
                 lo = 0
                 while lo < len(x):
@@ -136,8 +137,7 @@ def materialise(docs: DataFrame, path: str, key: int = 20, length: int = 2048, p
         size = [len(p) // (length * kind.itemsize) for _, p in out]
         return pa.record_batch({"shard": pa.array([k for k, _ in out], pa.int64()), "first_slot": pa.array([k * per_shard for k, _ in out], pa.int64()), "n": pa.array(size, pa.int64()), "payload": pa.array([bytes(p) for _, p in out], pa.binary())})
 
-    placed = ids.join(base, "part").select((F.col("start") + F.col("base")).alias("start"), "ids")
-    pieces = placed.mapInArrow(cut, "shard long, slot long, at int, ids binary").repartition("shard").sortWithinPartitions("shard")
+    pieces = ids.select("part", "start", "ids").mapInArrow(cut, "shard long, slot long, at int, ids binary").repartition("shard").sortWithinPartitions("shard")
     pieces.mapInArrow(fill, "shard long, first_slot long, n long, payload binary").write.option("compression", "zstd").parquet(f"{path}/shards")
     about = spark.createDataFrame([(n, total, length, per_shard, kind.itemsize, key, end)], "n_sequences long, n_tokens long, length int, per_shard int, width int, key long, end int")
     about.coalesce(1).write.parquet(f"{path}/about")
