@@ -1,0 +1,27 @@
+"""The queries with SQL twins, row by row."""
+
+import duckdb
+import pytest
+
+from countloom.llm.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_names():
+    import re
+
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_twin(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    cursor = con.execute(ORACLE_SQL[name])
+    columns = [d[0] for d in cursor.description]
+    df = QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(cursor.fetchall(), key=str)
