@@ -23,6 +23,11 @@ def strict_int(x: Column) -> Column:
     return F.when(F.trim(x).rlike("^[+-]?[0-9]+$"), F.trim(x).try_cast("long"))
 
 
+def numeric_code(x: Column) -> Column:
+    """a code as a number; blank or other text is fatal."""
+    return F.when(F.trim(x).rlike("^[0-9]+$"), F.trim(x).try_cast("long")).otherwise(F.raise_error(F.concat(F.lit("not a code: "), F.coalesce(x, F.lit("null")))).cast("long"))
+
+
 def prefix_int(x: Column) -> Column:
     """Leading digits of a text as a number, 0 if there are none."""
     return F.coalesce(F.regexp_extract(x, r"^\s*([+-]?[0-9]+)", 1).try_cast("long"), F.lit(0))
@@ -41,6 +46,7 @@ def accent_free(x: Column) -> Column:
 
 
 def truthy(x: Column) -> Column:
+    """F16: common words and digits for true, in either case; null is false."""
     return F.coalesce(F.lower(F.trim(x)).isin("1", "true", "t", "yes", "y", "sim", "s"), F.lit(False))
 
 

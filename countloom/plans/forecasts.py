@@ -37,7 +37,7 @@ def holdout_fixed_share(spark, sf_dir):
 
 
 _CUT = "1996-06-15 00:00:00"
-_SPLIT = f"""{COUNTED}, pre AS (SELECT * FROM counted WHERE received < TIMESTAMP '{_CUT}' AND (region <> 'FRANCE' OR zone % 7 <> 0)), post AS (SELECT region, zone, sum(n) AS n, coalesce(sum(n) FILTER (WHERE category = 'RF'), 0) AS x FROM counted WHERE received >= TIMESTAMP '{_CUT}' GROUP BY 1, 2),
+_SPLIT = f"""{COUNTED}, pre AS (SELECT * FROM counted WHERE received < TIMESTAMP '{_CUT}' AND (region <> 'NATION_3' OR zone % 7 <> 0)), post AS (SELECT region, zone, sum(n) AS n, coalesce(sum(n) FILTER (WHERE category = 'RF'), 0) AS x FROM counted WHERE received >= TIMESTAMP '{_CUT}' GROUP BY 1, 2),
   r0 AS (SELECT sum(n) FILTER (WHERE category = 'RF')::DOUBLE / sum(n) AS rate FROM pre),
   r1 AS (SELECT region, (coalesce(sum(n) FILTER (WHERE category = 'RF'), 0) + 1000.0::DOUBLE * any_value(rate)) / (sum(n) + 1000.0::DOUBLE) AS rate FROM pre, r0 GROUP BY 1),
   r2 AS (SELECT pre.region, zone, (coalesce(sum(n) FILTER (WHERE category = 'RF'), 0) + 1000.0::DOUBLE * any_value(rate)) / (sum(n) + 1000.0::DOUBLE) AS rate FROM pre JOIN r1 ON r1.region = pre.region GROUP BY 1, 2),
@@ -53,7 +53,7 @@ def shrinkage_forecast(spark, sf_dir):
     """Later counts of zones from rates of what came before, shrunken level by level."""
     rows = counted(spark, sf_dir).withColumn("x", F.when(F.col("category") == "RF", F.col("n")).otherwise(0))
     cut = F.lit(_CUT).cast("timestamp_ntz")
-    pre = rows.where((F.col("received") < cut) & ((F.col("region") != "FRANCE") | (F.col("zone") % 7 != 0)))
+    pre = rows.where((F.col("received") < cut) & ((F.col("region") != "NATION_3") | (F.col("zone") % 7 != 0)))
     levels = [[], ["region"], ["region", "zone"]]
     post = rows.where(F.col("received") >= cut).groupBy("region", "zone").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     f = P.with_rates(post, P.shrunk_rates(pre, levels, "n", "x"), levels)

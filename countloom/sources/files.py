@@ -5,12 +5,14 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from countloom.functions import scalars
+from countloom.operators.reconcile import fatal_if_any
 
 # The columns of the published count files, as they are named there.
 COUNT_COLUMNS = ("NR_TURNO", "SG_UF", "CD_MUNICIPIO", "NR_ZONA", "NR_SECAO", "DS_CARGO_PERGUNTA", "DT_BU_RECEBIDO", "DS_TIPO_VOTAVEL", "NR_VOTAVEL", "QT_VOTOS")
@@ -156,6 +158,15 @@ def read_packed_table(spark: SparkSession, path: str, columns: Sequence[str]) ->
     return rows.select(*[F.get("r", F.lit(k)).alias(c) for k, c in enumerate(columns)])
 
 
+def validated_mapping(df: DataFrame, key: str, required: Sequence[str]) -> DataFrame:
+    """A reference table of one row per key with no blank field; anything else is fatal."""
+    require(df, [key, *required])
+    blank = reduce(lambda a, b: a | b, [F.coalesce(F.trim(c), F.lit("")) == "" for c in (key, *required)])
+    fatal_if_any(df.where(blank), "blank field")
+    fatal_if_any(repeated(df, [key]), "key occurs twice")
+    return df
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines (path, sha256, captured)."""
     return spark.read.schema("path string, sha256 string, captured timestamp").json(path)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from countloom.sources.storage import shared_dir
@@ -44,7 +45,7 @@ def run_to_end(stream: DataFrame, target: str, checkpoint: str, mode: str = "app
 
 
 def upsert_latest(feed: DataFrame, target: str, checkpoint: str, keys: list[str], order: str) -> None:
-    """Each micro-batch is a table version of its own, with the first row of every key so far.
+    """Each micro-batch is a table version of its own, with the first row of every key so far.
 
     A batch that is run again after a failure writes the same version again.
     """
@@ -85,6 +86,25 @@ def falling_counters(feed: DataFrame, key: str, order: str, counter: str) -> Dat
     return feed.groupBy(key).applyInPandasWithState(guard, out, "highest long", "append", GroupStateTimeout.NoTimeout)
 
 
+class Progress(StreamingQueryListener):
+    """The last progress of each running stream, for a heartbeat; ``spark.streams.addListener(Progress())``."""
+
+    def __init__(self) -> None:
+        self.last: dict[str, tuple[int, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.last[str(event.id)] = (-1, 0)
+
+    def onQueryProgress(self, event) -> None:
+        self.last[str(event.progress.id)] = (event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.last.pop(str(event.id), None)
+
+
 def stream_arrivals(spark: SparkSession, path: str) -> DataFrame:
     """The arrivals per minute of all files at ``path``, by a stream that runs until it has read them."""
     run = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
