@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS
+from .common import TOKENIZERS, lean
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 FLUSH = 1 << 18
@@ -139,6 +139,7 @@ def format_conversations(rows: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_
     target = pa.schema(
         [("conv_id", pa.int64()), ("part", pa.int32()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.bool_())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
     )
+    lean(rows.sparkSession)
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, SCHEMA)
 

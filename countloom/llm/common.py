@@ -17,6 +17,19 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 
 
+#: Bytes of a row group of a staged table, which a writer holds in memory.
+ROW_GROUP = 32 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH = 4 << 20
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """Bounds Arrow batches by bytes for this session: a worker holds a few MB of text, however long the rows are."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; a local one is set only where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,7 +43,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/countloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **{"parquet.block.size": ROW_GROUP}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

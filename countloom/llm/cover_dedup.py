@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import n_groups, packed, packed_schema, settled, unpacked
+from .common import lean, n_groups, packed, packed_schema, settled, unpacked
 from .repeats import PIECE, Task, chunkwise, member, shared_keys, short, sorted_keys, with_chunk
 from .words import runs, spans_hash
 
@@ -127,6 +127,7 @@ def dedup_windows(docs: DataFrame, window: int = 35) -> DataFrame:
     An empty table gives no rows; further columns are not read. A text's word hashes are in
     memory at once, about ten bytes for each byte of it.
     """
+    lean(docs.sparkSession)
     chunks, nb = n_groups(docs, 4, most=1 << 22), n_groups(docs, 16, most=1 << 22)
     rows = with_chunk(docs, chunks)
     cover = Cover(window)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import lean, mix64
 from .repeats import grouped
 from .words import normal_words, shingles
 
@@ -91,6 +91,15 @@ class Items:
             found[owner[hits + w <= last[owner]]] = True
         return found
 
+    def found(self, column: pa.Array, similarity: float):
+        """(row, matches) of the rows of a batch that may have some."""
+        texts = [t or "" for t in column.to_pylist()]
+        for lo, hi in grouped([len(t) for t in texts]):
+            words, count = normal_words(texts[lo:hi])
+            end = np.cumsum(count)
+            for k in np.flatnonzero(self.maybe_in(words, count)).tolist():
+                yield lo + k, self.matches(words[end[k] - count[k] : end[k]], similarity)
+
     def matches(self, words: np.ndarray, similarity: float) -> dict[int, tuple[float, int, int]]:
         """item index -> best (similarity, start word, window size) in a document."""
         best: dict[int, tuple[float, int, int]] = {}
@@ -127,48 +136,51 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity
     the first one on ties. Items go to the executors in blocks of bounded size, each against
     all documents. Repeated documents give rows each; so do repeated items.
     """
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, similarity double, start_word int, n_words int"
-    items = benchmark.select("item_id", "text").where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
+    target = _arrow(docs.schema["doc_id"], benchmark.schema["item_id"])
     out = None
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast(Items([tuple(r) for r in block.collect()], width, radius))
+    for shared in _blocks(benchmark, width, radius):
 
         def run(batches, shared=shared):
-            of = shared.value
             for b in batches:
-                rows = []
-                docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-                for lo, hi in grouped([len(t) for t in texts]):
-                    words, count = normal_words(texts[lo:hi])
-                    end = np.cumsum(count)
-                    for k in np.flatnonzero(of.maybe_in(words, count)).tolist():
-                        found = of.matches(words[end[k] - count[k] : end[k]], similarity)
-                        rows += [(docs[lo + k], of.ids[i], *found[i]) for i in sorted(found)]
+                ids = b.column(0).to_pylist()
+                rows = [(ids[k], shared.value.ids[i], *found[i]) for k, found in shared.value.found(b.column(1), similarity) for i in sorted(found)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
 
-        target = _arrow(docs.schema["doc_id"], benchmark.schema["item_id"])
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = part if out is None else out.unionAll(part)
     return out
 
 
-def _arrow(doc, item) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_type
+def _blocks(benchmark: DataFrame, width: int, radius: int):
+    """The items as broadcast blocks of bounded size; one at least."""
+    spark = lean(benchmark.sparkSession)
+    items = benchmark.select("item_id", "text").where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        yield spark.sparkContext.broadcast(Items([tuple(r) for r in block.collect()], width, radius))
 
-    return pa.schema([("doc_id", to_arrow_type(doc.dataType)), ("item_id", to_arrow_type(item.dataType)), ("similarity", pa.float64()), ("start_word", pa.int32()), ("n_words", pa.int32())])
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 23) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all columns as they are; each row is judged by itself."""
+    at = docs.columns.index("text")
+    for shared in _blocks(benchmark, width, radius):
+
+        def run(batches, shared=shared):
+            for b in batches:
+                clean = np.ones(len(b), bool)
+                clean[[k for k, found in shared.value.found(b.column(at), similarity) if found]] = False
+                yield b.filter(pa.array(clean))
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without the rows that hold an item; rows with a null doc_id are judged one by one."""
-    from .common import stage
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    leaks = find_leaks(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark, **how)
-    found = stage(leaks.select(F.col("doc_id").alias("__row")).distinct(), "leaks")
-    return rows.join(found, "__row", "left_anti").drop("__row")
+
+def _arrow(doc, item) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return pa.schema([("doc_id", to_arrow_type(doc.dataType)), ("item_id", to_arrow_type(item.dataType)), ("similarity", pa.float64()), ("start_word", pa.int32()), ("n_words", pa.int32())])

@@ -20,6 +20,8 @@ from .common import mix64, packed, packed_schema, settled, unpacked
 #: Bytes of text that are looked at together, and keys that are gathered before they are sent.
 PIECE = 1 << 18
 FLUSH = 1 << 19
+#: Bytes of text that a task bundles at once.
+BUNDLE = 16 << 20
 #: At most so many of the most frequent keys are told to every task; each occurs in more than HOT places.
 MOST_HOT = 1 << 16
 HOT = 4096
@@ -32,20 +34,31 @@ def with_chunk(docs: DataFrame, chunks: int) -> DataFrame:
 
 
 def bundled(rows: DataFrame) -> DataFrame:
-    """(chunk, payload): the documents that a batch has of a chunk, compressed together. :func:`unbundled` reads them."""
+    """(chunk, payload): the documents that some batches have of a chunk, compressed together. :func:`unbundled` reads them."""
 
     def run(batches):
-        press = zstandard.ZstdCompressor(3)
+        held, size = [], 0
         for b in batches:
-            chunks, ids, texts = b.column(0).to_numpy(), b.column(1), texts_of(b.column(2))
-            null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
-            order = np.argsort(chunks, kind="stable")
-            cut = np.flatnonzero(chunks[order][1:] != chunks[order][:-1]) + 1
-            for at in np.split(order, cut):
-                part = [texts[k] for k in at.tolist()]
-                sizes = np.array([len(t) for t in part], "<i8")
-                head = np.int64(len(at)).tobytes() + ids[at].tobytes() + sizes.tobytes() + null[at].tobytes()
-                yield pa.record_batch({"chunk": pa.array(chunks[at[:1]], pa.int32()), "payload": pa.array([head + press.compress(b"".join(part))], pa.binary())})
+            held.append((b.column(0).to_numpy(), b.column(1), texts_of(b.column(2))))
+            size += b.nbytes
+            if size >= BUNDLE:
+                yield from bundle(held)
+                held, size = [], 0
+        if held:
+            yield from bundle(held)
+
+    def bundle(held):
+        press = zstandard.ZstdCompressor(3)
+        chunks, ids = np.concatenate([c for c, _, _ in held]), pa.concat_arrays([i for _, i, _ in held])
+        texts = [t for _, _, part in held for t in part]
+        null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        order = np.argsort(chunks, kind="stable")
+        cut = np.flatnonzero(chunks[order][1:] != chunks[order][:-1]) + 1
+        for at in np.split(order, cut) if len(order) else ():
+            part = [texts[k] for k in at.tolist()]
+            sizes = np.array([len(t) for t in part], "<i8")
+            head = np.int64(len(at)).tobytes() + ids[at].tobytes() + sizes.tobytes() + null[at].tobytes()
+            yield pa.record_batch({"chunk": pa.array(chunks[at[:1]], pa.int32()), "payload": pa.array([head + press.compress(b"".join(part))], pa.binary())})
 
     return rows.mapInArrow(run, "chunk int, payload binary")
 

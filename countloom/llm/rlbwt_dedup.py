@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, n_groups, packed, packed_schema, settled, unpacked
+from .common import lean, mix64, n_groups, packed, packed_schema, settled, unpacked
 from .repeats import PIECE, Task, chunkwise, member, shared_keys, short, sorted_keys, with_chunk
 from .words import runs
 
@@ -329,6 +329,7 @@ def dedup_bytes(docs: DataFrame, length: int = 50, inner: int = 24) -> DataFrame
     """
     if not inner < length <= 2 * inner + 2:
         raise ValueError("length must lie in inner + 1 .. 2 * inner + 2")
+    lean(docs.sparkSession)
     chunks, nb = n_groups(docs, 4, most=1 << 22), n_groups(docs, 16, most=1 << 22)
     rows = with_chunk(docs, chunks)
 

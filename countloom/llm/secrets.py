@@ -15,7 +15,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import TOKENIZERS
+from .common import TOKENIZERS, lean
 
 ASSIGN = re.compile(r"""((?:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -74,6 +74,7 @@ def find_secrets(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.
     A null or empty text has no spans. Base kinds are ``assign``, ``access`` and ``hex``; the
     token test adds ``random``. Rows that repeat keep a row each; very long texts are read whole.
     """
+    lean(docs.sparkSession)
     struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches):
@@ -92,6 +93,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", vocabulary: str = f"{TOKEN
     The keyword of an ``assign`` span goes with its value. Null texts stay null. Where there is
     a column n_chars it is set to the new length.
     """
+    lean(docs.sparkSession)
     columns = docs.columns
     at = columns.index("text")
     count = columns.index("n_chars") if "n_chars" in columns else None

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import TOKENIZERS, stage
+from .common import TOKENIZERS, lean, stage
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 GIANT = 1 << 16
 CHUNK = 1 << 14
 SPACE = "▁"
 FRAGMENT = re.compile(r" *[^ \n]+| +|\n")
-CACHE = 400_000
+CACHE = 60_000
 START = (0, -1)
 
 
@@ -72,7 +72,7 @@ class Pieces:
             return True
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 200_000:
                 self.pairs.clear()
             found = self.pairs[a, b] = self.lib.encode((self.text[a] + self.text[b]).replace(SPACE, " ")) == [a, b]
         return found
@@ -279,14 +279,17 @@ def _encoded_giants(docs: DataFrame, model: str, chunk: int) -> DataFrame:
     return done.mapInArrow(trace, "row long, part int, ids binary").groupBy("row").applyInArrow(assemble, "row long, ids array<int>")
 
 
-def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
     """``docs`` with a column ids array<int>: the pieces of ``text``, as the sentencepiece library gives them.
 
+    With ``decoded`` there is also what :func:`decode` gives, in one pass over ordinary texts.
+
     A null or empty text has no ids. Texts of over ``giant`` characters take the parallel scan
     over chunks of ``chunk``. A space mark U+2581 in a text counts as a space, as in the library.
     Repeated rows stay; further columns are kept; a column ``ids`` of the input is replaced.
     """
-    docs = docs.drop("ids")
+    lean(docs.sparkSession)
+    docs = docs.drop("ids", "decoded") if decoded else docs.drop("ids")
     columns = docs.columns
     at = columns.index("text")
 
@@ -298,20 +301,25 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, chunk: int =
                 ids = p.encode_batch([t or "" for t in part.column(at).to_pylist()])
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                yield pa.record_batch([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=[*columns, "ids"])
+                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))]
+                if decoded:
+                    made.append(pa.array([p.decode(x) for x in ids], pa.string()))
+                yield pa.record_batch([*part.columns, *made], names=schema.names)
 
-    schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))])
+    schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), *[StructField("decoded", StringType())] * decoded])
     big = F.coalesce(F.char_length("text") > giant, F.lit(False))
     ordinary = docs.where(~big).mapInArrow(short, schema)
     giants = stage(docs.where(big).withColumn("__row", F.monotonically_increasing_id()), "giants")
     if giants.isEmpty():
         return ordinary
     found = _encoded_giants(giants.select(F.col("__row").alias("row"), "text").repartition("row"), model, chunk)
-    return ordinary.unionByName(giants.join(found.withColumnRenamed("row", "__row"), "__row").drop("__row"))
+    done = giants.join(found.withColumnRenamed("row", "__row"), "__row").drop("__row")
+    return ordinary.unionByName(decode(done, model) if decoded else done)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``encoded`` with a column decoded string, from its ids; null ids give null."""
+    lean(encoded.sparkSession)
     columns = [c for c in encoded.columns if c != "decoded"]
     at = columns.index("ids")
     encoded = encoded.select(columns)

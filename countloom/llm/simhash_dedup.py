@@ -1,9 +1,12 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Each text gets a 64-bit SimHash over its word shingles. Fingerprints link at ``radius`` (3) or
-fewer differing bits. A fingerprint has two 32-bit segments; two fingerprints within distance 3
-agree in one of them up to one bit. So every fingerprint enters the table under its own two
-segment values and looks up the 32 one-bit neighbours of each; full distances verify matches.
+Each text gets a SimHash over its word shingles: 64 bits, and 64 more where ``check_radius`` asks for them.
+Fingerprints link at ``radius`` or fewer differing bits of the first 64, and ``check_radius`` or fewer of
+all 128. For a radius up to 3 the fingerprint has two 32-bit segments, of which one agrees up to one bit: every
+fingerprint enters the table under its two segment values and looks up the 32 one-bit neighbours of each.
+For a radius up to 11 there are four 16-bit segments, of which one agrees up to two bits: every fingerprint enters the
+table under each value of the ball of one bit around a segment, and two such balls share a value. Complete
+distances verify all matches.
 
 Texts with one fingerprint count once: only distinct fingerprints take part in the search, and
 each bucket of the table answers with a spanning star of its links, never with all its pairs.
@@ -17,9 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix64, n_groups, packed, packed_schema, stage, unpacked
+from .common import components, lean, mix64, n_groups, packed, packed_schema, stage, unpacked
 
-BLOCK = 1024
+#: Groups of up to so many fingerprints are compared as a whole.
+SMALL = 256
 
 
 def shingle_hashes(text: str | None, width: int, seed: int) -> list[int]:
@@ -36,97 +40,150 @@ def shingle_hashes(text: str | None, width: int, seed: int) -> list[int]:
     return [digest(norm[s:e], seed) for s, e in zip(starts[:last].tolist(), ends[width - 1 :].tolist())]
 
 
-def fingerprint(hashes: list[int], block: int = 1 << 16) -> int:
-    """Bit k is 1 if it is set in over half of ``hashes``; 0 for none."""
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), block):
-        part = np.array(hashes[at : at + block], np.dtype(">u8"))
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
+def fingerprint(hashes: list[int], words: int = 1, block: int = 1 << 14) -> list[int]:
+    """``words`` numbers of 64 bits; bit k is 1 if it is set in over half of ``hashes``, 0 for none. Further words mix the hashes."""
+    out = []
+    for word in range(words):
+        total = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), block):
+            part = np.array(hashes[at : at + block], np.uint64)
+            if word:
+                part = mix64(part + np.uint64(word) * np.uint64(0x9E3779B97F4A7C15))
+            total += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big"))
+    return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long): lower-case of A-Z only, words ``[^\\x20\\x09-\\x0D]+``, shingles with repeats."""
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, words: int = 1) -> DataFrame:
+    """(doc_id, fp long, more long): lower-case of A-Z only, words ``[^\\x20\\x09-\\x0D]+``, shingles with repeats; more is 0 for one word."""
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(shingle_hashes(t, width, seed)) for t in b.column(1).to_pylist()]
-            yield pa.record_batch({"doc_id": b.column(0).cast(pa.int64()), "fp": pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())})
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
-
-
-def _keys(fp: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """(segment, value) of a record as one number; code: 33 a segment, 0 the value itself, k the one with bit k-1 flipped."""
-    seg, flip = code // 33, code % 33
-    value = (fp >> (seg.astype(np.uint64) * np.uint64(32))) & np.uint64(0xFFFFFFFF)
-    mask = np.where(flip > 0, np.uint64(1) << np.maximum(flip - 1, 0).astype(np.uint64), np.uint64(0))
-    return (value ^ mask) | (seg.astype(np.uint64) << np.uint64(32))
-
-
-def _star(own: np.ndarray, every: np.ndarray, radius: int) -> np.ndarray:
-    """Labels of ``every`` (its first entries are ``own``): the least index linked by chains through ``own``."""
-    label = np.arange(len(every))
-    while True:
-        before = label.copy()
-        for i in range(0, len(own), BLOCK):
-            for j in range(0, len(every), BLOCK * 4):
-                near = np.bitwise_count(own[i : i + BLOCK, None] ^ every[None, j : j + BLOCK * 4]) <= radius
-                rows, cols = slice(i, i + len(near)), slice(j, j + near.shape[1])
-                label[rows] = np.minimum(label[rows], np.where(near, label[None, cols], len(every)).min(axis=1))
-                label[cols] = np.minimum(label[cols], np.where(near, label[rows, None], len(every)).min(axis=0))
-        label = label[label]
-        if (label == before).all():
-            return label
+            fps = np.zeros((len(b), 2), np.uint64)
+            for k, t in enumerate(b.column(1).to_pylist()):
+                fps[k, :words] = fingerprint(shingle_hashes(t, width, seed), words)
+            yield pa.record_batch({"doc_id": b.column(0).cast(pa.int64()), "fp": pa.array(fps[:, 0].view(np.int64)), "more": pa.array(fps[:, 1].view(np.int64))})
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, more long")
+
+
+def _near(a: np.ndarray, b: np.ndarray, radius: int, check: int) -> np.ndarray:
+    """Whether the columns of fingerprints (2, n) and (2, m) are near, as (n, m) or with broadcasting."""
+    first = np.bitwise_count(a[0] ^ b[0])
+    return (first <= radius) & (first + np.bitwise_count(a[1] ^ b[1]) <= check)
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b): links that span the components of distinct fingerprints ``fps`` (fp long) within ``radius`` <= 3."""
+def spanning(x: np.ndarray, own: int, radius: int, check: int) -> np.ndarray:
+    """For each column of ``x`` (2, n) the least column it is linked to by chains; only links with one of the first ``own`` count.
+
+    Small groups are compared as a whole. In large ones each member looks only at those that none has
+    reached yet, so a dense group costs about its size, not its square.
+    """
+    n = x.shape[1]
+    label = np.arange(n)
+    if n <= SMALL:
+        near = _near(x[:, :own, None], x[:, None, :], radius, check)
+        if int(near.sum()) == own:
+            return label
+        while True:
+            low = np.where(near, label[None, :], n).min(axis=1)
+            new = label.copy()
+            new[:own] = np.minimum(new[:own], low)
+            new = np.minimum(new, np.where(near, new[:own, None], n).min(axis=0))
+            if (new == label).all():
+                return label
+            label = new
+    left = np.arange(n)
+    while len(left):
+        todo = [int(left[0])]
+        root, left = todo[0], left[1:]
+        while todo and len(left):
+            u = todo.pop()
+            near = _near(x[:, u : u + 1], x[:, left], radius, check)
+            if u >= own:
+                near &= left < own
+            found = left[near]
+            label[found] = root
+            todo += found.tolist()
+            left = left[~near]
+    return label
+
+
+def fingerprint_links(fps: DataFrame, radius: int = 3, check: int = 128) -> DataFrame:
+    """(a, b): links of node ids that span the components of distinct fingerprints ``fps`` (fp, more)."""
+    if radius > 11:
+        raise ValueError("radius is 11 at most")
+    segments, ball = (2, False) if radius <= 3 else (4, True)
+    bits = 64 // segments
     nb = n_groups(fps, 16)
-    codes = np.arange(66, dtype=np.int64)
+    codes = np.arange(segments * (bits + 1), dtype=np.int64)
+
+    def keys(fp: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """(segment, value) as one number; code: bits + 1 a segment, 0 the value itself, k the one with bit k - 1 flipped."""
+        seg, flip = code // (bits + 1), code % (bits + 1)
+        value = (fp >> (seg * bits).astype(np.uint64)) & np.uint64((1 << bits) - 1)
+        mask = np.where(flip > 0, np.uint64(1) << np.maximum(flip - 1, 0).astype(np.uint64), np.uint64(0))
+        return (value ^ mask) | (seg.astype(np.uint64) << np.uint64(32))
 
     def probes(batches):
         for b in batches:
-            fp = b.column(0).to_numpy().view(np.uint64)
-            for at in range(0, len(fp), 20000):
-                part = np.repeat(fp[at : at + 20000], 66)
-                code = np.tile(codes, len(part) // 66)
-                bucket = mix64(_keys(part, code)) % np.uint64(nb)
-                yield from packed(bucket.astype(np.int64), [part, code.astype(np.uint8)])
+            both = np.stack([b.column(k).to_numpy().view(np.uint64) for k in (0, 1)])
+            for at in range(0, both.shape[1], 10_000):
+                part = np.repeat(both[:, at : at + 10_000], len(codes), axis=1)
+                code = np.tile(codes, part.shape[1] // len(codes))
+                bucket = mix64(keys(part[0], code)) % np.uint64(nb)
+                yield from packed(bucket.astype(np.int64), [part[0], part[1], code.astype(np.uint8)])
 
     def verify(t: pa.Table) -> pa.Table:
-        fp, code = unpacked(t["n"].to_pylist(), t["payload"].to_pylist(), [np.uint64, np.uint8])
+        fp, more, code = unpacked(t["n"].to_pylist(), t["payload"].to_pylist(), [np.uint64, np.uint64, np.uint8])
         code = code.astype(np.int64)
-        key, probe = _keys(fp, code), code % 33 > 0
+        key, probe = keys(fp, code), (code % (bits + 1) > 0) & (not ball)
         order = np.lexsort((probe, key))
-        fp, key, probe = fp[order], key[order], probe[order]
+        x, key, probe = np.stack([fp[order], more[order]]), key[order], probe[order]
         starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1)) if len(key) else np.zeros(0, np.int64)
         sizes = np.diff(np.concatenate((starts, [len(key)])))
         a, b = [], []
-        for s, n in zip(*(x[(sizes > 1) & ~probe[starts]].tolist() for x in (starts, sizes))):
-            every = fp[s : s + n]
-            label = _star(every[: n - int(probe[s : s + n].sum())], every, radius)
-            moved = label != np.arange(n)
-            a.append(every[moved])
-            b.append(every[label[moved]])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b))
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    rows = fps.select("fp").mapInArrow(probes, packed_schema())
+        for s, n in zip(*(y[(sizes > 1) & ~probe[starts]].tolist() for y in (starts, sizes))):
+            every = x[:, s : s + n]
+            label = spanning(every, n - int(probe[s : s + n].sum()), radius, check)
+            moved = np.flatnonzero(label != np.arange(n))
+            a.append(every[:, moved])
+            b.append(every[:, label[moved]])
+        a, b = (node(np.concatenate(y, axis=1)) if y else np.zeros(0, np.int64) for y in (a, b))
+        links = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.table({"a": links[:, 0], "b": links[:, 1]})
+
+    rows = fps.select("fp", "more").mapInArrow(probes, packed_schema())
     return rows.groupBy("bucket").applyInArrow(verify, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
+def node(x: np.ndarray) -> np.ndarray:
+    """Ids of the fingerprints (2, n): the first word itself where the second is 0."""
+    return (x[0] ^ np.where(x[1] > 0, mix64(x[1]), np.uint64(0))).view(np.int64)
+
+
+def simhash_components(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3, check_radius: int | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, fp, component_id (least doc_id of its component).
 
+    Pairs at random meet within 3 of 64 bits, or within 11 of 64 and 22 of 128, about once in 10^14 pairs.
+    Four segments of 16 bits fill their buckets with the corpus; that search suits up to some ten million documents.
+
     A null text counts as empty; texts without words have fingerprint zero and link like any
     other. Repeated rows keep a row each. A null doc_id takes part but is never the least one.
     An empty table gives no rows; further columns are not read.
     """
-    own = stage(fingerprints(docs, width, seed), "fingerprints")
-    distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fp")
-    roots = components(fingerprint_links(distinct, radius))
-    of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+    lean(docs.sparkSession)
+    own = stage(fingerprints(docs, width, seed, 1 if check_radius is None else 2), "fingerprints")
+    distinct = own.groupBy("fp", "more").agg(F.min("doc_id").alias("first_doc"))
+    distinct = stage(distinct.mapInArrow(_with_node, "fp long, more long, first_doc long, node long"), "distinct-fp")
+    roots = components(fingerprint_links(distinct, radius, 128 if check_radius is None else check_radius))
+    of = distinct.join(roots, "node", "left").select("fp", "more", "first_doc", F.coalesce("root", "node").alias("root"))
     first = of.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of = stage(of.join(first, "root").select("fp", "component_id"), "components")
-    return own.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = stage(of.join(first, "root").select("fp", "more", "component_id"), "components")
+    return own.join(of, ["fp", "more"]).select("doc_id", "fp", "component_id")
+
+
+def _with_node(batches):
+    for b in batches:
+        x = np.stack([b.column(k).to_numpy().view(np.uint64) for k in (0, 1)])
+        yield pa.record_batch([*b.columns, pa.array(node(x))], names=["fp", "more", "first_doc", "node"])

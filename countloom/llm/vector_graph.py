@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage
+from .common import components, lean, stage
 
 #: A shard is split if it has more home vectors than this.
 SHARD = 1500
@@ -398,6 +398,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard: int = SH
     Search is approximate: it misses links where the graph does not lead to them, and reports none that is not one.
     An empty table gives no rows; further columns are not read.
     """
+    lean(vectors.sparkSession)
     rows = with_units(vectors)
     key = F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("unit").isNotNull(), F.sha2(F.concat(F.encode(F.col("label"), "UTF-8"), F.lit(b"\0"), F.col("unit")), 256))
     rows = stage(rows.withColumn("key", key), "units")
