@@ -1,11 +1,13 @@
 """The queries with SQL twins, row by row."""
 
+import os
+
 import duckdb
 import pytest
 
 from countloom.llm.queries import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_names():
