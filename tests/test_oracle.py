@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime
 import math
+import os
 
 import duckdb
 import pytest
 
 from countloom.plans.catalogue import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
