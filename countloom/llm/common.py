@@ -25,8 +25,10 @@ BATCH = 4 << 20
 
 def lean(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches by bytes for this session: a worker holds a few MB of text, however long the rows are."""
-    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now > BATCH:
+        spark.conf.set(key, str(BATCH))
     return spark
 
 

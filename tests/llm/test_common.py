@@ -56,6 +56,9 @@ def test_staged_tables_live_in_the_shared_folder(spark):
 
 
 def test_batches_are_bounded(spark):
-    common.lean(spark)
-    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= common.BATCH
-    common.lean(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for before, after in (("64m", common.BATCH), (str(1 << 20), 1 << 20)):
+        spark.conf.set(key, before)
+        common.lean(spark)
+        assert int(spark.conf.get(key)) == after
+    spark.conf.set(key, str(common.BATCH))
