@@ -143,32 +143,35 @@ class RunLengthIndex:
         """
         n = len(segments)
         ends = np.cumsum(sizes + 1) - 1
-        self.rest = rest = np.repeat(ends, sizes + 1) - np.arange(n)  # bytes up to the separator
+        places = np.arange(n, dtype=np.int32)
+        self.rest = rest = np.repeat(ends.astype(np.int32), sizes + 1) - places  # bytes up to the separator
         bits = max(1, n.bit_length())
         code, width = self._codes(segments, ends, bits)
         key, longest = code, int(sizes.max(initial=0))
         while True:
-            order, new = self._sorted(key, bits)
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
+            order, new = self._sorted(key, bits, places)
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(new, dtype=np.int32)
             if width <= least:
                 near, near_width = rank, width
             if width >= longest:
                 break
-            key = (rank << bits) | rank[np.arange(n) + np.minimum(rest, width)]
+            key = (rank.astype(np.int64) << bits) | rank[places + np.minimum(rest, np.int32(width))]
             width *= 2
         # equal rests of two segments go by the place of their separators
-        before = segments[order - 1].astype(np.int64)
-        opening = (order == 0) | (rest[order - 1] == 0)
-        before[opening] = -1 - np.arange(int(opening.sum()))  # separators differ from each other
+        left = order - 1
+        before = segments[left].astype(np.int32)
+        opening = (order == 0) | (rest[left] == 0)
+        before[opening] = -1 - np.arange(int(opening.sum()), dtype=np.int32)  # separators differ from each other
         head = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
         self.symbols, self.runs = before[head], head
         self.at, self.up = order[head], order[np.maximum(head - 1, 0)]
-        self.match = np.zeros(len(head), np.int64)
+        self.match = np.zeros(len(head), np.int32)
         a, b = self.at, self.up
-        far = np.flatnonzero((near[a] == near[b]) & (rest[a] >= near_width) & (rest[b] >= near_width) & (head > 0))
+        far = np.flatnonzero((near[a] == near[b]) & (head > 0))
+        far = far[(rest[a[far]] >= near_width) & (rest[b[far]] >= near_width)]
         a, b = a[far], b[far]
-        most, lcp = np.minimum(rest[a], rest[b]), np.full(len(far), near_width)
+        most, lcp = np.minimum(rest[a], rest[b]), np.full(len(far), near_width, np.int32)
         open_ = np.arange(len(far))
         while len(open_):
             p, q = a[open_] + lcp[open_], b[open_] + lcp[open_]
@@ -176,7 +179,9 @@ class RunLengthIndex:
             open_ = open_[same]
             lcp[open_] += 1
         self.match[far] = lcp
-        by = np.argsort(self.at)
+        sample = np.full(n, -1, np.int32)
+        sample[self.at] = np.arange(len(head), dtype=np.int32)
+        by = sample[sample >= 0]  # in text order
         self.at, self.up, self.match = self.at[by], self.up[by], self.match[by]
 
     @staticmethod
@@ -184,7 +189,7 @@ class RunLengthIndex:
         """A number for the first symbols of each suffix, in their order, and how many symbols it holds."""
         known = np.zeros(256, bool)
         known[segments] = True
-        symbol = np.cumsum(known)
+        symbol = np.cumsum(known, dtype=np.int64)
         each = int(symbol[-1]).bit_length()
         s = symbol[segments]
         s[ends] = 0
@@ -197,39 +202,41 @@ class RunLengthIndex:
         return code, width
 
     @staticmethod
-    def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def _sorted(key: np.ndarray, bits: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places by key, then by place, and where a new key begins. Sorts values with the place in their low bits if they fit."""
         n = len(key)
         if n and int(key.max()).bit_length() + bits <= 63:
-            both = np.sort((key << bits) | np.arange(n))
-            order, key = both & ((1 << bits) - 1), both >> bits
+            both = (key << bits) | places
+            both.sort()
+            order = (both & ((1 << bits) - 1)).astype(np.int32)
+            both >>= bits
+            key = both
         else:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key, kind="stable").astype(np.int32)
             key = key[order]
         return order, np.concatenate(([False], key[1:] != key[:-1]))
 
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For each text position, in order: the longest match with the suffix before it, and that one's place."""
-        n = len(self.rest)
-        sample = np.zeros(n, np.int64)
-        sample[self.at] = np.arange(len(self.at))
-        sample = np.maximum.accumulate(sample)
-        step = np.arange(n) - self.at[sample]
-        return self.match[sample] - step, self.up[sample] + step
+        run = np.diff(self.at, append=len(self.rest))
+        start, match, up = (np.repeat(x, run) for x in (self.at, self.match, self.up))
+        step = np.arange(len(self.rest), dtype=np.int32) - start
+        return match - step, up + step
 
 
 def first_places(index: RunLengthIndex, length: int) -> np.ndarray:
     """For each position the least position whose ``length`` bytes are the same; itself if its rest is shorter."""
     match, near = index.statistics()
-    n = len(match)
-    up = np.where(match >= length, near, np.arange(n))
+    places = np.arange(len(match), dtype=np.int32)
+    up = np.where(match >= length, near, places)
     while True:
         further = up[up]
         if (further == up).all():
             break
         up = further
-    least = np.arange(n)
-    np.minimum.at(least, up, np.arange(n))
+    least = places.copy()
+    linked = np.flatnonzero(up != places)
+    np.minimum.at(least, up[linked], places[linked])
     return least[up]
 
 
