@@ -283,11 +283,15 @@ def _shard(t: pa.Table, length: int) -> pa.Table:
     records, x = np.concatenate(parts), np.concatenate(texts)
     size = records["length"].astype(np.int64)
     begin = np.cumsum(size) - size
-    padded = np.zeros((len(records), int(size.max())), np.uint8)
-    padded[np.repeat(np.arange(len(records)), size), np.arange(len(x)) - np.repeat(begin, size)] = x
     order = np.lexsort((records["least"], records["key"]))
-    records, padded, size = records[order], padded[order], size[order]
-    same = (records["key"][1:] == records["key"][:-1]) & (size[1:] == size[:-1]) & (padded[1:] == padded[:-1]).all(axis=1)
+    records, size = records[order], size[order]
+    # a row of bytes for each record, its own first and then zeros
+    columns = np.arange(int(size.max()) + 1)
+    rows = np.lib.stride_tricks.sliding_window_view(np.append(x, np.zeros(len(columns), np.uint8)), len(columns))[begin[order]]
+    rows[columns >= size[:, None]] = 0
+    same = (records["key"][1:] == records["key"][:-1]) & (size[1:] == size[:-1])
+    maybe = np.flatnonzero(same)
+    same[maybe] = (rows[maybe + 1] == rows[maybe]).all(axis=1)
     new = np.concatenate(([True], ~same))
     head = np.flatnonzero(new)  # has the least document of its content
     by = np.argsort(records["least"][head], kind="stable")
@@ -296,15 +300,13 @@ def _shard(t: pa.Table, length: int) -> pa.Table:
     of = rank[np.cumsum(new) - 1]
     head = head[by]
     sizes = size[head]
-    flat = np.zeros(int((sizes + 1).sum()), np.uint8)
+    inside = columns <= sizes[:, None]  # with a separator after each
+    flat = rows[head][inside]
     start = np.cumsum(sizes + 1) - (sizes + 1)
-    row = np.repeat(np.arange(len(head)), sizes)
-    flat[np.arange(len(row)) + row] = padded[head[row], np.arange(len(row)) - (start[row] - row)]
-    least = records["least"][head]
-    owner = np.repeat(np.arange(len(head)), sizes + 1)
-    first = least[owner[first_places(RunLengthIndex(flat, sizes, length), length)]]
+    owner = np.repeat(np.arange(len(head), dtype=np.int32), sizes + 1)
+    first = records["least"][head][owner[first_places(RunLengthIndex(flat, sizes, length), length)]]
     # runs of windows of one content with one first document
-    window = np.flatnonzero(np.arange(len(flat)) + length <= (start + sizes)[owner])
+    window = np.flatnonzero((columns <= sizes[:, None] - length)[inside])
     edge = np.concatenate(([True], (first[window[1:]] != first[window[:-1]]) | (owner[window[1:]] != owner[window[:-1]])))
     lo = window[edge]
     hi = np.concatenate((window[np.flatnonzero(edge)[1:] - 1], window[-1:])) if len(window) else window
