@@ -148,7 +148,7 @@ def shared_keys(rows: DataFrame, anchors: Callable[[list[bytes]], Iterator[tuple
     def answer(t: pa.Table) -> pa.Table:
         kind = t["kind"].to_numpy()
         told: list[tuple[np.ndarray, np.ndarray]] = []
-        hot = np.zeros(0, np.uint64)
+        hot, hot_places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if (kind == 0).any():
             part = t.filter(pa.array(kind == 0))
             low, ref = unpacked(part["n"].to_pylist(), part["payload"].to_pylist(), [np.uint32, np.int32])
@@ -158,7 +158,7 @@ def shared_keys(rows: DataFrame, anchors: Callable[[list[bytes]], Iterator[tuple
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             count = np.diff(np.concatenate((first, [len(key)])))
             places = np.add.reduceat(np.maximum(-ref, 1), first)
-            hot = key[first[places > HOT]]
+            hot, hot_places = key[first[places > HOT]], places[places > HOT]
             shared = np.repeat(places > 1, count) & (ref >= 0)
             told.append((key[shared], ref[shared]))
         if (kind == 1).any():
@@ -166,13 +166,14 @@ def shared_keys(rows: DataFrame, anchors: Callable[[list[bytes]], Iterator[tuple
             key, chunk = unpacked(part["n"].to_pylist(), part["payload"].to_pylist(), [np.uint64, np.int32])
             told.append((key, chunk.astype(np.int64)))
         key, chunk = (np.concatenate(x) for x in zip(*told))
-        batches = [*packed(chunk, [key], key="chunk"), *packed(np.full(len(hot), -1), [hot], key="chunk")]
-        return pa.Table.from_batches(batches, schema=target) if batches else target.empty_table()
+        most = pa.array(np.minimum(hot_places, 2**31 - 1).astype(np.int32))  # a row for each hot key, with its places
+        told_hot = pa.record_batch([pa.array(np.full(len(hot), -1, np.int32)), pa.array(np.zeros(len(hot), np.int32)), most, pa.array([k.tobytes() for k in hot], pa.binary())], schema=target)
+        return pa.Table.from_batches([*packed(chunk, [key], key="chunk"), told_hot], schema=target)
 
     target = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("payload", pa.binary())])
     found = rows.mapInArrow(emit, packed_schema()).groupBy("bucket").applyInArrow(answer, packed_schema("chunk"))
     found = settled(found, "shared-keys")
-    hot = [np.frombuffer(r["payload"], np.uint64) for r in found.where("chunk = -1").select("payload").limit(MOST_HOT).collect()]
+    hot = [np.frombuffer(r["payload"], np.uint64) for r in found.where("chunk = -1").orderBy(F.desc("n"), "payload").select("payload").limit(MOST_HOT).collect()]
     return found.where("chunk >= 0").select("chunk", "payload"), np.sort(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
 
 

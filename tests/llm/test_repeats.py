@@ -134,3 +134,25 @@ def test_queries_over_the_table(spark):
     assert Counter(tuple(r)[:5] for r in got) == brute_bytes(rows, 50)
     got = queries.op9_substring_dedup(spark, BIG).collect()
     assert Counter(tuple(r)[:4] for r in got) == brute_words(rows, 35)
+
+
+def test_hot_keys_are_found(spark, monkeypatch):
+    """A common line makes its minimizers hot; workers read the limit when they are told it."""
+    import numpy as np
+
+    from countloom.llm import repeats
+
+    line = " this line of sixty and more characters is in every document of all "
+    rng = random.Random(8)
+    rows = [(k, "".join(rng.choice("abcdefgh ") for _ in range(60)) + line + "".join(rng.choice("abcdefgh ") for _ in range(60))) for k in range(5000)]
+    docs = repeats.with_chunk(frame(spark, rows), 8)
+
+    def anchors(texts):
+        for blocks in rlbwt_dedup.blocks_of(texts, 50):
+            w = rlbwt_dedup.Windows(blocks, 50, 24)
+            yield w.key, w.text
+
+    shared, hot = repeats.shared_keys(docs, anchors, 16)
+    assert 0 < len(hot) < 20 and (np.diff(hot.astype(object)) > 0).all()
+    got = rlbwt_dedup.dedup_bytes(frame(spark, rows)).select("doc_id", "n_removed").collect()
+    assert Counter((r.doc_id, r.n_removed) for r in got) == Counter((i, n) for i, _, n, _, _ in brute_bytes(rows, 50))
