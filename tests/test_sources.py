@@ -124,7 +124,7 @@ def test_scalars(spark):
     times = spark.createDataFrame([("04/10/2026 17:01:02",), ("04/10/2026 17:01",), ("2026-10-04 17:01:02",), ("nope",)], "x string")
     ts, seconds = scalars.parse_time(F.col("x"))
     assert [(str(a), b) for a, b in times.select(ts, seconds).collect()] == [("2026-10-04 17:01:02", True), ("2026-10-04 17:01:00", False), ("2026-10-04 17:01:02", True), ("None", False)]
-    names = spark.createDataFrame([("bweb_1t_AC_2026.zip",), ("https://x/y/sp/file",), ("none",)], "x string")
+    names = spark.createDataFrame([("counts_1t_AC_2026.zip",), ("https://x/y/sp/file",), ("none",)], "x string")
     assert [r[0] for r in names.select(scalars.region_of(F.col("x"), ["AC", "SP"])).collect()] == ["AC", "SP", None]
     same = spark.createDataFrame([("União", "uniao")], "a string, b string").select((scalars.accent_free(F.col("a")) == scalars.accent_free(F.col("b"))).alias("e")).first()
     assert same.e
