@@ -5,9 +5,10 @@ is looked up in a table of the items' fingerprints: eight blocks of eight bits,
 with all values within floor(radius / 8) bits, so every item within ``radius`` is found. A pair counts if
 the exact weighted Jaccard similarity of its shingles is at least ``similarity``.
 
-Windows are placed where they can match: such a window shares a shingle with its item, so the
-windows that are fingerprinted are those that align a shingle of the document with the same one
-of an item. Other windows have similarity zero.
+Windows are placed where they can match. A pair of similarity s shares at least s / (1 + s) of the shingles
+of window and item together, so a window is fingerprinted if it holds that many shingles of items of
+its size, each counted at most as often as one such item has it. The order of the shingles does not
+matter: passages whose sentences were moved are found too. The Hamming radius is the one approximation.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import lean, mix64
 from .repeats import grouped
 from .words import normal_words, shingles
 
+#: Starts of windows that are fingerprinted at once.
+STARTS = 4096
 #: Items of a block that is sent to the executors at once: at most about this many bytes of text.
 BLOCK_BYTES = 8 << 20
 BLOCKS, BITS = 8, 8
@@ -34,6 +37,16 @@ def simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).tobytes(), "big")
 
 
+def simhashes(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """:func:`simhash` of hashes[lo:hi] for each pair, from running sums of the bits."""
+    out = np.zeros(len(lo), np.uint64)
+    for k in range(64):
+        sums = np.zeros(len(hashes) + 1, np.int64)
+        np.cumsum((hashes >> np.uint64(k)) & np.uint64(1), out=sums[1:])
+        out |= ((sums[hi] - sums[lo]) * 2 > hi - lo).astype(np.uint64) << np.uint64(k)
+    return out
+
+
 def similarity_of(a: Counter, b: Counter) -> float:
     """Weighted Jaccard of two shingle bags."""
     both = sum(min(n, b[x]) for x, n in a.items())
@@ -47,7 +60,8 @@ class Items:
     def __init__(self, items: list[tuple[int, str]], width: int, radius: int):
         self.width, self.radius = width, radius
         self.ids, self.sizes, self.bags, fps = [], [], [], []
-        places: dict[int, dict[int, set[tuple[int, int]]]] = {}
+        # shingle width -> window size -> shingle -> the most times that an item of that size has it
+        most: dict[int, dict[int, dict[int, int]]] = {}
         for item, text in items:
             words = normal_words([text or ""])[0]
             if not len(words):
@@ -58,11 +72,13 @@ class Items:
             self.sizes.append(len(words))
             self.bags.append(Counter(h.tolist()))
             fps.append(simhash(h))
-            for k, x in enumerate(h.tolist()):
-                places.setdefault(w, {}).setdefault(x, set()).add((len(words), k))
+            of = most.setdefault(w, {}).setdefault(len(words), {})
+            for x, n in self.bags[-1].items():
+                of[x] = max(n, of.get(x, 0))
         self.fps = np.array(fps, np.uint64)
-        self.places = {w: {x: sorted(p) for x, p in of.items()} for w, of in places.items()}
-        self.sorted = {w: np.array(sorted(of), np.uint64) for w, of in places.items()}
+        self.sorted = {w: np.array(sorted(set().union(*of.values())), np.uint64) for w, of in most.items()}
+        # by width and window size: the places of the shingles in ``sorted``, in order, and their counts
+        self.most = {w: {n: self._most(self.sorted[w], x) for n, x in sorted(of.items())} for w, of in most.items()}
         self.maybe = {}
         for w, keys in self.sorted.items():
             self.maybe[w] = np.zeros(1 << 20, bool)
@@ -74,6 +90,12 @@ class Items:
             own = (self.fps >> np.uint64(BITS * k)) & np.uint64(255)
             self.table.append([np.flatnonzero(np.bitwise_count(own ^ v) <= near) for v in values])
 
+    @staticmethod
+    def _most(keys: np.ndarray, of: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(keys, np.array(list(of), np.uint64))
+        order = np.argsort(at)
+        return at[order], np.array(list(of.values()), np.int64)[order]
+
     def within(self, fp: int) -> np.ndarray:
         """Items whose fingerprints are within the radius."""
         found = np.unique(np.concatenate([self.table[k][(fp >> (BITS * k)) & 255] for k in range(BLOCKS)]))
@@ -111,23 +133,51 @@ class Items:
             hits = hits[np.isin(h[hits], keys)]
             if not len(hits):
                 continue
-            windows = {(n, p - k) for p in hits.tolist() for n, k in self.places[w][int(h[p])]}
-            for n, start in sorted(windows):
-                lo, hi = max(0, start), min(len(words), start + n)
-                inside = h[lo : hi - w + 1]
-                if not len(inside):
-                    continue
-                bag = None
-                for i in self.within(simhash(inside)).tolist():
-                    if min(self.width, self.sizes[i]) != w:
+            keyed = np.searchsorted(keys, h[hits])
+            for n, (own, most) in self.most[w].items():
+                for start, fp in self.windows(h, hits, keyed, own, most, n - w + 1, similarity):
+                    near = [i for i in self.within(fp).tolist() if self.sizes[i] == n]
+                    if not near:
                         continue
-                    bag = bag or Counter(inside.tolist())
-                    s = similarity_of(bag, self.bags[i])
-                    if s >= similarity and (i not in best or (-s, lo) < (-best[i][0], best[i][1])):
-                        best[i] = (s, lo, hi - lo)
+                    lo, hi = max(0, start), min(len(words), start + n)
+                    bag = Counter(h[lo : hi - w + 1].tolist())
+                    for i in near:
+                        s = similarity_of(bag, self.bags[i])
+                        if s >= similarity and (i not in best or (-s, lo) < (-best[i][0], best[i][1])):
+                            best[i] = (s, lo, hi - lo)
         return best
 
 
+    @staticmethod
+    def windows(h: np.ndarray, hits: np.ndarray, keyed: np.ndarray, own: np.ndarray, most: np.ndarray, size: int, similarity: float):
+        """(start, fingerprint) of the windows of ``size`` shingles that hold enough of ``own`` ones; borders of the text clip them."""
+        at = np.minimum(np.searchsorted(own, keyed), len(own) - 1)
+        mine = own[at] == keyed
+        places, at = hits[mine], at[mine]
+        # a window of m shingles needs s / (1 + s) of m + size, and has at least s of size itself
+        if len(places) < similarity * size - 1e-9:
+            return
+        # a place counts for the starts after the one ``most`` places of its shingle before, so that more of it don't count
+        order = np.lexsort((places, at))
+        before = np.full(len(places), -size, np.int64)
+        ranks, limit = np.arange(len(order)), most[at[order]]
+        back = np.maximum(ranks - limit, 0)
+        same = (ranks >= limit) & (at[order][back] == at[order])
+        before[order[same]] = places[order][back[same]]
+        first = np.maximum(before, places - size) + 1
+        turns, where = np.unique(np.concatenate((first, places + 1)), return_inverse=True)
+        n = len(places)
+        held = np.cumsum(np.bincount(where[:n], minlength=len(turns)) - np.bincount(where[n:], minlength=len(turns)))
+        for k in np.flatnonzero(held >= similarity * size - 1e-9).tolist():
+            for a in range(int(turns[k]), int(turns[k + 1]), STARTS):
+                starts = np.arange(a, min(a + STARTS, int(turns[k + 1])))
+                lo, hi = np.maximum(starts, 0), np.minimum(starts + size, len(h))
+                enough = held[k] >= similarity / (1 + similarity) * (hi - lo + size) - 1e-9
+                if enough.any():
+                    starts, lo, hi = starts[enough], lo[enough], hi[enough]
+                    yield from zip(starts.tolist(), simhashes(h[lo[0] : hi[-1]], lo - lo[0], hi - lo[0]).tolist())
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 23) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): one row per row of ``docs`` and item that it holds.
 

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from countloom.llm import decontaminate, queries
 
 DOCS = "doc_id long, text string, item_id string, similarity string"
@@ -61,6 +63,32 @@ def test_brute_force(spark):
     assert Counter((r.doc_id, r.item_id, round(r.similarity, 9)) for r in got) == brute(docs, items)
 
 
+def test_moved_sentences(spark):
+    rng = random.Random(4)
+    items = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))) for k, n in enumerate([60, 100, 48, 61, 60])]
+    items.append((9, " ".join([*["la"] * 9, *items[0][1].split()[:51]])))
+    docs = []
+    for k, text in items:
+        own = text.split()
+        for cut in (15, len(own) // 2, len(own) // 3):
+            around = [f"x{rng.randrange(10**6)}" for _ in range(40)]
+            docs.append((len(docs), " ".join([*around, *own[cut:], *own[:cut], *around])))
+            docs.append((len(docs), " ".join([*own[cut:], *own[:cut]])))
+    docs += [(100, "la " * 300), (101, "la " * 200 + items[5][1])]
+    want = brute(docs, items)
+    assert {(d, i) for d, i, _ in want} >= {(2 * j, j // 3) for j in range(15)}
+    got = decontaminate.find_leaks(spark.createDataFrame([(*d, "x", "y") for d in docs], DOCS), spark.createDataFrame([(*i, "z") for i in items], ITEMS)).collect()
+    assert Counter((r.doc_id, r.item_id, round(r.similarity, 9)) for r in got) == want
+
+
+def test_running_sums():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 63, 90, np.uint64)
+    lo = np.arange(60)
+    hi = np.minimum(lo + 1 + rng.integers(0, 40, 60), 90)
+    assert decontaminate.simhashes(h, lo, hi).tolist() == [decontaminate.simhash(h[a:b]) for a, b in zip(lo, hi)]
+
+
 def test_clean_rows_stay(spark):
     docs, items = planted(10)
     frame = spark.createDataFrame([(*d, "x", "y") for d in docs], DOCS)
