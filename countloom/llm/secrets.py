@@ -2,8 +2,8 @@
 
 Natural words merge into long tokens of a public byte-pair vocabulary; random strings do not.
 A run of base64-like characters whose characters per token stay under ``max_ratio`` is reported
-as kind ``random``, unless it is a digest of a known length, a UUID or an identifier
-(snake_case, camelCase or a path made of words).
+as kind ``random``, unless it is a plain number, a digest of a known length, a UUID or an identifier
+(snake_case, camelCase or a path) whose parts are words of the vocabulary: few, long tokens.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]{1,4}")
+PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 MARKS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "random")
 #: Lengths in hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = (32, 40, 56, 64, 96, 128)
+#: Letters per token, at least, of the lower-cased parts of an identifier; random letters have about 1.7.
+WORDY = 3.0
 #: The pre-tokenisation pattern published with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -40,16 +42,15 @@ def encoding(path: str):
     return tiktoken.Encoding(path.rsplit("/", 1)[-1], pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_known(run: str) -> bool:
+def is_known(run: str, enc) -> bool:
     """A digest, a UUID, a plain number, or an identifier made of words."""
     if run.isdigit() or UUID.fullmatch(run):
         return True
     if len(run) in DIGESTS and not set(run.lower()) - set("0123456789abcdef"):
         return True
-    parts = [p for p in re.split(r"[+/_=-]+", run) if p]
-    if not any(c.isdigit() for c in run) and all(p.islower() or p.isupper() or p.istitle() for p in parts):
-        return True
-    return len("".join(x for p in parts for x in WORD.findall(p))) >= 0.9 * sum(map(len, parts)) and max(map(len, WORD.findall(run)), default=0) >= 5
+    parts = PART.findall(run)
+    letters = sum(map(len, parts))
+    return 2 * letters >= len(run) and letters >= WORDY * sum(len(enc.encode_ordinary(f" {p.lower()}")) for p in parts)
 
 
 def scan(text: str, enc, max_ratio: float) -> list[tuple[int, int, int]]:
@@ -63,7 +64,7 @@ def scan(text: str, enc, max_ratio: float) -> list[tuple[int, int, int]]:
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     for m in RUN.finditer(text):
         run = m[0]
-        if not (run.isalpha() and (run.islower() or run.isupper())) and not is_known(run) and len(run) < max_ratio * len(enc.encode_ordinary(run)):
+        if len(run) < max_ratio * len(enc.encode_ordinary(run)) and not is_known(run, enc):
             found.append((m.start(), m.end(), 3))
     return sorted(found, key=lambda x: (x[0], x[2]))
 
