@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import subprocess
 import sys
@@ -12,6 +13,13 @@ import pytest
 import __spark_entry__
 
 ROOT = Path(__file__).resolve().parent.parent
+#: Without the path of the original: a copy must import its own modules only.
+ENV = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+
+
+def said_by(folder: Path, code: str) -> subprocess.CompletedProcess:
+    lead = f"import sys; sys.path.insert(0, {str(folder)!r}); "
+    return subprocess.run([sys.executable, "-P", "-c", lead + code], cwd=folder, env=ENV, capture_output=True, text=True)
 
 
 def test_entry(spark):
@@ -30,7 +38,8 @@ def test_without_the_training_data_operators(tmp_path, gone):
     for g in gone:
         if (tmp_path / "r" / g).is_dir():
             shutil.rmtree(tmp_path / "r" / g)
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"], cwd=tmp_path / "r", capture_output=True, text=True, check=True)
+    said = said_by(tmp_path / "r", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())")
+    assert said.returncode == 0, said.stderr
     assert said.stdout.split()[2] == "False" and int(said.stdout.split()[0]) > 50
 
 
@@ -40,7 +49,7 @@ def test_a_broken_operator_is_not_hidden(tmp_path):
     if not package.is_dir():
         pytest.skip("the operators are not here")
     (package / "queries.py").write_text("import a_module_that_is_not_there\n")
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path / "r", capture_output=True, text=True)
+    said = said_by(tmp_path / "r", "import __spark_entry__")
     assert said.returncode and "a_module_that_is_not_there" in said.stderr
 
 
