@@ -6,19 +6,16 @@ executor can read them again after another one is lost.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from countloom.sources.storage import discard, shared_dir, stage  # noqa: F401
+
 TOKENIZERS = "/opt/tokenizers"
 
 
-#: Bytes of a row group of a staged table, which a writer holds in memory.
-ROW_GROUP = 32 << 20
 #: Bytes of an Arrow batch between Spark and a Python worker.
 BATCH = 4 << 20
 
@@ -32,31 +29,6 @@ def lean(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a local one is set only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-countloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/countloom/{name}-{uuid.uuid4().hex}"
-    df.write.options(compression="zstd", **{"parquet.block.size": ROW_GROUP}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """:func:`stage`, then a hint that what led to it is garbage: the cleaner can drop its shuffle files, which nothing reads again."""
-    spark, out = df.sparkSession, stage(df, name)
-    del df
-    spark.sparkContext._jvm.System.gc()
-    return out
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -123,21 +95,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round hooks every node to its least neighbour, jumps twice along the hooks and
     contracts the edges; a path shrinks by a factor of about four a round. Nulls and loops
-    are ignored. All of it stays in Spark tables; nothing goes to the driver but counts.
+    are ignored. All of it stays in Spark tables, each deleted once the next ones are written; nothing goes to the driver
+    but counts. Links that are left after ``rounds`` are an error.
     """
+    spark = edges.sparkSession
     links = stage(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     roots = None
     for _ in range(rounds):
         if links.isEmpty():
             break
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        hook = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "hook")
+        first = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "hook")
+        hook = first
         for _ in range(2):
             hook = hook.join(hook.select(F.col("u").alias("p"), F.col("p").alias("q")), "p").select("u", F.col("q").alias("p"))
         hook = stage(hook, "jump")
+        old = [links.staged_path, first.staged_path]
         if roots is None:
             roots = hook.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:
+            old.append(roots.staged_path)
             roots = roots.join(hook.select(F.col("u").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
         roots = stage(roots, "roots")
         left = hook.select(F.col("u").alias("a"), F.col("p").alias("x"))
@@ -146,6 +123,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             links.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
             "links",
         )
+        discard(spark, *old, hook.staged_path)
+    else:
+        if not links.isEmpty():
+            raise RuntimeError(f"links are left after {rounds} rounds")
     if roots is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots

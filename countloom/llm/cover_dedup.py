@@ -4,70 +4,84 @@ The positions i of a document whose i modulo 13 lies in the difference cover {0,
 For any two positions there is a shift k < 13 that takes both to anchors; so two equal windows of 35
 words share an aligned pair of anchors, and the 23 words from there on lie in both windows. Only
 the hashes of these 23 words at anchors are compared over the corpus, 4 for each 13 words.
-Where an anchor is shared, the windows that may hold it are extended to: they are hashed
-whole, with 96 bits, and those in several places are removed.
+Where an anchor is shared, the windows that may hold it are extended to, and those in several places are removed.
+Two windows count as one if a rolling hash of their word hashes agrees and so does an XXH3 of their whole bytes, 64 bits
+each. Both rest on a seed that is drawn for each run, so no text can be made to collide.
 """
 
 from __future__ import annotations
 
 import functools
+import secrets
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
-from .common import lean, n_groups, packed, packed_schema, settled, unpacked
-from .repeats import PIECE, Task, chunkwise, member, shared_keys, short, sorted_keys, with_chunk
+from .common import lean, n_groups, packed, packed_schema, stage, unpacked
+from .repeats import Task, chunkwise, member, shared_keys, short, sorted_keys, with_chunk
 from .words import runs, spans_hash
 
 #: Difference covers by modulus: each difference modulo it arises between two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-_SECOND = 0xC2B2AE3D27D4EB4F
 #: Windows that a task holds before it sends them.
 HELD = 1 << 21
+#: Words of up to so many bytes are remembered with their hashes, up to so many of them.
+SHORT_WORD, KNOWN = 32, 1 << 16
+
+
+class WordHashes(dict):
+    """XXH3 of each word's bytes under a seed."""
+
+    def __init__(self, seed: int):
+        self.seed = seed
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh3_64_intdigest(word, self.seed)
+        if len(word) <= SHORT_WORD:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[word] = found
+        return found
 
 
 @functools.lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each byte whether it separates words, and a random 64-bit value."""
-    blank = np.zeros(256, bool)
-    blank[[0x20, *range(0x09, 0x0E)]] = True
-    return blank, np.random.default_rng(35).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of the texts, and how many words each text has; words are never cut."""
-    blank, value = _tables()
-    joined = b"\n".join(texts) + b"\n"
-    out, starts = [], []
-    at = 0
-    while at < len(joined):
-        end = min(len(joined), at + PIECE)
-        while end < len(joined) and joined[end - 1] not in b" \t\n\v\f\r":
-            end += 1
-        x = np.frombuffer(joined, np.uint8, end - at, at)
-        s, e = runs(~blank[x])
-        out.append(spans_hash(value[x], s, e))
-        starts.append(s + at)
-        at = end
-    begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    return np.concatenate(out), np.diff(np.searchsorted(np.concatenate(starts), begin))
+def _hashes(seed: int) -> WordHashes:
+    """One table a worker and run."""
+    return WordHashes(seed)
 
 
 class Layout:
     """The words of a piece: where its documents begin, and each word's place in its document."""
 
-    def __init__(self, texts: list[bytes]):
-        self.words, self.count = word_hashes(texts)
+    def __init__(self, texts: list[bytes], hashes: WordHashes):
+        split = [t.split() for t in texts]  # bytes: at the six ASCII separators only
+        self.seed = hashes.seed
+        self.tokens = [w for part in split for w in part]
+        self.words = np.fromiter(map(hashes.__getitem__, self.tokens), np.uint64, len(self.tokens))
+        self.count = np.fromiter(map(len, split), np.int64, len(split))
         self.first = np.cumsum(self.count) - self.count
         self.owner = np.repeat(np.arange(len(texts)), self.count)
         self.place = np.arange(len(self.words)) - self.first[self.owner]
         self.left = self.count[self.owner] - self.place
 
-    def hashes(self, at: np.ndarray, width: int, base: int | None = None) -> np.ndarray:
+    def hashes(self, at: np.ndarray, width: int) -> np.ndarray:
         """Hash of ``width`` words from each place on."""
-        return spans_hash(self.words, at, at + width, *([] if base is None else [base]))
+        return spans_hash(self.words, at, at + width)
+
+    def digests(self, at: np.ndarray, width: int) -> np.ndarray:
+        """XXH3 of the bytes of ``width`` words from each place on, joined by spaces."""
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        lo, hi = int(at.min()), int(at.max()) + width
+        text = b" ".join(self.tokens[lo:hi])
+        ends = np.cumsum(np.fromiter(map(len, self.tokens[lo:hi]), np.int64, hi - lo) + 1)
+        begin = np.concatenate(([0], ends[:-1]))
+        digest, seed = xxhash.xxh3_64_intdigest, self.seed
+        spans = zip(begin[at - lo].tolist(), (ends[at - lo + width - 1] - 1).tolist())
+        return np.fromiter((digest(text[s:e], seed) for s, e in spans), np.uint64, len(at))
 
 
 class Cover:
@@ -103,7 +117,7 @@ def _sent(found: list[tuple[np.ndarray, np.ndarray]], chunk: int, nb: int):
 
 def _repeated(t: pa.Table) -> pa.Table:
     """For each chunk its windows that are in several places."""
-    a, b, ref = unpacked(t["n"].to_pylist(), t["payload"].to_pylist(), [np.uint64, np.uint32, np.int32])
+    a, b, ref = unpacked(t["n"].to_pylist(), t["payload"].to_pylist(), [np.uint64, np.uint64, np.int32])
     order = np.lexsort((b, a))
     a, b, ref = a[order], b[order], ref[order]
     first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
@@ -127,13 +141,14 @@ def dedup_windows(docs: DataFrame, window: int = 35) -> DataFrame:
     An empty table gives no rows; further columns are not read. A text's word hashes are in
     memory at once, about ten bytes for each byte of it.
     """
+    hashes = functools.partial(_hashes, secrets.randbits(64))
     lean(docs.sparkSession)
     chunks, nb = n_groups(docs, 4, most=1 << 22), n_groups(docs, 16, most=1 << 22)
     rows = with_chunk(docs, chunks)
     cover = Cover(window)
 
     def anchors(texts):
-        x = Layout(texts)
+        x = Layout(texts, hashes())
         at, key = cover.anchors(x)
         yield key, x.owner[at]
 
@@ -146,11 +161,11 @@ def dedup_windows(docs: DataFrame, window: int = 35) -> DataFrame:
             self.chunk, self.keys, self.found = chunk, sorted_keys(payloads), []
 
         def piece(self, doc_ids, texts):
-            x = Layout(texts)
+            x = Layout(texts, hashes())
             at, key = cover.anchors(x)
             starts = cover.windows(x, at[member(short(key, nb), self.keys)])
             if len(starts):
-                self.found.append((x.hashes(starts, window), x.hashes(starts, window, _SECOND).astype(np.uint32)))
+                self.found.append((x.hashes(starts, window), x.digests(starts, window)))
             if sum(len(a) for a, _ in self.found) > HELD:
                 yield from self.end()
 
@@ -160,12 +175,12 @@ def dedup_windows(docs: DataFrame, window: int = 35) -> DataFrame:
             self.found = []
 
     places = chunkwise(shared, rows, Candidates, packed_schema())
-    again = settled(places.groupBy("bucket").applyInArrow(_repeated, packed_schema("chunk")).select("chunk", "payload"), "repeated-windows")
+    again = stage(places.groupBy("bucket").applyInArrow(_repeated, packed_schema("chunk")).select("chunk", "payload"), "repeated-windows")
 
     class Removal(Task):
         def __init__(self, chunk, payloads):
-            parts = [unpacked([len(p) // 12], [p], [np.uint64, np.uint32]) for p in payloads]
-            a, b = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+            parts = [unpacked([len(p) // 16], [p], [np.uint64, np.uint64]) for p in payloads]
+            a, b = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
             order = np.argsort(a)
             self.first, self.second = a[order], b[order]
 
@@ -178,7 +193,7 @@ def dedup_windows(docs: DataFrame, window: int = 35) -> DataFrame:
             h = x.hashes(starts, window)
             near = np.flatnonzero(member(h, a))
             at, starts, h = np.searchsorted(a, h[near]), starts[near], h[near]
-            second = x.hashes(starts, window, _SECOND).astype(np.uint32)
+            second = x.digests(starts, window)
             hit, open_ = np.zeros(len(at), bool), np.arange(len(at))
             while len(open_):  # entries with the same first hash lie side by side
                 hit[open_] = b[at[open_]] == second[open_]
@@ -189,7 +204,7 @@ def dedup_windows(docs: DataFrame, window: int = 35) -> DataFrame:
             return starts[hit]
 
         def piece(self, doc_ids, texts):
-            x = Layout(texts)
+            x = Layout(texts, hashes())
             edge = np.zeros(len(x.words) + 1, np.int64)
             starts = self.starts(x)
             np.add.at(edge, starts, 1)
@@ -201,7 +216,7 @@ def dedup_windows(docs: DataFrame, window: int = 35) -> DataFrame:
         out = {"n_removed": [], "spans": [], "kept": []}
         for k, t in enumerate(texts):
             mine = gone[x.first[k] : x.first[k] + x.count[k]]
-            words = t.split()
+            words = x.tokens[x.first[k] : x.first[k] + x.count[k]]
             s, e = runs(mine)
             out["n_removed"].append(int(mine.sum()))
             out["spans"].append([{"start": i, "end": j} for i, j in zip(s.tolist(), e.tolist())])

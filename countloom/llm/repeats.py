@@ -15,16 +15,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, packed, packed_schema, settled, unpacked
+from .common import mix64, packed, packed_schema, stage, unpacked
 
 #: Bytes of text that are looked at together, and keys that are gathered before they are sent.
 PIECE = 1 << 18
 FLUSH = 1 << 19
 #: Bytes of text that a task bundles at once.
 BUNDLE = 16 << 20
-#: At most so many of the most frequent keys are told to every task; each occurs in more than HOT places.
-MOST_HOT = 1 << 16
+#: A key in more places than this is hot.
 HOT = 4096
+#: Hot keys are told as a set of slots of this many bits, 16 MB at most however many they are.
+SLOT_BITS = 27
 
 
 def with_chunk(docs: DataFrame, chunks: int) -> DataFrame:
@@ -98,8 +99,40 @@ def short(key: np.ndarray, nb: int) -> np.ndarray:
     return (_split(key, nb).astype(np.uint64) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
 
 
-def shared_keys(rows: DataFrame, anchors: Callable[[list[bytes]], Iterator[tuple[np.ndarray, np.ndarray]]], nb: int) -> tuple[DataFrame, np.ndarray]:
-    """The keys of anchors in several places: a staged table (chunk, keys binary) and the hot keys, sorted.
+class Slots:
+    """Hot keys by the slot of their hash. A key that shares a slot counts as hot too, everywhere alike; that costs time only."""
+
+    def __init__(self, words: np.ndarray, bits: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.bits = words[order], bits[order]
+
+    @staticmethod
+    def of(keys: np.ndarray) -> np.ndarray:
+        return mix64(keys) >> np.uint64(64 - SLOT_BITS)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(keys), bool)
+        slot = self.of(keys)
+        word = (slot >> np.uint64(6)).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+        return (self.words[at] == word) & ((self.bits[at] >> (slot & np.uint64(63))) & np.uint64(1) > 0)
+
+
+def _slots(keys: DataFrame) -> Slots:
+    """:class:`Slots` of rows (payload binary: keys), united in Spark."""
+
+    def run(batches):
+        for b in batches:
+            slot = Slots.of(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64))
+            yield pa.record_batch({"word": pa.array((slot >> np.uint64(6)).astype(np.int32)), "bits": pa.array((np.uint64(1) << (slot & np.uint64(63))).view(np.int64))})
+
+    got = keys.select("payload").mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    return Slots(got["word"].to_numpy().astype(np.int64), got["bits"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def shared_keys(rows: DataFrame, anchors: Callable[[list[bytes]], Iterator[tuple[np.ndarray, np.ndarray]]], nb: int) -> tuple[DataFrame, Slots]:
+    """The keys of anchors in several places: a staged table (chunk, keys binary) and the hot keys.
 
     ``anchors`` yields arrays (key, index of its text). A task sends a key it meets once with its chunk;
     a key it meets several times goes out once with their number, and its chunks get
@@ -148,7 +181,7 @@ def shared_keys(rows: DataFrame, anchors: Callable[[list[bytes]], Iterator[tuple
     def answer(t: pa.Table) -> pa.Table:
         kind = t["kind"].to_numpy()
         told: list[tuple[np.ndarray, np.ndarray]] = []
-        hot, hot_places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        hot = np.zeros(0, np.uint64)
         if (kind == 0).any():
             part = t.filter(pa.array(kind == 0))
             low, ref = unpacked(part["n"].to_pylist(), part["payload"].to_pylist(), [np.uint32, np.int32])
@@ -158,7 +191,7 @@ def shared_keys(rows: DataFrame, anchors: Callable[[list[bytes]], Iterator[tuple
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             count = np.diff(np.concatenate((first, [len(key)])))
             places = np.add.reduceat(np.maximum(-ref, 1), first)
-            hot, hot_places = key[first[places > HOT]], places[places > HOT]
+            hot = key[first[places > HOT]]
             shared = np.repeat(places > 1, count) & (ref >= 0)
             told.append((key[shared], ref[shared]))
         if (kind == 1).any():
@@ -166,15 +199,13 @@ def shared_keys(rows: DataFrame, anchors: Callable[[list[bytes]], Iterator[tuple
             key, chunk = unpacked(part["n"].to_pylist(), part["payload"].to_pylist(), [np.uint64, np.int32])
             told.append((key, chunk.astype(np.int64)))
         key, chunk = (np.concatenate(x) for x in zip(*told))
-        most = pa.array(np.minimum(hot_places, 2**31 - 1).astype(np.int32))  # a row for each hot key, with its places
-        told_hot = pa.record_batch([pa.array(np.full(len(hot), -1, np.int32)), pa.array(np.zeros(len(hot), np.int32)), most, pa.array([k.tobytes() for k in hot], pa.binary())], schema=target)
-        return pa.Table.from_batches([*packed(chunk, [key], key="chunk"), told_hot], schema=target)
+        told_hot = pa.record_batch([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([len(hot)], pa.int32()), pa.array([hot.tobytes()], pa.binary())], schema=target)
+        return pa.Table.from_batches([*packed(chunk, [key], key="chunk"), *[told_hot] * (len(hot) > 0)], schema=target)
 
     target = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("payload", pa.binary())])
     found = rows.mapInArrow(emit, packed_schema()).groupBy("bucket").applyInArrow(answer, packed_schema("chunk"))
-    found = settled(found, "shared-keys")
-    hot = [np.frombuffer(r["payload"], np.uint64) for r in found.where("chunk = -1").orderBy(F.desc("n"), "payload").select("payload").limit(MOST_HOT).collect()]
-    return found.where("chunk >= 0").select("chunk", "payload"), np.sort(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
+    found = stage(found, "shared-keys")
+    return found.where("chunk >= 0").select("chunk", "payload"), _slots(found.where("chunk = -1"))
 
 
 class Task:

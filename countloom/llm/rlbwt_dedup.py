@@ -15,15 +15,17 @@ are chained; the first text position of a chain names the smallest document that
 from __future__ import annotations
 
 import functools
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, mix64, n_groups, packed, packed_schema, settled, unpacked
+from .common import lean, mix64, n_groups, packed, packed_schema, stage, unpacked
 from .repeats import PIECE, Task, chunkwise, member, shared_keys, short, sorted_keys, with_chunk
 from .words import runs
 
@@ -34,6 +36,8 @@ HELD = 1 << 24
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _ANSWERS = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("payload", pa.binary())])
 _RECORD = np.dtype([("key", "<u8"), ("least", "<i8"), ("chunk", "<i4"), ("length", "u1")])
+#: A segment's length and the places in it are held in a byte.
+LONGEST = 200
 
 
 @functools.lru_cache(1)
@@ -273,7 +277,35 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def _shard(t: pa.Table, length: int) -> pa.Table:
+def checks(x: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """32 bits of XXH3 over the bytes of each span of ``x``."""
+    text, digest = x.tobytes(), xxhash.xxh3_64_intdigest
+    return (np.fromiter((digest(text[s:e], seed) for s, e in zip(start.tolist(), (start + size).tolist())), np.uint64, len(start)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _merged(content: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments by content: their order, the first of each content, and which of these stand for sure for all with their key.
+
+    Bytes are compared: segments that share a key without being equal stay apart and aren't sure.
+    """
+    order = np.lexsort((doc, content))
+    content, start, size = content[order], start[order], size[order]
+    same = (content[1:] == content[:-1]) & (size[1:] == size[:-1])
+    pairs = np.flatnonzero(same)
+    for lo in range(0, len(pairs), 1 << 14):
+        p = pairs[lo : lo + (1 << 14)]
+        n = size[p]
+        differ = np.add.reduceat(x[_spans(start[p], n)] != x[_spans(start[p + 1], n)], np.cumsum(n) - n)
+        same[p[differ > 0]] = False
+    head = np.flatnonzero(np.concatenate(([True], ~same)))
+    key = content[head]
+    sure = np.ones(len(head), bool)
+    twice = key[1:] == key[:-1]
+    sure[1:][twice] = sure[:-1][twice] = False
+    return order, head, sure
+
+
+def _shard(t: pa.Table, length: int, seed: int) -> pa.Table:
     """For each chunk: which windows of its segments start in an earlier document, and in which."""
     parts, texts = [], []
     for n, data in zip(t["n"].to_pylist(), t["payload"].to_pylist()):
@@ -319,7 +351,8 @@ def _shard(t: pa.Table, length: int) -> pa.Table:
     rec, span, chunk = rec[need], span[need], chunk[need]
     sure = chunk >= 0  # one document of the chunk has this content: it is said here that it is a later one
     chunk = np.where(sure, chunk, -chunk - 1)
-    columns = [records["key"][rec], (lo[span] - start[of[rec]]).astype(np.uint8), (hi[span] - start[of[rec]]).astype(np.uint8)]
+    check = checks(flat, start, sizes, seed)
+    columns = [records["key"][rec], check[of[rec]], (lo[span] - start[of[rec]]).astype(np.uint8), (hi[span] - start[of[rec]]).astype(np.uint8)]
     batches = [*packed(chunk[sure], [c[sure] for c in columns], key="chunk"), *packed(chunk[~sure], [c[~sure] for c in (*columns, first[lo[span]])], key="chunk", kind=1)]
     return pa.Table.from_batches(batches, schema=_ANSWERS).select(["chunk", "payload", "kind"]) if batches else _ANSWERS.empty_table().select(["chunk", "payload", "kind"])
 
@@ -336,8 +369,9 @@ def dedup_bytes(docs: DataFrame, length: int = 50, inner: int = 24) -> DataFrame
     they have and takes nothing. An empty table gives no rows; further columns are not read.
     ``inner`` is the length of a minimizer; ``length`` may be up to twice ``inner`` and two more.
     """
-    if not inner < length <= 2 * inner + 2:
-        raise ValueError("length must lie in inner + 1 .. 2 * inner + 2")
+    if not inner < length <= 2 * inner + 2 or length > LONGEST // 2:
+        raise ValueError(f"length must lie in inner + 1 .. 2 * inner + 2, and be {LONGEST // 2} at most")
+    seed = secrets.randbits(64)
     lean(docs.sparkSession)
     chunks, nb = n_groups(docs, 4, most=1 << 22), n_groups(docs, 16, most=1 << 22)
     rows = with_chunk(docs, chunks)
@@ -352,7 +386,7 @@ def dedup_bytes(docs: DataFrame, length: int = 50, inner: int = 24) -> DataFrame
             yield w.key, w.text
 
     shared, hot = shared_keys(rows, anchors, nb)
-    told = docs.sparkSession.sparkContext.broadcast(hot)  # MOST_HOT keys at most
+    told = docs.sparkSession.sparkContext.broadcast(hot)  # bounded: see Slots
 
     def ids(doc_ids) -> np.ndarray:
         return doc_ids.fill_null(LAST).to_numpy()
@@ -361,18 +395,19 @@ def dedup_bytes(docs: DataFrame, length: int = 50, inner: int = 24) -> DataFrame
         """Sends the segments with shared minimizers, each distinct one of the chunk once with its least document."""
 
         def __init__(self, chunk, payloads):
-            self.chunk, self.keys, self.held, self.size = chunk, sorted_keys(payloads), [], 0
+            self.chunk, self.keys, self.held, self.size, self.whole = chunk, sorted_keys(payloads), [], 0, True
 
         def piece(self, doc_ids, texts):
             docs_of = ids(doc_ids)
             for w in pieces(texts):
                 which = np.flatnonzero(member(short(w.key, nb), self.keys))
-                run, first, last = w.opened(which, member(short(w.key, nb), told.value))
+                run, first, last = w.opened(which, told.value.has(short(w.key, nb)))
                 if len(run):
                     size = last - first + length
                     self.held.append((w.key[run], w.content(first, last), docs_of[w.text[run]], size, w.x[_spans(first, size)]))
                     self.size += int(size.sum())
             if self.size > HELD:
+                self.whole = False  # other documents of the chunk can follow: nothing is sure of all of them
                 yield from self.end()
 
         def end(self):
@@ -381,47 +416,47 @@ def dedup_bytes(docs: DataFrame, length: int = 50, inner: int = 24) -> DataFrame
             key, content, doc, size, x = (np.concatenate(c) for c in zip(*self.held))
             self.held, self.size = [], 0
             start = np.cumsum(size) - size
-            order = np.lexsort((doc, content))
+            order, head, sure = _merged(content, doc, start, size, x)
             key, content, doc, size, start = (a[order] for a in (key, content, doc, size, start))
-            head = np.flatnonzero(np.concatenate(([True], content[1:] != content[:-1])))
             final = np.append(head[1:], len(content)) - 1
             records = np.zeros(len(head), _RECORD)
             records["key"], records["least"], records["length"] = content[head], doc[head], size[head]
-            records["chunk"] = np.where(doc[final] > doc[head], -self.chunk - 1, self.chunk)
-            single = (size[head] == length) & member(short(key[head], nb), told.value)
+            records["chunk"] = np.where((doc[final] > doc[head]) | ~sure | (not self.whole), -self.chunk - 1, self.chunk)
+            single = (size[head] == length) & told.value.has(short(key[head], nb))
             route = np.where(single, mix64(content[head] ^ _B), mix64(key[head]))
             yield from _packed((route % np.uint64(nb)).astype(np.int64), records, start[head], x)
 
     def answered(t: pa.Table) -> pa.Table:
-        return _shard(t, length)
+        return _shard(t, length, seed)
 
     found = chunkwise(shared, rows, Segments, packed_schema()).groupBy("bucket").applyInArrow(answered, "chunk int, payload binary, kind int")
     found = found.select("chunk", F.concat(F.when(F.col("kind") == 1, F.lit(b"\1")).otherwise(F.lit(b"\0")), "payload").alias("payload"))
-    found = settled(found, "repeated-segments")
+    found = stage(found, "repeated-segments")
 
     class Removal(Task):
         def __init__(self, chunk, payloads):
-            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.int64))]
+            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.int64))]
             for p in payloads:
                 if p[0]:
-                    parts.append(unpacked([(len(p) - 1) // 18], [p[1:]], [np.uint64, np.uint8, np.uint8, np.int64]))
+                    parts.append(unpacked([(len(p) - 1) // 22], [p[1:]], [np.uint64, np.uint32, np.uint8, np.uint8, np.int64]))
                 else:
-                    key, lo, hi = unpacked([(len(p) - 1) // 10], [p[1:]], [np.uint64, np.uint8, np.uint8])
-                    parts.append((key, lo, hi, np.full(len(key), np.iinfo(np.int64).min)))
-            key, lo, hi, first = (np.concatenate(c) for c in zip(*parts))
+                    key, check, lo, hi = unpacked([(len(p) - 1) // 14], [p[1:]], [np.uint64, np.uint32, np.uint8, np.uint8])
+                    parts.append((key, check, lo, hi, np.full(len(key), np.iinfo(np.int64).min)))
+            key, check, lo, hi, first = (np.concatenate(c) for c in zip(*parts))
             order = np.argsort(key, kind="stable")
-            self.key, self.lo, self.hi, self.first = key[order], lo[order].astype(np.int64), hi[order].astype(np.int64), first[order]
+            self.key, self.check, self.lo, self.hi, self.first = key[order], check[order], lo[order].astype(np.int64), hi[order].astype(np.int64), first[order]
 
         def piece(self, doc_ids, texts):
             docs_of, gone = ids(doc_ids), [None] * len(texts)
             for w in pieces(texts) if len(self.key) else ():
-                run, first, last = w.opened(np.arange(len(w.key)), member(short(w.key, nb), told.value))
+                run, first, last = w.opened(np.arange(len(w.key)), told.value.has(short(w.key, nb)))
                 content = w.content(first, last)
                 some = np.flatnonzero(member(content, self.key))
                 lo = np.searchsorted(self.key, content[some])
                 n = np.searchsorted(self.key, content[some], "right") - lo
                 rec, entry = np.repeat(some, n), _spans(lo, n)
-                yes = self.first[entry] < docs_of[w.text[run[rec]]]
+                check = checks(w.x, first[some], last[some] - first[some] + length, seed)
+                yes = (self.first[entry] < docs_of[w.text[run[rec]]]) & (self.check[entry] == np.repeat(check, n))
                 rec, entry = rec[yes], entry[yes]
                 text, shift = w.text[run[rec]], w.shift[run[rec]]
                 start, end = first[rec] + self.lo[entry] + shift, first[rec] + self.hi[entry] + shift + length

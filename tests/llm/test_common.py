@@ -1,8 +1,10 @@
 """Components, packed exchanges and the session's settings."""
 
 import random
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 from countloom.llm import common
 
@@ -51,8 +53,16 @@ def test_packed_and_unpacked():
 
 
 def test_staged_tables_live_in_the_shared_folder(spark):
-    staged = common.settled(spark.range(9), "nine")
+    staged = common.stage(spark.range(9), "nine")
     assert staged.count() == 9 and staged.inputFiles()[0].startswith(common.shared_dir(spark))
+    common.discard(spark, staged.staged_path)
+    assert spark.range(1).count() == 1 and not Path(staged.staged_path.removeprefix("file://")).exists()
+
+
+def test_links_that_are_left_are_an_error(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        common.components(path, rounds=1)
 
 
 def test_batches_are_bounded(spark):
