@@ -1,10 +1,11 @@
 """Token ids in training order: fixed-stride binary shards under a keyed permutation.
 
-Documents are encoded once; their ids, each document closed by an end mark, form one stream that is cut into
-sequences of ``length`` ids. A Feistel network over the least even number of bits that holds
+Documents are sorted by id over ranges and encoded once; their ids, each document closed by an end mark, form one stream
+that is cut into sequences of ``length`` ids. A document's place in it follows from the documents alone, however they are dealt. A Feistel network over the least even number of bits that holds
 the number of sequences, with cycle-walking, permutes them: sequence number to global slot and back, from a key
 alone. Shard k holds the slots of one range; every slot has the same number of bytes in it, so the
-place of a slot follows from its number, and reading goes on from any slot.
+place of a slot follows from its number, and reading goes on from any slot. Ranges of shards are folders of their own, so that a
+reader opens none of the earlier ones.
 
 Executors reach shared stores through Spark's writers only, so a shard is a Parquet row
 (shard, first_slot, n, payload); ``payload`` is the plain little-endian array of its ids.
@@ -17,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, lean, mix64, stage
+from countloom.sources.storage import shuffles_dropped
+
+from .common import TOKENIZERS, discard, lean, mix64, stage
 from .secrets import encoding
 
 ROUNDS = 6
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 PER_SHARD = 1024
+#: Shards of a file, at most.
+PER_FILE = 32
 
 
 class Order:
@@ -57,25 +62,26 @@ class Order:
 
 
 def encoded(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
-    """(part, start, n, ids binary): each document's ids and where they start in the stream of its part."""
+    """(part, start, n, ids binary): each document's ids and where they start in the stream of its part; parts follow each other.
+
+    Parts are ranges of (doc_id, hash of the text), and so is the order within one.
+    """
 
     def run(batches):
         enc = encoding(vocabulary)
-        kind, part, start = _kind(max(enc.max_token_value, end)), None, 0
+        kind, start = _kind(max(enc.max_token_value, end)), 0
         for b in batches:
             out = {"part": [], "start": [], "n": [], "ids": []}
             for p, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if p != part:
-                    part, start = p, 0
-                if not text:
-                    continue
                 ids = np.array([*enc.encode_ordinary(text), end], kind)
                 for key, x in zip(out, (p, start, len(ids), ids.tobytes())):
                     out[key].append(x)
                 start += len(ids)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())]))
 
-    return docs.select(F.spark_partition_id().alias("part"), "text").mapInArrow(run, "part int, start long, n long, ids binary")
+    rows = docs.where("text is not null and text <> ''").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    return rows.select(F.spark_partition_id().alias("part"), "text").mapInArrow(run, "part int, start long, n long, ids binary")
 
 
 def _kind(largest: int) -> np.dtype:
@@ -83,9 +89,10 @@ def _kind(largest: int) -> np.dtype:
 
 
 def materialise(docs: DataFrame, path: str, key: int = 20, length: int = 2048, per_shard: int = PER_SHARD, vocabulary: str = VOCABULARY, end: int = 50256) -> None:
-    """Writes the shards of ``docs`` (text) to ``path``/shards and one row about them to ``path``/about.
+    """Writes the shards of ``docs`` (doc_id, text) to ``path``/shards and one row about them to ``path``/about.
 
-    Documents follow each other as the input's partitions hold them; null and empty texts have no ids and no end mark.
+    Documents follow each other by doc_id, nulls first, then by a hash of the text; so the same documents and key give the same
+    slots on any cluster. Null and empty texts have no ids and no end mark.
     The last sequence is filled up with ``end``. Very long texts are encoded whole and cut like any other. Repeated rows stay. An
     empty table gives no shards. Further columns are not read.
     """
@@ -98,6 +105,8 @@ def materialise(docs: DataFrame, path: str, key: int = 20, length: int = 2048, p
     n = -(-total // length)
     order = Order(n, key)
     base = spark.sparkContext.broadcast(dict(zip(sizes, np.cumsum([0, *sizes.values()]).tolist())))
+    shards = max(1, -(-n // per_shard))
+    ranges = max(-(-shards // PER_FILE), min(shards, 2 * spark.sparkContext.defaultParallelism))
 
     def cut(batches):
         for b in batches:
@@ -137,14 +146,23 @@ def materialise(docs: DataFrame, path: str, key: int = 20, length: int = 2048, p
         size = [len(p) // (length * kind.itemsize) for _, p in out]
         return pa.record_batch({"shard": pa.array([k for k, _ in out], pa.int64()), "first_slot": pa.array([k * per_shard for k, _ in out], pa.int64()), "n": pa.array(size, pa.int64()), "payload": pa.array([bytes(p) for _, p in out], pa.binary())})
 
-    pieces = ids.select("part", "start", "ids").mapInArrow(cut, "shard long, slot long, at int, ids binary").repartition("shard").sortWithinPartitions("shard")
-    pieces.mapInArrow(fill, "shard long, first_slot long, n long, payload binary").write.option("compression", "zstd").parquet(f"{path}/shards")
-    about = spark.createDataFrame([(n, total, length, per_shard, kind.itemsize, key, end)], "n_sequences long, n_tokens long, length int, per_shard int, width int, key long, end int")
+    pieces = ids.select("part", "start", "ids").mapInArrow(cut, "shard long, slot long, at int, ids binary")
+    pieces = pieces.repartitionById(ranges, _range(F.col("shard"), ranges, shards)).sortWithinPartitions("shard")
+    made_of = pieces.mapInArrow(fill, "shard long, first_slot long, n long, payload binary").withColumn("range", _range(F.col("shard"), ranges, shards))
+    with shuffles_dropped(spark):
+        made_of.write.partitionBy("range").option("compression", "zstd").parquet(f"{path}/shards")
+    discard(spark, ids.staged_path)
+    about = spark.createDataFrame([(n, total, length, per_shard, kind.itemsize, key, end, shards, ranges)], "n_sequences long, n_tokens long, length int, per_shard int, width int, key long, end int, shards long, ranges int")
     about.coalesce(1).write.parquet(f"{path}/about")
 
 
+def _range(shard, ranges: int, shards: int):
+    """The file that holds a shard: ranges of shards of equal size."""
+    return F.floor(shard * ranges / shards).cast("int")
+
+
 def read(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame:
-    """(slot, sequence, n_tokens, ids array<int>) from ``from_slot`` on; only the shards from there on are read.
+    """(slot, sequence, n_tokens, ids array<int>) from ``from_slot`` on; only the files from there on are opened.
 
     Rows come in slot order within a shard. ``n_tokens`` is less than the length in the last sequence only.
     """
@@ -169,5 +187,9 @@ def read(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(m))).astype(np.int32)), pa.array(flat))
                     yield pa.record_batch({"slot": pa.array(slot[lo : lo + 256]), "sequence": pa.array(s), "n_tokens": pa.array(m), "ids": lists})
 
-    shards = spark.read.parquet(f"{path}/shards").where(F.col("shard") >= from_slot // per_shard)
+    if not n:
+        return spark.createDataFrame([], "slot long, sequence long, n_tokens long, ids array<int>")
+    shard = from_slot // per_shard
+    schema = "shard long, first_slot long, n long, payload binary, range int"
+    shards = spark.read.schema(schema).parquet(f"{path}/shards").where((F.col("range") >= shard * about["ranges"] // about["shards"]) & (F.col("shard") >= shard))
     return shards.select("first_slot", "n", "payload").mapInArrow(run, "slot long, sequence long, n_tokens long, ids array<int>")
