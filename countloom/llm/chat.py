@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +73,9 @@ def loss_mask(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
 def encode(formatted: str, spans: list[tuple[int, int]], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token ids, offsets (code points) and loss mask of a rendered text."""
     got = tokenizer(path).encode(formatted, add_special_tokens=False)
-    offsets = np.array(got.offsets, np.int64).reshape(-1, 2)
-    return np.array(got.ids, np.int64), offsets, loss_mask(offsets, np.array(spans, np.int64).reshape(-1, 2))
+    ids = np.array(got.ids, np.int32)
+    offsets = np.fromiter(chain.from_iterable(got.offsets), np.int32, 2 * len(ids)).reshape(-1, 2)
+    return ids, offsets, loss_mask(offsets, np.array(spans, np.int64).reshape(-1, 2))
 
 
 def masked_text(formatted: str, offsets: np.ndarray, mask: np.ndarray) -> str:
@@ -87,7 +89,11 @@ def masked_text(formatted: str, offsets: np.ndarray, mask: np.ndarray) -> str:
     return "".join(formatted[s:e] for s, e in zip(starts.tolist(), stops.tolist()))
 
 
-SCHEMA = "conv_id long, part int, n_turns long, formatted string, ids array<int>, mask array<boolean>, spans array<struct<start:int,end:int>>"
+SCHEMA = "conv_id long, part long, n_turns long, formatted string, ids array<int>, starts array<int>, ends array<int>, mask array<boolean>, spans array<struct<start:int,end:int>>"
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts), kind))
 
 
 def format_conversations(rows: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json", trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -95,90 +101,112 @@ def format_conversations(rows: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_
 
     Turns go by turn, then role, then text (nulls first); repeated rows stay. A null text or
     role counts as empty; rows with a null conv_id form a conversation of their own. One row
-    has a whole conversation, or, for a very long one, its next 2^18 characters or more of
-    whole turns: marks are added tokens, so the parts have the ids of the whole. Rows come
-    sorted within their partition and are read as a stream, so no conversation is held whole.
-    Returns conv_id, part, n_turns, formatted, ids, mask, spans (of trained texts, in the part).
+    has a whole conversation or a part of whole turns, in the order of ``part``: a very long one is cut after 2^18 characters
+    or more, and where a range of turns ends. Marks are added tokens, so the parts have the ids of the whole.
+    Rows are dealt by ranges of (conv_id, turn) and read as a stream: a hot conversation takes several tasks, and none is
+    held whole. Only turns of one number stay together.
+    An empty table gives no rows; further columns are not read.
+    Returns conv_id, part, n_turns, formatted, ids, starts and ends (the tokens' offsets in the part), mask, spans (of
+    trained texts, in the part).
     """
 
     def run(batches):
         state: dict = {"conv": None, "open": False, "part": 0}
-        out: list[dict] = []
+        out: list[tuple] = []
 
         def flush(last: bool):
             formatted = "".join(state["texts"])
-            ids, _, mask = encode(formatted, state["spans"], vocabulary)
-            out.append({"conv_id": state["conv"], "part": state["part"], "n_turns": len(state["texts"]), "formatted": formatted, "ids": ids.tolist(), "mask": mask.tolist(), "spans": [{"start": s, "end": e} for s, e in state["spans"]]})
+            ids, offsets, mask = encode(formatted, state["spans"], vocabulary)
+            out.append((state["conv"], (state["range"] << 32) + state["part"], len(state["texts"]), formatted, ids, offsets[:, 0], offsets[:, 1], mask, np.array(state["spans"], np.int32).reshape(-1, 2)))
             state.update(texts=[], spans=[], size=0, part=0 if last else state["part"] + 1)
 
         def batch():
-            made = pa.RecordBatch.from_pylist(out, schema=target)
+            conv, part, n, formatted, ids, starts, ends, mask, spans = zip(*out)
             out.clear()
-            return made
+            flat = np.concatenate(spans)
+            pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"])
+            spans = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, spans)]).astype(np.int32)), pairs)
+            columns = [pa.array(conv, pa.int64()), pa.array(part, pa.int64()), pa.array(n, pa.int64()), pa.array(formatted, pa.string()), *(_lists(x, pa.int32()) for x in (ids, starts, ends)), _lists(mask, pa.bool_()), spans]
+            return pa.record_batch(columns, names=["conv_id", "part", "n_turns", "formatted", "ids", "starts", "ends", "mask", "spans"])
 
+        held = 0
         for b in batches:
-            for conv, role, text in zip(*(b.column(k).to_pylist() for k in (0, 2, 3))):
+            for conv, where, role, text in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 3))):
                 if not state["open"] or conv != state["conv"]:
                     if state["open"] and state["texts"]:
                         flush(True)
-                    state.update(conv=conv, open=True, texts=[], spans=[], size=0, part=0)
+                    state.update(conv=conv, open=True, texts=[], spans=[], size=0, part=0, range=where)
                 turn, s, e = render(role or "", text or "")
                 if (role or "") in trained and e > s:
                     state["spans"].append((state["size"] + s, state["size"] + e))
                 state["texts"].append(turn)
                 state["size"] += len(turn)
+                held += len(turn)
                 if state["size"] >= FLUSH:
                     flush(False)
-                if len(out) >= 500:
+                if out and held >= 4 * FLUSH:
+                    held = 0
                     yield batch()
         if state["open"] and state["texts"]:
             flush(True)
         if out:
             yield batch()
 
-    target = pa.schema(
-        [("conv_id", pa.int64()), ("part", pa.int32()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.bool_())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-    )
     lean(rows.sparkSession)
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, SCHEMA)
+    rows = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return rows.select("conv_id", F.spark_partition_id().cast("long").alias("range"), "role", "text").mapInArrow(run, SCHEMA)
 
 
-def read_back(formatted: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+def read_back(formatted: DataFrame) -> DataFrame:
     """One row per conversation, all of it read from the output of :func:`format_conversations`.
 
     conv_id, n_turns, turns_sha256 (role, newline, text, newline of each parsed turn),
     loss_chars and loss_sha256 (unescaped text under the token mask), formatted_chars. The
-    loss text comes from the tokens' mask and the offsets of the formatted text.
+    loss text comes from the tokens' mask and offsets; nothing is encoded again. Parts are parsed where they lie; a digest reads
+    the parts of its conversation one after another. An empty table gives no rows.
     """
 
-    def run(batches):
-        for_one: dict = {}
+    def parsed(batches):
+        for b in batches:
+            out = {"conv_id": b.column(0), "part": b.column(1), "n_turns": [], "turns": [], "loss": [], "chars": []}
+            columns = [b.column(k) for k in range(2, 6)]
+            for k in range(len(b)):
+                text = columns[0][k].as_py()
+                starts, ends, mask = (np.asarray(c[k].values) if c is not columns[3] else c[k].values.to_numpy(zero_copy_only=False) for c in columns[1:])
+                turns = parse(text)
+                out["n_turns"].append(len(turns))
+                out["turns"].append("".join(f"{role}\n{said}\n" for role, said in turns))
+                out["loss"].append(unescape(masked_text(text, np.stack((starts, ends), axis=1), mask)))
+                out["chars"].append(len(text))
+            yield pa.RecordBatch.from_pydict(out, schema=middle)
+
+    middle = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("n_turns", pa.int64()), ("turns", pa.string()), ("loss", pa.string()), ("chars", pa.int64())])
+
+    def digested(batches):
+        now: dict = {}
 
         def row():
-            return {"conv_id": for_one["conv"], "n_turns": for_one["n"], "turns_sha256": for_one["turns"].hexdigest(), "loss_chars": for_one["loss"], "loss_sha256": for_one["text"].hexdigest(), "formatted_chars": for_one["size"]}
+            return {"conv_id": now["conv"], "n_turns": now["n"], "turns_sha256": now["turns"].hexdigest(), "loss_chars": now["loss"], "loss_sha256": now["text"].hexdigest(), "formatted_chars": now["size"]}
 
         for b in batches:
             out = []
-            for conv, part, formatted, mask in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if part == 0:
-                    if for_one:
+            for conv, n, turns, loss, chars in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4, 5))):
+                if not now or conv != now["conv"]:
+                    if now:
                         out.append(row())
-                    for_one = {"conv": conv, "n": 0, "turns": hashlib.sha256(), "loss": 0, "text": hashlib.sha256(), "size": 0}
-                turns = parse(formatted)
-                for_one["n"] += len(turns)
-                for role, text in turns:
-                    for_one["turns"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                offsets = np.array(tokenizer(vocabulary).encode(formatted, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
-                loss = unescape(masked_text(formatted, offsets, np.array(mask, bool)))
-                for_one["loss"] += len(loss)
-                for_one["text"].update(loss.encode("utf-8", "surrogatepass"))
-                for_one["size"] += len(formatted)
+                    now = {"conv": conv, "n": 0, "turns": hashlib.sha256(), "loss": 0, "text": hashlib.sha256(), "size": 0}
+                now["n"] += n
+                now["turns"].update(turns.encode("utf-8", "surrogatepass"))
+                now["loss"] += len(loss)
+                now["text"].update(loss.encode("utf-8", "surrogatepass"))
+                now["size"] += chars
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=target)
-        if for_one:
+        if now:
             yield pa.RecordBatch.from_pylist([row()], schema=target)
 
     target = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    rows = formatted.select("conv_id", "part", "formatted", "mask")
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    parts = formatted.select("conv_id", "part", "formatted", "starts", "ends", "mask").mapInArrow(parsed, "conv_id long, part long, n_turns long, turns string, loss string, chars long")
+    parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return parts.mapInArrow(digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -29,6 +29,8 @@ from .common import TOKENIZERS, lean, stage
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 GIANT = 1 << 16
 CHUNK = 1 << 14
+#: Chunks of a task, about.
+CHUNKS_OF_TASK = 32
 SPACE = "▁"
 FRAGMENT = re.compile(r" *[^ \n]+| +|\n")
 CACHE = 60_000
@@ -273,9 +275,13 @@ def _encoded_giants(docs: DataFrame, model: str, chunk: int) -> DataFrame:
         ids = np.frombuffer(b"".join(t["ids"].to_pylist()), np.int32)
         return pa.table({"row": t["row"].slice(0, 1), "ids": pa.array([ids], pa.list_(pa.int32()))})
 
-    chunks = stage(docs.mapInArrow(split, "row long, part int, parts int, lo int, hi int, s string").repartition("row", "part"), "chunks")
+    # a chunk costs about a second, so each is dealt on its own: adaptive execution would put such few bytes in one task
+    spark = docs.sparkSession
+    parts = docs.agg(F.sum(F.ceil(F.char_length("text") / chunk))).first()[0] or 1
+    tasks = int(min(parts, max(2 * spark.sparkContext.defaultParallelism, -(-parts // CHUNKS_OF_TASK))))
+    chunks = stage(docs.mapInArrow(split, "row long, part int, parts int, lo int, hi int, s string").repartition(tasks, "row", "part"), "chunks")
     states = chunks.mapInArrow(transfers, "row long, part int, m binary").groupBy("row").applyInArrow(combine, "row long, part int, o int, t int, e int")
-    done = chunks.join(states, ["row", "part"]).select("row", "part", "parts", "lo", "hi", "s", "o", "t", "e")
+    done = chunks.repartition(tasks, "row", "part").join(states.repartition(tasks, "row", "part"), ["row", "part"]).select("row", "part", "parts", "lo", "hi", "s", "o", "t", "e")
     return done.mapInArrow(trace, "row long, part int, ids binary").groupBy("row").applyInArrow(assemble, "row long, ids array<int>")
 
 
@@ -286,7 +292,8 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, chunk: int =
 
     A null or empty text has no ids. Texts of over ``giant`` characters take the parallel scan
     over chunks of ``chunk``. A space mark U+2581 in a text counts as a space, as in the library.
-    Repeated rows stay; further columns are kept; a column ``ids`` of the input is replaced.
+    Repeated rows stay; further columns are kept whatever their names; a column ``ids`` of the input is replaced.
+    An empty table gives no rows.
     """
     lean(docs.sparkSession)
     docs = docs.drop("ids", "decoded") if decoded else docs.drop("ids")
@@ -309,16 +316,16 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, chunk: int =
     schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), *[StructField("decoded", StringType())] * decoded])
     big = F.coalesce(F.char_length("text") > giant, F.lit(False))
     ordinary = docs.where(~big).mapInArrow(short, schema)
-    giants = stage(docs.where(big).withColumn("__row", F.monotonically_increasing_id()), "giants")
+    giants = stage(docs.where(big).select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc")), "giants")
     if giants.isEmpty():
         return ordinary
-    found = _encoded_giants(giants.select(F.col("__row").alias("row"), "text").repartition("row"), model, chunk)
-    done = giants.join(found.withColumnRenamed("row", "__row"), "__row").drop("__row")
+    found = _encoded_giants(giants.select("row", "doc.text"), model, chunk)
+    done = giants.join(found, "row").select("doc.*", "ids")
     return ordinary.unionByName(decode(done, model) if decoded else done)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """``encoded`` with a column decoded string, from its ids; null ids give null."""
+    """``encoded`` with a column decoded string, from its ids; null ids give null, an empty table no rows."""
     lean(encoded.sparkSession)
     columns = [c for c in encoded.columns if c != "decoded"]
     at = columns.index("ids")

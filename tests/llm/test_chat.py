@@ -62,5 +62,15 @@ def test_long_conversations_go_in_parts_with_the_ids_of_the_whole(spark, monkeyp
     assert ids.tolist() == [i for p in parts for i in p.ids]
 
 
+def test_a_hot_conversation_takes_several_tasks(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(4000)]
+    formatted = chat.format_conversations(spark.createDataFrame([(*r, "i", "p") for r in rows], ROWS).repartition(4))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    assert len({p.part >> 32 for p in formatted.collect()}) == 4
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    got = {r.conv_id: tuple(r)[1:] for r in chat.read_back(formatted).collect()}
+    assert got == expected(rows)
+
+
 def test_empty(spark):
     assert chat.read_back(chat.format_conversations(spark.createDataFrame([], ROWS))).count() == 0

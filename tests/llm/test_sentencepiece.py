@@ -7,7 +7,7 @@ import sentencepiece
 
 from countloom.llm import sentencepiece_scan as sp
 
-DOCS = "doc_id long, text string, row string, ids string, part string"
+DOCS = "doc_id long, text string, row string, ids string, part string, __row string, doc string"
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def texts(seed, n, most):
 @pytest.mark.parametrize(("giant", "chunk", "most"), [(1 << 16, 1 << 14, 60), (100, 40, 400), (200, 150, 900)])
 def test_ids_and_round_trip(spark, library, giant, chunk, most):
     rows = [(k, t) for k, t in enumerate([*texts(giant, 25, most), "", "a", " ", "▁", "aaaa" * 300, " " * 500, "x" * 700])] + [(3, "same"), (3, "same"), (None, "null id"), (99, None)]
-    df = spark.createDataFrame([(*r, "r", "i", "p") for r in rows], DOCS).repartition(3)
+    df = spark.createDataFrame([(*r, "r", "i", "p", "w", "d") for r in rows], DOCS).repartition(3)
     got = sp.decode(sp.encode(df, giant=giant, chunk=chunk)).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t in rows)
     both = sp.encode(df, giant=giant, chunk=chunk, decoded=True)
