@@ -28,23 +28,43 @@ from .words import runs, spans_hash
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 #: Windows that a task holds before it sends them.
 HELD = 1 << 21
-#: Words of up to so many bytes are remembered with their hashes, up to so many of them.
-SHORT_WORD, KNOWN = 32, 1 << 16
+#: Bytes of a word that are hashed by tables; longer words are hashed as a whole.
+LONG_WORD = 64
+#: Bytes that are split at once, which stay in a processor's cache.
+BLOCK = 1 << 15
 
 
-class WordHashes(dict):
-    """XXH3 of each word's bytes under a seed."""
+class WordHashes:
+    """Hashes of words: the sum of a random value for each byte at its place, or XXH3 for long ones. Both follow from a seed."""
 
     def __init__(self, seed: int):
         self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word, self.seed)
-        if len(word) <= SHORT_WORD:
-            if len(self) >= KNOWN:
-                self.clear()
-            self[word] = found
-        return found
+        self.blank = np.zeros(256, bool)
+        self.blank[[0x20, *range(0x09, 0x0E)]] = True
+        self.value = np.random.default_rng(seed).integers(0, 1 << 64, 256 * LONG_WORD, np.uint64)
+
+    def split(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+        """The words of ``data``: their starts, sizes and hashes, and all of them joined by single spaces, each followed by one."""
+        x = np.frombuffer(data, np.uint8)
+        blank = self.blank[x]
+        starts, ends = runs(~blank)
+        size = ends - starts
+        flat = x[~blank]  # the words' bytes, one word after another
+        if not len(starts):
+            return starts, size, np.zeros(0, np.uint64), b""
+        begin = np.cumsum(size) - size
+        place = np.arange(len(flat), dtype=np.int32) - np.repeat(begin.astype(np.int32), size)
+        short = size <= LONG_WORD
+        if not short.all():
+            place = np.minimum(place, LONG_WORD - 1)
+        sums = np.add.reduceat(self.value[(place << 8) + flat], begin)
+        for k in np.flatnonzero(~short).tolist():
+            sums[k] = xxhash.xxh3_64_intdigest(flat[begin[k] : begin[k] + size[k]].tobytes(), self.seed)
+        joined = np.full(len(flat) + len(starts), 32, np.uint8)
+        spaces = np.zeros(len(joined), bool)
+        spaces[begin + size + np.arange(len(starts))] = True
+        joined[~spaces] = flat
+        return starts, size, sums, joined.tobytes()
 
 
 @functools.lru_cache(1)
@@ -57,11 +77,23 @@ class Layout:
     """The words of a piece: where its documents begin, and each word's place in its document."""
 
     def __init__(self, texts: list[bytes], hashes: WordHashes):
-        split = [t.split() for t in texts]  # bytes: at the six ASCII separators only
         self.seed = hashes.seed
-        self.tokens = [w for part in split for w in part]
-        self.words = np.fromiter(map(hashes.__getitem__, self.tokens), np.uint64, len(self.tokens))
-        self.count = np.fromiter(map(len, split), np.int64, len(split))
+        data = b"\n".join(texts) + b"\n"
+        starts, sizes, sums, joined, at = [], [], [], [], 0
+        while at < len(data):
+            end = min(len(data), at + BLOCK)
+            while end < len(data) and data[end - 1] not in b" \t\n\v\f\r":
+                end += 1  # a word is never cut
+            s, n, h, part = hashes.split(data[at:end])
+            starts.append(s + at)
+            sizes.append(n)
+            sums.append(h)
+            joined.append(part)
+            at = end
+        self.words, self.joined = np.concatenate(sums), b"".join(joined)
+        self.ends = np.cumsum(np.concatenate(sizes) + 1) - 1  # of each word in ``joined``
+        begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        self.count = np.diff(np.searchsorted(np.concatenate(starts), begin))
         self.first = np.cumsum(self.count) - self.count
         self.owner = np.repeat(np.arange(len(texts)), self.count)
         self.place = np.arange(len(self.words)) - self.first[self.owner]
@@ -73,15 +105,9 @@ class Layout:
 
     def digests(self, at: np.ndarray, width: int) -> np.ndarray:
         """XXH3 of the bytes of ``width`` words from each place on, joined by spaces."""
-        if not len(at):
-            return np.zeros(0, np.uint64)
-        lo, hi = int(at.min()), int(at.max()) + width
-        text = b" ".join(self.tokens[lo:hi])
-        ends = np.cumsum(np.fromiter(map(len, self.tokens[lo:hi]), np.int64, hi - lo) + 1)
-        begin = np.concatenate(([0], ends[:-1]))
-        digest, seed = xxhash.xxh3_64_intdigest, self.seed
-        spans = zip(begin[at - lo].tolist(), (ends[at - lo + width - 1] - 1).tolist())
-        return np.fromiter((digest(text[s:e], seed) for s, e in spans), np.uint64, len(at))
+        digest, seed, text = xxhash.xxh3_64_intdigest, self.seed, self.joined
+        begin = np.where(at > 0, self.ends[at - 1] + 1, 0)
+        return np.fromiter((digest(text[s:e], seed) for s, e in zip(begin.tolist(), self.ends[at + width - 1].tolist())), np.uint64, len(at))
 
 
 class Cover:
@@ -216,7 +242,7 @@ def dedup_windows(docs: DataFrame, window: int = 35) -> DataFrame:
         out = {"n_removed": [], "spans": [], "kept": []}
         for k, t in enumerate(texts):
             mine = gone[x.first[k] : x.first[k] + x.count[k]]
-            words = x.tokens[x.first[k] : x.first[k] + x.count[k]]
+            words = t.split()
             s, e = runs(mine)
             out["n_removed"].append(int(mine.sum()))
             out["spans"].append([{"start": i, "end": j} for i, j in zip(s.tolist(), e.tolist())])
