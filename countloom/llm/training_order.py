@@ -26,8 +26,8 @@ from .secrets import encoding
 ROUNDS = 6
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 PER_SHARD = 1024
-#: Shards of a file, at most.
-PER_FILE = 32
+#: Shards of a folder and of a file, at most.
+PER_FOLDER, PER_FILE = 32, 8
 
 
 class Order:
@@ -106,7 +106,8 @@ def materialise(docs: DataFrame, path: str, key: int = 20, length: int = 2048, p
     order = Order(n, key)
     base = spark.sparkContext.broadcast(dict(zip(sizes, np.cumsum([0, *sizes.values()]).tolist())))
     shards = max(1, -(-n // per_shard))
-    ranges = max(-(-shards // PER_FILE), min(shards, 2 * spark.sparkContext.defaultParallelism))
+    files = max(-(-shards // PER_FILE), min(shards, 2 * spark.sparkContext.defaultParallelism))
+    ranges = -(-shards // PER_FOLDER)
 
     def cut(batches):
         for b in batches:
@@ -147,7 +148,7 @@ def materialise(docs: DataFrame, path: str, key: int = 20, length: int = 2048, p
         return pa.record_batch({"shard": pa.array([k for k, _ in out], pa.int64()), "first_slot": pa.array([k * per_shard for k, _ in out], pa.int64()), "n": pa.array(size, pa.int64()), "payload": pa.array([bytes(p) for _, p in out], pa.binary())})
 
     pieces = ids.select("part", "start", "ids").mapInArrow(cut, "shard long, slot long, at int, ids binary")
-    pieces = pieces.repartitionById(ranges, _range(F.col("shard"), ranges, shards)).sortWithinPartitions("shard")
+    pieces = pieces.repartitionById(files, _range(F.col("shard"), files, shards)).sortWithinPartitions("shard")
     made_of = pieces.mapInArrow(fill, "shard long, first_slot long, n long, payload binary").withColumn("range", _range(F.col("shard"), ranges, shards))
     with shuffles_dropped(spark):
         made_of.write.partitionBy("range").option("compression", "zstd").parquet(f"{path}/shards")
@@ -157,7 +158,7 @@ def materialise(docs: DataFrame, path: str, key: int = 20, length: int = 2048, p
 
 
 def _range(shard, ranges: int, shards: int):
-    """The file that holds a shard: ranges of shards of equal size."""
+    """The file or folder that holds a shard: ranges of shards of equal size."""
     return F.floor(shard * ranges / shards).cast("int")
 
 
