@@ -66,18 +66,77 @@ def test_contract(spark, seed):
     assert sorted(((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in got), key=key) == sorted(((i, f, c) for (i, _), f, c in zip(rows, fps, want)), key=key)
 
 
-def test_wide_radius(spark):
-    rows = planted(3)
-    both = [simhash_dedup.fingerprint(simhash_dedup.shingle_hashes(t, 5, 42), 2) for _, t in rows]
-
-    def near(a, b):
-        first = (both[a][0] ^ both[b][0]).bit_count()
-        return first <= 11 and first + (both[a][1] ^ both[b][1]).bit_count() <= 22
-
-    want = brute_components(rows, near)
-    got = simhash_dedup.simhash_components(spark.createDataFrame([(*r, "f", "c", "n") for r in rows], DOCS), width=5, radius=11, check_radius=22).collect()
-    key = lambda x: tuple(-1 if v is None else v for v in x)
-    assert sorted(((r.doc_id, r.component_id) for r in got), key=key) == sorted(((i, c) for (i, _), c in zip(rows, want)), key=key)
+def jaccard(a, b, width=5):
+    x, y = (set(simhash_dedup.shingle_hashes(t, width, 42).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def pair(rng, words, edits, size=300):
+    """A text and a copy with some words replaced, half of them in a row."""
+    a = [rng.choice(words) for _ in range(size)]
+    b = list(a)
+    at = rng.randrange(size - edits)
+    for k in [*range(at, at + edits // 2), *(rng.randrange(size) for _ in range(edits - edits // 2))]:
+        b[k] = rng.choice(words)
+    return " ".join(a), " ".join(b)
+
+
+def test_near_duplicates_at_the_similarity(spark):
+    """At least nine of ten pairs at 0.80-0.85 are found, nearly all above, and hardly any below."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(20_000)]
+    pairs = [pair(rng, words, rng.randint(2, 24)) for _ in range(1500)]
+    rows = [(2 * k + j, t, "f", "c", "n") for k, both in enumerate(pairs) for j, t in enumerate(both)]
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4)).collect()}
+    assert len(got) == len(rows) and all(got[2 * k] == 2 * k for k in range(len(pairs)))
+    bands = {}
+    for k, (a, b) in enumerate(pairs):
+        s = jaccard(a, b)
+        bands.setdefault("low" if s < 0.7 else "below" if s < 0.8 else "at" if s < 0.85 else "above", []).append(got[2 * k + 1] == 2 * k)
+    share = {k: sum(v) / len(v) for k, v in bands.items()}
+    assert all(len(v) > 100 for v in bands.values()), {k: len(v) for k, v in bands.items()}
+    assert share["at"] >= 0.9 and share["above"] >= 0.98 and share["below"] <= 0.03 and share["low"] == 0, share
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    rows = [*planted(3, 60), (None, "only a null id here and there"), (None, None), (70_001, "a b"), (70_002, "A  b"), (70_003, "a b c")]
+    df = spark.createDataFrame([(*r, "f", "c", "n") for r in rows], DOCS).repartition(3)
+    got = simhash_dedup.near_duplicates(df).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+    of = {r.doc_id: r.component_id for r in got}
+    empty = min(i for i, t in rows if i is not None and not (t or "").split())
+    assert of[5] == of[6] == of[7] == empty
+    assert of[70_001] == of[70_002] == 70_001 and of[70_003] == 70_003
+    assert simhash_dedup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_plans_grow_with_the_input():
+    small, large = simhash_dedup.Plan.of(1000, 0.8, 0.95), simhash_dedup.Plan.of(10**9, 0.8, 0.95)
+    assert (small.width, small.tables) == (16, 4) and large.width == 28 and large.tables > 12
+    assert small.sure < 0.12 * 256 < small.radius == large.radius
+    places = large.places()
+    assert places.shape == (large.tables, 28) and all(len(set(p)) == 28 for p in places.tolist())
+
+
+def test_trees_span_what_is_near(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 63, (40, 4), np.uint64)[rng.integers(0, 40, 300)]
+    for _ in range(9):
+        x[np.arange(300), rng.integers(0, 4, 300)] ^= np.uint64(1) << rng.integers(0, 63, 300).astype(np.uint64)
+
+    def groups():
+        a, b, d = simhash_dedup._tree(x, 20)
+        assert (np.bitwise_count(x[a] ^ x[b]).sum(axis=1) == d).all() and (d <= 20).all()
+        label = np.arange(300)
+        for _ in range(300):
+            low = np.minimum(label[a], label[b])
+            np.minimum.at(label, a, low)
+            np.minimum.at(label, b, low)
+        return label.tolist(), len(a)
+
+    large = groups()
+    monkeypatch.setattr(simhash_dedup, "SMALL", 10_000)
+    assert groups() == large and large[1] == 300 - len(set(large[0]))
 
 
 @pytest.mark.parametrize("own", [700, 40])
@@ -87,10 +146,10 @@ def test_large_groups(monkeypatch, own):
     x = np.repeat(base, 30)[:700]
     for _ in range(2):
         x = x ^ (np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64))
-    x = np.stack([x, np.zeros_like(x)])
-    slow = simhash_dedup.spanning(x, own, 3, 128)
+    slow = simhash_dedup.spanning(x, own, 3)
+    assert (slow == simhash_dedup._spanning(x, own, 3)).all()
     monkeypatch.setattr(simhash_dedup, "SMALL", 10_000)
-    fast = simhash_dedup.spanning(x, own, 3, 128)
+    fast = simhash_dedup.spanning(x, own, 3)
     assert (slow == fast).all() and len(set(slow.tolist())) < 700
 
 
