@@ -7,11 +7,12 @@ replaced by a mark) and SentencePiece encoding (ids are added and decoded again
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from countloom.llm import decontaminate, langid, secrets, sentencepiece_scan, simhash_dedup
 from countloom.llm.common import stage, table
+from countloom.sources.storage import discard, discard_since, mark
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,34 +25,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each near-duplicate group, five-word shingles.
+    """Keeps the document with the least doc_id of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more.
 
-    A similarity of 0.8 leaves about 15 % of the bits of a SimHash different, so the radius is that of
-    a wide search: 11 of 64 bits and 22 of 128.
-
-    Rows that repeat a doc_id and text count once. Rows with a null doc_id cannot be named and stay.
+    Rows that repeat a doc_id and text count once. Rows with a null doc_id cannot be named and stay. Null and empty texts are
+    near-duplicates of each other. An empty table stays empty.
     """
-    got = simhash_dedup.simhash_components(docs, width=5, radius=11, check_radius=22)
+    got = simhash_dedup.near_duplicates(docs, width=5, similarity=0.8)
     kept = stage(got.where("doc_id = component_id").select("doc_id").distinct(), "kept")
     # the same strategy at every size: texts move once, nothing that grows with the corpus is broadcast
     named = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
-    repeats = docs.select("doc_id", F.xxhash64("text").alias("__text")).groupBy("doc_id", "__text").agg(F.count("*").alias("n")).where("doc_id is not null and n > 1")
+    text = F.xxhash64("text")
+    repeats = docs.where("doc_id is not null").groupBy("doc_id", text.alias("text_hash")).agg(F.count("*").alias("n")).where("n > 1")
     if not repeats.isEmpty():
-        named = named.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+        # numbered within (doc_id, text), whatever the other columns are called
+        first = F.row_number().over(Window.partitionBy("doc_id", text).orderBy(text))
+        named = named.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), first.alias("place")).where("place = 1").select("doc.*")
     return named.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops every document that holds an item of the benchmark; null and empty texts hold none and stay, an empty table stays empty."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps every document; secrets in it are replaced by a mark."""
+    """Keeps every document; secrets in it are replaced by a mark. Null and empty texts stay as they are, an empty table stays empty."""
     return secrets.redact(docs)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text (U+2581 reads as a space)."""
+    """Token ids of every document, and whether they decode to its text (U+2581 reads as a space).
+
+    Null and empty texts have no ids; an empty table gives no rows.
+    """
     done = sentencepiece_scan.encode(docs, decoded=True)
     same = F.col("decoded").eqNullSafe(F.translate(F.coalesce("text", F.lit("")), "▁", " "))
     return done.select("doc_id", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"), "ids")
@@ -70,9 +76,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Tables between the stages are deleted as soon as the next stage's is written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, apply) in enumerate(STAGES):
-        docs = apply(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs, name)
-    return docs
+    for name, apply in STAGES[:-1]:
+        began = mark()
+        last = docs
+        docs = stage(apply(spark, docs, sf_dir), name)
+        discard_since(spark, began, keep=(docs,))
+        if hasattr(last, "staged_path"):
+            discard(spark, last.staged_path)
+    return STAGES[-1][1](spark, docs, sf_dir)
