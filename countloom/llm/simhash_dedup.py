@@ -377,7 +377,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similarity: fl
     return both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.95, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.97, seed: int = 42) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, component_id (least doc_id of its group).
 
     Texts whose sets of ``width``-word shingles have at least that Jaccard ``similarity`` link; groups follow chains of links. A pair at the
