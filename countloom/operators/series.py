@@ -123,3 +123,17 @@ def pack_ties(series: DataFrame, by: str, order: str, size: str, sums: Sequence[
     kinds = dict(series.dtypes)
     schema = f"{by} {kinds[by]}, block long, start {kinds[order]}, end {kinds[order]}, buckets long, " + ", ".join(f"{c} long" for c in [size, *sums])
     return series.select(by, order, size, *sums).groupBy(by).applyInPandas(run, schema)
+
+
+def stretches(series: DataFrame, order: str, breaks: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Numbers the stretches of a series; a row for which ``breaks`` holds begins one."""
+    w = over(order, by).rowsBetween(Window.unboundedPreceding, 0)
+    return series.withColumn("stretch", F.sum(F.when(breaks, 1).otherwise(0)).over(w))
+
+
+def compared(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str], only: tuple[str, str] = ("ONLY_LEFT", "ONLY_RIGHT")) -> DataFrame:
+    """(key, status): buckets of two series, EQUAL or DIFFERENT, or in one of them only."""
+    pair = lambda df: df.select(key, F.struct(*columns).alias("x"))
+    both = pair(left).withColumnRenamed("x", "l").join(pair(right).withColumnRenamed("x", "r"), key, "full_outer")
+    status = F.when(F.col("l").isNull(), only[1]).when(F.col("r").isNull(), only[0]).when(F.col("l").eqNullSafe(F.col("r")), "EQUAL").otherwise("DIFFERENT")
+    return both.select(key, status.alias("status"))

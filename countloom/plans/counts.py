@@ -79,7 +79,7 @@ def key_certification(spark, sf_dir):
     FROM v o JOIN v w ON o.region = w.region AND o.category = w.category WHERE o.source = 'a' AND w.source = 'b'"""
 )
 def version_comparison(spark, sf_dir):
-    """Two versions of a table of totals, column by column."""
+    """Two versions of a table of totals, column by column."""
     v = three_sources(spark, sf_dir).groupBy("region", "category", "source").agg(F.sum("n").alias("n"), F.count("*").alias("rows_published"))
     old, new = v.where("source = 'a'"), v.where("source = 'b'")
     return R.compare_versions(old, new, ["region", "category"], ["n", "rows_published"], ["n", "rows_published"])
@@ -262,7 +262,7 @@ def macro_regions(spark, sf_dir):
     FROM s LEFT JOIN c USING (zone, contest)"""
 )
 def section_lookup(spark, sf_dir):
-    """Units looked up in a reference by zone and contest, with a status."""
+    """Units looked up in a reference by zone and contest, with a status."""
     rows = counted(spark, sf_dir)
     units = rows.where("l_partkey % 50 <> 0").groupBy(*UNIT).agg(F.sum("n").alias("n"))
     reference = rows.where("unit % 3 <> 0").groupBy("zone", "contest").agg(F.count_distinct("unit").alias("known"))

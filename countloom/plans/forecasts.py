@@ -89,7 +89,7 @@ def geo_counterfactual(spark, sf_dir):
     round(100.0::DOUBLE * a::DOUBLE / n::DOUBLE, 6) AS final_share FROM s"""
 )
 def early_forecast(spark, sf_dir):
-    """The final share from the first half of the batches."""
+    """The final share from the first half of the batches."""
     d = _deltas(spark, sf_dir).where("d_total > 0").select("ts", "d_total", "d_a")
     whole = Window.partitionBy()  # a row per batch
     d = d.withColumn("k", F.row_number().over(Window.orderBy("ts"))).withColumn("m", F.count("*").over(whole))
@@ -104,7 +104,7 @@ def early_forecast(spark, sf_dir):
     SELECT ts, round(100.0::DOUBLE * d_a / d_total - 100.0::DOUBLE * before_a / before_n, 6) AS change_pp, round(d_total * (1.0::DOUBLE * before_a / before_n), 4) AS expected, d_a AS observed FROM d WHERE before_n > 0"""
 )
 def batch_composition(spark, sf_dir):
-    """Each batch's share against what had been counted before it."""
+    """Each batch's share against what had been counted before it."""
     d = _deltas(spark, sf_dir).where("d_total > 0").withColumn("ba", F.col("a") - F.col("d_a")).withColumn("bn", F.col("total") - F.col("d_total")).where("bn > 0")
     change = F.lit(100.0) * F.col("d_a") / F.col("d_total") - F.lit(100.0) * F.col("ba") / F.col("bn")
     return d.select("ts", F.round(change, 6).alias("change_pp"), F.round(F.col("d_total") * (F.col("ba") / F.col("bn")), 4).alias("expected"), F.col("d_a").alias("observed"))

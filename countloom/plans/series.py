@@ -124,7 +124,7 @@ def cut_placebos(spark, sf_dir):
     SELECT region, units, round(early, 6) AS early, round(late, 6) AS late, round(late - early, 6) AS gradient FROM g"""
 )
 def quartile_gradient(spark, sf_dir):
-    """A share in the first and the last quarter of a region's units by completion."""
+    """A share in the first and the last quarter of a region's units by completion."""
     u = counted(spark, sf_dir).groupBy("region", "unit").agg(F.max("received").alias("done"), F.sum("n").alias("n"), F.sum(F.when(F.col("category") == "RF", F.col("n")).otherwise(0)).alias("a"))
     q = S.end_quarters(u, ["region"], [F.col("done"), F.col("unit")])
     share = lambda s: F.lit(100.0) * F.sum(F.when(F.col("quarter") == s, F.col("a"))) / F.sum(F.when(F.col("quarter") == s, F.col("n")))
@@ -153,7 +153,7 @@ _TARGET = 20_000
     SELECT "start", "end", CAST(volume AS BIGINT) AS volume, round(100.0::DOUBLE * cume_dist() OVER (ORDER BY volume), 6) AS percent FROM m WHERE volume <= {_TARGET * 12 // 10}"""
 )
 def matched_windows(spark, sf_dir):
-    """From each batch the first end with 80 % of a target volume, kept up to 120 % of it."""
+    """From each batch the first end with 80 % of a target volume, kept up to 120 % of it."""
     d = _deltas(spark, sf_dir)
     starts = d.where("d_total > 0").select(F.col("ts").alias("start"), (F.col("total") - F.col("d_total")).alias("before"), (F.col("total") - F.col("d_total") + _TARGET * 8 // 10).alias("level"))
     ends = first_reaching(starts, d, "level", "total", "ts", "end").where("end is not null")

@@ -34,7 +34,7 @@ def _rounded(df):
     SELECT digit, n, round(n::DOUBLE / (SELECT sum(n) FROM d), 6) AS share, round(log10(1 + 1.0::DOUBLE / digit), 6) AS expected FROM d WHERE {_OK}"""
 )
 def benford_first(spark, sf_dir):
-    """First digits of unit totals."""
+    """First digits of unit totals."""
     return _rounded(M.digit_table(_totals(spark, sf_dir), scalars.first_digit(F.col("n")), M.benford_share(F.col("digit")), _applies()))
 
 
@@ -44,7 +44,7 @@ def benford_first(spark, sf_dir):
     round((SELECT sum(log10(1 + 1.0::DOUBLE / (10 * k + digit))) FROM range(1, 10) AS r(k)), 6) AS expected FROM d WHERE {_OK}"""
 )
 def benford_second(spark, sf_dir):
-    """Second digits of unit totals."""
+    """Second digits of unit totals."""
     return _rounded(M.digit_table(_totals(spark, sf_dir), scalars.second_digit(F.col("n")), M.benford_share(F.col("digit"), True), _applies()))
 
 
@@ -53,7 +53,7 @@ def benford_second(spark, sf_dir):
     SELECT digit, n, round(n::DOUBLE / (SELECT sum(n) FROM d), 6) AS share, 0.1::DOUBLE AS expected FROM d"""
 )
 def last_digit(spark, sf_dir):
-    """M3: last digits of totals of 30 or more."""
+    """last digits of totals of 30 or more."""
     return _rounded(M.digit_table(_totals(spark, sf_dir).where("n >= 30"), scalars.last_digit(F.col("n")), F.lit(0.1), F.count("*") >= 0))
 
 
@@ -123,7 +123,7 @@ def reversal_flags(spark, sf_dir):
     SELECT region, area, zone, CASE WHEN rn >= 30 AND rxx > 1e-12 AND ryy > 1e-12 THEN round(greatest(-1, least(1, rxy / sqrt(rxx * ryy))), 6) END AS r_without FROM w"""
 )
 def zone_loo(spark, sf_dir):
-    """The coefficient without each zone, from one pass."""
+    """The coefficient without each zone, from one pass."""
     out = M.leave_group_out(_pair_moments(spark, sf_dir), ["region"], ["area", "zone"])
     return out.select("region", "area", "zone", F.round("r_without", 6).alias("r_without"))
 
@@ -206,7 +206,7 @@ def scenario_bounds(spark, sf_dir):
     SELECT n, round(xy / xx, 4) AS slope, round((sy - xy / xx * sx) / n, 3) AS intercept, round(xy * xy / (xx * yy), 9) AS r2, round(sqrt((yy - xy / xx * xy) / n), 3) AS rmse FROM c"""
 )
 def line_fit(spark, sf_dir):
-    """A line through the cumulative series, on its real time axis."""
+    """A line through the cumulative series, on its real time axis."""
     s = snapshots(spark, sf_dir).select("total", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     first = s.agg(F.min("us").alias("zero"))  # one row
     rows = s.crossJoin(F.broadcast(first)).select(((F.col("us") - F.col("zero")) / 3_600_000_000).alias("x"), F.col("total").alias("y"))
@@ -228,14 +228,14 @@ def _hours(spark, sf_dir):
     SELECT round(period, 6) AS period, round((ss * cz * cz - 2 * cs * cz * sz + cc * sz * sz) / ((cc * ss - cs * cs) * zz), 6) AS r2 FROM k"""
 )
 def periodogram(spark, sf_dir):
-    """Variance of the residuals that each period of a grid explains."""
+    """Variance of the residuals that each period of a grid explains."""
     grid = spark.range(1).select(F.explode(M.log_grid(_LOW, _HIGH, _N)).alias("period"))
     return M.periodogram(_hours(spark, sf_dir), "hour", "residual", grid).select(F.round("period", 6).alias("period"), F.round("r2", 6).alias("r2"))
 
 
 @query()
 def permutation_p(spark, sf_dir):
-    """How often a shuffle within quarters of the time explains as much as the observed order."""
+    """How often a shuffle within quarters of the time explains as much as the observed order."""
     import numpy as np
 
     periods = np.exp(np.linspace(np.log(_LOW), np.log(_HIGH), _N)).tolist()
