@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,12 @@ def accent_free(x: Column) -> Column:
     return F.collate(x, "UNICODE_CI_AI")
 
 
+def plain_key(x: Column) -> Column:
+    """Lower case without accents, as text: letters of the Latin blocks that decompose lose their marks."""
+    pairs = [(chr(k), unicodedata.normalize("NFD", chr(k))[0]) for k in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if unicodedata.decomposition(chr(k)) and chr(k).lower() == chr(k) and "<" not in unicodedata.decomposition(chr(k))]
+    return F.translate(F.lower(x), "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+
+
 def truthy(x: Column) -> Column:
     """F16: common words and digits for true, in either case; null is false."""
     return F.coalesce(F.lower(F.trim(x)).isin("1", "true", "t", "yes", "y", "sim", "s"), F.lit(False))
@@ -66,6 +74,26 @@ def region_of(name: Column, known: list[str]) -> Column:
     return F.nullif(F.upper(F.regexp_extract(name, rf"(?i)(?:^|[_/\-.])({'|'.join(known)})(?=[_/\-.]|$)", 1)), F.lit(""))
 
 
+# How published resources and files carry regions and units in their names.
+FILE_REGION = r"BWEB_[12]T_([A-Z]{2})_"
+UNIT_NAMES = (r"[-_/]([a-z]{2})[-_/]m?(\d{4,6})[-_/]z?(\d{1,4})[-_/]s?(\d{1,4})(?:[^0-9]|$)", r"p\d+-([a-z]{2})-m(\d+)-z(\d+)-s(\d+)")
+
+
+def region_of_resource(name: Column, url: Column, known: list[str]) -> Column:
+    """a known region code at the head of a resource's name, else in a known place of the file name of its address; null for none."""
+    codes = "|".join(known)
+    file = F.upper(F.url_decode(F.element_at(F.split(F.regexp_replace(F.coalesce(url, F.lit("")), r"[?#].*$", ""), "/"), -1)))
+    found = [F.regexp_extract(F.upper(F.coalesce(name, F.lit(""))), rf"^\s*({codes})\s*[-_]", 1), F.regexp_extract(file, FILE_REGION, 1), F.regexp_extract(file, rf"_({codes})(?:_|\.)", 1)]
+    return F.coalesce(*[F.when(x.isin(known), x) for x in found])
+
+
+def unit_of_file(name: Column, known: list[str]) -> Column:
+    """(region, area, zone, unit) from the name of a transmitted file, numbers without leading zeros; null fields for other names."""
+    x = F.lower(F.replace(F.coalesce(name, F.lit("")), F.lit("\\"), F.lit("/")))
+    one = lambda p: F.when(x.rlike(p) & F.upper(F.regexp_extract(x, p, 1)).isin(known), F.struct(F.upper(F.regexp_extract(x, p, 1)).alias("region"), *[F.regexp_extract(x, p, k).cast("long").cast("string").alias(c) for k, c in ((2, "area"), (3, "zone"), (4, "unit"))]))
+    return F.coalesce(*[one(p) for p in UNIT_NAMES])
+
+
 def first_digit(n: Column) -> Column:
     return F.substring(F.abs(n).cast("string"), 1, 1)
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import re
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from countloom.functions import scalars
@@ -48,8 +53,13 @@ def read_counts_csv(spark: SparkSession, path: str, columns: Sequence[str] = COU
     return spark.read.csv(path, schema=schema, sep=sep, header=True, encoding=encoding, quote='"', mode="FAILFAST", enforceSchema=False)
 
 
-def zip_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, bytes, crc) of ZIP files; an archive is opened in the task that reads it."""
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """ZIP files as rows (path, content), by Spark's own reader: from any store, up to 2 GiB each. :class:`ZippedRows` has no such bound."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def archive_members(archives: DataFrame) -> DataFrame:
+    """(archive, member, bytes, crc) of the files within archives (path, content)."""
 
     def run(batches):
         import pandas as pd
@@ -61,11 +71,22 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
                     out += [(name, i.filename, i.file_size, i.CRC) for i in z.infolist() if not i.is_dir()]
             yield pd.DataFrame(out, columns=["archive", "member", "bytes", "crc"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, bytes long, crc long")
+    return archives.mapInPandas(run, "archive string, member string, bytes long, crc long")
+
+
+#: What readers of zipped text give: a row of a member, its place and its fields.
+ROWS = "archive string, member string, line long, fields array<string>"
+
 
+def _member_rows(name: str, z: zipfile.ZipFile, member: zipfile.ZipInfo, sep: str, encoding: str) -> Iterator[tuple]:
+    """Rows of one member, read as a stream; a line break within quotes belongs to its field."""
+    with z.open(member) as f:
+        for k, fields in enumerate(csv.reader(io.TextIOWrapper(f, encoding=encoding, newline=""), delimiter=sep)):
+            yield name, member.filename, k, [x.replace("\ufeff", "") for x in fields]
 
-def read_zipped_lines(spark: SparkSession, path: str, suffix: str = ".csv", encoding: str = "ISO-8859-1", block: int = 20_000) -> DataFrame:
-    """(archive, member, line, value) of the text members of ZIP files, read as a stream within each archive."""
+
+def zipped_rows(archives: DataFrame, suffix: str = ".csv", sep: str = ";", encoding: str = "ISO-8859-1", block: int = 20_000) -> DataFrame:
+    """Rows of the text members of archives (path, content), read as a stream within each."""
 
     def run(batches):
         import pandas as pd
@@ -74,30 +95,108 @@ def read_zipped_lines(spark: SparkSession, path: str, suffix: str = ".csv", enco
             for name, content in zip(b["path"], b["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for i in z.infolist():
-                        if i.is_dir() or not i.filename.lower().endswith(suffix):
-                            continue
-                        rows = []
-                        with z.open(i) as f:
-                            for k, line in enumerate(io.TextIOWrapper(f, encoding=encoding, newline="\n")):
-                                rows.append((name, i.filename, k, line.rstrip("\r\n").replace("﻿", "")))
-                                if len(rows) >= block:
-                                    yield pd.DataFrame(rows, columns=["archive", "member", "line", "value"])
-                                    rows = []
-                        if rows:
-                            yield pd.DataFrame(rows, columns=["archive", "member", "line", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, line long, value string")
-
-
-def read_zipped_csv(spark: SparkSession, path: str, columns: Sequence[str] = COUNT_COLUMNS, sep: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
-    """The members of ZIP files as rows (archive, member, line, columns); headers and field counts are asserted."""
-    lines = read_zipped_lines(spark, path, encoding=encoding)
-    fields = F.from_csv("value", F.lit(", ".join(f"`{c}` string" for c in columns)), {"sep": sep, "quote": '"'})
-    parsed = lines.withColumn("f", fields).withColumn("n", F.size(F.split("value", f"{sep}(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")))
-    header = F.upper(F.regexp_replace("value", '"', "")) == sep.join(c.upper() for c in columns)
-    wrong = F.when((F.col("line") == 0) & ~header, F.raise_error(F.concat(F.lit("unexpected header in "), "member"))).when(F.col("n") != len(columns), F.raise_error(F.concat(F.lit("ragged row in "), "member")))
-    checked = parsed.withColumn("wrong", wrong.cast("string")).where("wrong is null and line > 0")
-    return checked.select("archive", "member", "line", *[F.col(f"f.{c}").alias(c) for c in columns])
+                        if not i.is_dir() and i.filename.lower().endswith(suffix):
+                            rows = _member_rows(name, z, i, sep, encoding)
+                            while part := list(islice(rows, block)):
+                                yield pd.DataFrame(part, columns=["archive", "member", "line", "fields"])
+
+    return archives.mapInPandas(run, ROWS)
+
+
+class ZippedRows(DataSource):
+    """``spark.read.format("zipped_rows").load(folder)``: text members of ZIP files under a path that driver and executors mount.
+
+    Each member is a split of its own, read as a stream: no archive is held, whatever its size. Options: suffix, sep, encoding.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "zipped_rows"
+
+    def schema(self) -> str:
+        return ROWS
+
+    def reader(self, schema):
+        return _ZippedReader(self.options)
+
+
+class _Member(InputPartition):
+    def __init__(self, archive: str, member: str):
+        self.archive, self.member = archive, member
+
+
+class _ZippedReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.suffix = options["path"].removeprefix("file://"), options.get("suffix", ".csv")
+        self.sep, self.encoding = options.get("sep", ";"), options.get("encoding", "ISO-8859-1")
+
+    def partitions(self):
+        path = Path(self.path)
+        found = []
+        for p in sorted(path.rglob("*.zip")) if path.is_dir() else [path]:
+            with zipfile.ZipFile(p) as z:
+                found += [_Member(str(p), i.filename) for i in z.infolist() if not i.is_dir() and i.filename.lower().endswith(self.suffix)]
+        return found or [_Member("", "")]
+
+    def read(self, partition):
+        if partition.archive:
+            with zipfile.ZipFile(partition.archive) as z:
+                yield from _member_rows(partition.archive, z, z.getinfo(partition.member), self.sep, self.encoding)
+
+
+def with_columns(rows: DataFrame, columns: Sequence[str] = COUNT_COLUMNS) -> DataFrame:
+    """(archive, member, line, columns) of zipped rows; another header or number of fields is fatal."""
+    want = F.array(*[F.lit(c.upper()) for c in columns])
+    header = F.transform("fields", lambda x: F.upper(F.trim(x)))
+    wrong = F.when((F.col("line") == 0) & (header != want), F.raise_error(F.concat(F.lit("unexpected header in "), "member"))).when(F.size("fields") != len(columns), F.raise_error(F.concat(F.lit("ragged row in "), "member")))
+    checked = rows.withColumn("wrong", wrong.cast("string")).where("wrong is null and line > 0")
+    return checked.select("archive", "member", "line", *[F.get("fields", F.lit(k)).alias(c) for k, c in enumerate(columns)])
+
+
+def zipped_csv(archives: DataFrame, columns: Sequence[str] = COUNT_COLUMNS, sep: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
+    """The CSV members of archives (path, content) as rows."""
+    return with_columns(zipped_rows(archives, sep=sep, encoding=encoding), columns)
+
+
+def read_zipped_csv(spark: SparkSession, path: str, columns: Sequence[str] = COUNT_COLUMNS, mounted: bool = False) -> DataFrame:
+    """The CSV members of the ZIP files at ``path``; ``mounted`` takes the reader that has no bound on an archive's size."""
+    if mounted:
+        spark.dataSource.register(ZippedRows)
+        return with_columns(spark.read.format("zipped_rows").load(path), columns)
+    return zipped_csv(archives(spark, path), columns)
+
+
+def zipped(rows: DataFrame, archive: str, member: str, columns: Sequence[str], sep: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
+    """Archives (path, content) of CSV members, the reverse of :func:`zipped_csv`: sorted rows are compressed as a stream, one archive at a time."""
+
+    def run(batches):
+        import pandas as pd
+
+        name, inside, held, z, f = None, None, None, None, None
+
+        def closed():
+            f.close()
+            z.close()
+            return pd.DataFrame({"path": [name], "content": [held.getvalue()]})
+
+        for b in batches:
+            for a, m, *values in zip(*(b[c] for c in b.columns)):
+                if a != name:
+                    if name is not None:
+                        yield closed()
+                    name, inside, held = a, None, io.BytesIO()
+                    z = zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED)
+                if m != inside:
+                    if inside is not None:
+                        f.close()
+                    inside, f = m, io.TextIOWrapper(z.open(m, "w"), encoding=encoding, newline="")
+                    csv.writer(f, delimiter=sep, quoting=csv.QUOTE_ALL, lineterminator="\n").writerow(columns)
+                csv.writer(f, delimiter=sep, quoting=csv.QUOTE_ALL, lineterminator="\n").writerow(values)
+        if name is not None:
+            yield closed()
+
+    dealt = rows.select(F.col(archive), F.col(member), *columns).repartition(archive).sortWithinPartitions(archive, member)
+    return dealt.mapInPandas(run, "path string, content binary")
 
 
 def facts(rows: DataFrame, source: str) -> DataFrame:
@@ -123,6 +222,16 @@ def section_counts(rows: DataFrame, contest: str, turn: str, invalid: Sequence[s
     return grouped.agg(F.sum(F.when(valid, n)).alias("valid"), F.sum(n).alias("total"), F.min(ts).alias("received"), (F.count_distinct(ts) > 1).alias("conflict"))
 
 
+def category_counts(rows: DataFrame, number: str, split: str, kinds: Sequence[str]) -> DataFrame:
+    """(region, unit, n, <split>_<kind> ...): one category's counts by unit with a breakdown; units without any go."""
+    n, c = scalars.strict_int(F.col("QT_VOTOS")), scalars.canonical_category
+    name = split.rpartition("_")[2].lower()
+    name = "turn" if split == "NR_TURNO" else name
+    parts = [F.sum(F.when(c(F.col(split)) == k, n)).alias(f"{name}_{k}") for k in kinds]
+    chosen = rows.where(c(F.col("NR_VOTAVEL")) == number)
+    return chosen.groupBy(F.upper(F.trim("SG_UF")).alias("region"), c(F.col("NR_SECAO")).alias("unit")).agg(F.sum(n).alias("n"), *parts).where("n > 0")
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """(file, contest, party, number, name, votes, units, units_total, valid) from nested result documents."""
     docs = spark.read.schema(RESULT).json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
@@ -136,6 +245,12 @@ def result_map(results: DataFrame, blank: str = "95", void: str = "96") -> DataF
     return results.groupBy("file", "contest").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("number", "votes")))).alias("votes"))
 
 
+def sum_maps(rows: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """Maps of counts summed key by key."""
+    flat = rows.select(*by, F.explode(column).alias("k", "v")).groupBy(*by, "k").agg(F.sum("v").alias("v"))
+    return flat.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias(column))
+
+
 def read_config_units(spark: SparkSession, path: str) -> DataFrame:
     """(region, area, zone, unit, principal, arrived): units of a configuration; principal ones are not part of another."""
     docs = spark.read.schema(CONFIG).json(path, multiLine=True)
@@ -178,13 +293,18 @@ def hash_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def audit_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """Status of every declared and every present file; a path that leaves the folder is UNSAFE."""
-    declared = manifest.select(F.col("path").alias("declared"), F.col("sha256").alias("want"), F.element_at(F.split("path", "/"), -1).alias("name"))
-    present = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256", "bytes")
-    unsafe = F.col("declared").startswith("/") | F.col("declared").rlike(r"(^|/)\.\.(/|$)")
-    status = F.when(unsafe, "UNSAFE").when(F.col("declared").isNull(), "UNDECLARED").when(F.col("sha256").isNull(), "MISSING").when(F.col("sha256") != F.col("want"), "CHANGED").otherwise("OK")
-    return declared.join(present, "name", "full_outer").select("name", "declared", "bytes", status.alias("status"))
+def audit_manifest(manifest: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
+    """(path, declared, bytes, status) of every declared and every present file, by the path below ``root``.
+
+    A declared path that leaves the folder is UNSAFE; files of one name in different folders are different files.
+    """
+    unsafe = F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)")
+    tidy = F.regexp_replace(F.regexp_replace("path", r"/(?:\./)+|//+", "/"), r"^\./", "")
+    declared = manifest.select(F.col("path").alias("declared"), F.col("sha256").alias("want"), unsafe.alias("unsafe"), tidy.alias("at"))
+    below = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^{re.escape(root.removeprefix('file://').rstrip('/'))}/", "") if root else F.col("path")
+    present = files.select(below.alias("at"), "sha256", "bytes", F.lit(True).alias("there"))
+    status = F.when(F.col("unsafe"), "UNSAFE").when(F.col("declared").isNull(), "UNDECLARED").when(F.col("there").isNull(), "MISSING").when(~F.col("sha256").eqNullSafe(F.col("want")), "CHANGED").otherwise("OK")
+    return declared.join(present, "at", "full_outer").select(F.col("at").alias("path"), "declared", "bytes", status.alias("status"))
 
 
 def inventory(files: DataFrame, samples: int = 2) -> DataFrame:

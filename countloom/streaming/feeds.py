@@ -44,22 +44,32 @@ def run_to_end(stream: DataFrame, target: str, checkpoint: str, mode: str = "app
     query.awaitTermination()
 
 
+def _first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    columns = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*columns), order).alias("first_row")).select(*keys, "first_row.*").select(rows.columns)
+
+
 def upsert_latest(feed: DataFrame, target: str, checkpoint: str, keys: list[str], order: str) -> None:
-    """Each micro-batch is a table version of its own, with the first row of every key so far.
+    """Each micro-batch adds a part with its first row of every key; :func:`latest` reads them as one table.
 
-    A batch that is run again after a failure writes the same version again.
+    A batch that is run again after a failure writes the same part again. What was stored before is not rewritten; :func:`compact` does that
+    once in a while.
     """
-    spark = feed.sparkSession
 
-    def merge(batch: DataFrame, number: int) -> None:
-        have = batch
-        if number:
-            have = have.unionByName(spark.read.parquet(f"{target}/version={number - 1}"))
-        columns = [c for c in batch.columns if c not in keys]
-        first = have.groupBy(*keys).agg(F.min_by(F.struct(*columns), order).alias("__x")).select(*keys, "__x.*")
-        first.select(batch.columns).write.mode("overwrite").parquet(f"{target}/version={number}")
+    def add(batch: DataFrame, number: int) -> None:
+        _first(batch, keys, order).write.mode("overwrite").parquet(f"{target}/part={number}")
+
+    feed.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(spark: SparkSession, target: str, keys: list[str], order: str) -> DataFrame:
+    """The first row of every key by ``order`` over all parts."""
+    return _first(spark.read.option("basePath", target).parquet(target).drop("part"), keys, order)
+
 
-    feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def compact(spark: SparkSession, target: str, into: str, keys: list[str], order: str) -> None:
+    """All parts as one, in a new place that readers turn to when it is whole; the old one can go then."""
+    latest(spark, target, keys, order).write.parquet(f"{into}/part=-1")
 
 
 def falling_counters(feed: DataFrame, key: str, order: str, counter: str) -> DataFrame:

@@ -54,10 +54,15 @@ def test_ragged_rows_and_missing_columns_are_fatal(spark, folder):
 
 
 def test_zip(spark, folder):
-    members = S.zip_members(spark, f"{folder}/zip").collect()
+    members = S.archive_members(S.archives(spark, f"{folder}/zip")).collect()
     assert len(members) == 4
-    rows = S.read_zipped_csv(spark, f"{folder}/zip")
-    assert rows.count() == 9 and rows.where("QT_VOTOS = '143'").count() == 2
+    for mounted in (False, True):
+        rows = S.read_zipped_csv(spark, f"{folder}/zip", mounted=mounted)
+        assert rows.count() == 9 and rows.where("QT_VOTOS = '143'").count() == 2
+    assert rows.rdd.getNumPartitions() == 2  # a member each
+    again = S.zipped(rows.withColumn("QT_VOTOS", F.lit("1\n2;3")), "archive", "member", S.COUNT_COLUMNS)
+    back = S.zipped_csv(again)
+    assert back.count() == 9 and back.where("QT_VOTOS = '1\n2;3'").count() == 9  # a line break within quotes
     with zipfile.ZipFile(folder / "zip/bad.zip", "w") as z:
         z.writestr("x.csv", HEADER + "\n1;2\n")
     with pytest.raises(Exception, match="ragged"):
@@ -91,8 +96,11 @@ def test_manifest_audit_finds_a_flipped_byte(spark, tmp_path):
     lines = [("x_1.csv", sha("one")), ("x_2.csv", sha("TWO")), ("gone.csv", sha("")), ("../../etc/passwd", sha(""))]
     (tmp_path / "m.jsonl").write_text("\n".join(json.dumps({"path": p, "sha256": h, "captured": "2026-10-04T17:00:00Z"}) for p, h in lines))
     hashed = S.hash_files(spark, str(data))
-    got = {r.name: r.status for r in S.audit_manifest(S.read_manifest(spark, str(tmp_path / "m.jsonl")), hashed).collect()}
-    assert got == {"x_1.csv": "OK", "x_2.csv": "CHANGED", "gone.csv": "MISSING", "passwd": "UNSAFE", "y_1.json": "UNDECLARED"}
+    got = {r.path: r.status for r in S.audit_manifest(S.read_manifest(spark, str(tmp_path / "m.jsonl")), hashed, str(data)).collect()}
+    assert got == {"x_1.csv": "OK", "x_2.csv": "CHANGED", "gone.csv": "MISSING", "../../etc/passwd": "UNSAFE", "y_1.json": "UNDECLARED"}
+    rows = lambda *x: spark.createDataFrame([(p, h, 1) for p, h in x], "path string, sha256 string, bytes long")
+    got = {r.path: r.status for r in S.audit_manifest(rows(("a/x", "1"), ("./b/x", "2")), rows(("a/x", "2"), ("b/x", "2"))).collect()}
+    assert got == {"a/x": "CHANGED", "b/x": "OK"}  # one name in two folders
     inv = {(r.prefix, r.extension): (r.files, r.samples) for r in S.inventory(hashed).collect()}
     assert inv["x", "csv"] == (2, ["x_1.csv", "x_2.csv"])
 
@@ -126,6 +134,13 @@ def test_scalars(spark):
     assert [(str(a), b) for a, b in times.select(ts, seconds).collect()] == [("2026-10-04 17:01:02", True), ("2026-10-04 17:01:00", False), ("2026-10-04 17:01:02", True), ("None", False)]
     names = spark.createDataFrame([("counts_1t_AC_2026.zip",), ("https://x/y/sp/file",), ("none",)], "x string")
     assert [r[0] for r in names.select(scalars.region_of(F.col("x"), ["AC", "SP"])).collect()] == ["AC", "SP", None]
+    known = ["AC", "SP"]
+    for name, url, want in [("AC - counts", "x", "AC"), ("counts", "https://x/bweb_1t_SP_1.zip?a=b", "SP"), (None, "https://x/votes%5F2026_AC.csv", "AC"), ("XX - counts", "https://x/bweb_1t_XX_1_SP.zip", "SP"), ("counts", None, None)]:
+        assert spark.range(1).select(scalars.region_of_resource(F.lit(name), F.lit(url), known)).first()[0] == want, name
+    for name, want in [("p000407-ac-m01007-z0009-s0012.dat", ("AC", "1007", "9", "12")), ("o/SP/71072/0001/0100", ("SP", "71072", "1", "100")), ("a\\ac\\m01007\\z9\\s1.jez", ("AC", "1007", "9", "1")), ("o/xx/71072/0001/0100", None), ("counts.csv", None), (None, None)]:
+        got = spark.range(1).select(scalars.unit_of_file(F.lit(name), known).alias("x")).first().x
+        assert (tuple(got) if got else None) == want, name
+    assert spark.range(1).select(scalars.plain_key(F.lit("Ação ÜBER ñandú"))).first()[0] == "acao uber nandu"
     same = spark.createDataFrame([("União", "uniao")], "a string, b string").select((scalars.accent_free(F.col("a")) == scalars.accent_free(F.col("b"))).alias("e")).first()
     assert same.e
 

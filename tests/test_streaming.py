@@ -43,8 +43,11 @@ def test_upsert_keeps_the_first(spark, tmp_path):
     feeds.upsert_latest(feeds.file_feed(spark, src), out, mark, ["user_id", "event_type"], "event_id")
     put(spark, src, [(4, 9, 7, "a", 4.0), (5, 9, 9, "b", 5.0)])
     feeds.upsert_latest(feeds.file_feed(spark, src), out, mark, ["user_id", "event_type"], "event_id")
-    got = sorted((r.user_id, r.event_id) for r in spark.read.parquet(f"{out}/version=1").collect())
-    assert got == [(7, 1), (8, 3), (9, 5)]
+    assert spark.read.parquet(f"{out}/part=1").count() == 2  # what was there isn't written again
+    feeds.compact(spark, out, f"{tmp_path}/whole", ["user_id", "event_type"], "event_id")
+    for table in (out, f"{tmp_path}/whole"):
+        got = sorted((r.user_id, r.event_id) for r in feeds.latest(spark, table, ["user_id", "event_type"], "event_id").collect())
+        assert got == [(7, 1), (8, 3), (9, 5)]
 
 
 def test_falling_counters(spark, tmp_path):
