@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from countloom.sources.storage import stage
+
 OK, MISSING_A, MISSING_B, DIFFERENT = "OK", "MISSING_A", "MISSING_B", "DIFFERENT"
 
 
@@ -28,8 +30,12 @@ def reconcile(facts: DataFrame, keys: Sequence[str], n: str = "n", source: str =
 
 
 def reconcile_by_join(facts: DataFrame, keys: Sequence[str], n: str = "n", source: str = "source") -> DataFrame:
-    """The same result from a full outer join, with the fallback appended where ``b`` has no row."""
-    of = lambda s: facts.where(F.col(source) == s).groupBy(*keys).agg(F.sum(n).alias(f"n_{'a' if s == 'a' else 'b'}"))
+    """The same result from a full outer join, with the fallback appended where ``b`` has no row.
+
+    The facts are summed by key and source once, into a staged table; the joins read that.
+    """
+    sums = stage(facts.groupBy(*keys, F.col(source).alias("source")).agg(F.sum(n).alias("n")), "sums")
+    of = lambda s: sums.where(F.col("source") == s).select(*keys, F.col("n").alias(f"n_{'a' if s == 'a' else 'b'}"))
     b = of("b")
     b = b.unionByName(of("fallback").join(b, list(keys), "left_anti"))
     both = of("a").join(b, list(keys), "full_outer")
@@ -51,7 +57,7 @@ def key_differences(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def compare_versions(old: DataFrame, new: DataFrame, keys: Sequence[str], fixed: Sequence[str], adjusted: Sequence[str]) -> DataFrame:
-    """Per key whether the ``fixed`` columns are equal and which of the ``adjusted`` ones changed."""
+    """Per key whether the ``fixed`` columns are equal and which of the ``adjusted`` ones changed."""
     both = old.alias("o").join(new.alias("n"), list(keys))
     same = reduce(lambda x, y: x & y, [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in fixed], F.lit(True))
     changed = [(~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))).alias(f"{c}_changed") for c in adjusted]

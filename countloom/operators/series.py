@@ -100,29 +100,41 @@ def adverse_order(batches: DataFrame, share: Column, n: str, x: str, order: Sequ
 def pack_ties(series: DataFrame, by: str, order: str, size: str, sums: Sequence[str], at_least: int) -> DataFrame:
     """Blocks of whole rows, in order, each of ``at_least`` in ``size``; what is left joins the last block.
 
-    The cut of a block depends on the one before, so a group's buckets go to one task; they are one row per
-    time bucket. (by, block, start, end, buckets, size, sums).
+    The cut of a block depends on the one before: rows of a group come sorted and are read as a stream, which holds the open block
+    and the one before it only. (by, block, start, end, buckets, size, sums).
     """
     import pandas as pd
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        block, total, labels = 0, 0, []
-        for n in pdf[size]:
-            labels.append(block)
-            total += n
-            if total >= at_least:
-                block, total = block + 1, 0
-        if total and block:
-            labels = [min(b, block - 1) for b in labels]
-        g = pdf.assign(block=labels).groupby("block", as_index=False)
-        out = g.agg(start=(order, "min"), end=(order, "max"), buckets=(order, "count"), **{c: (c, "sum") for c in [size, *sums]})
-        out.insert(0, by, key[0])
-        return out
+    names = [by, "block", "start", "end", "buckets", size, *sums]
+
+    def run(batches):
+        key, number, done, now = None, 0, None, None
+
+        def closed():
+            """The last block of a group: what is left over joins the one before."""
+            if done is not None and now is not None:
+                return [[*done[:3], now[3], *(a + b for a, b in zip(done[4:], now[4:]))]]
+            return [x for x in (done, now) if x is not None]
+
+        for b in batches:
+            out = []
+            for k, at, *values in zip(*(b[c] for c in b.columns)):
+                if k != key:
+                    out += closed()
+                    key, number, done, now = k, 0, None, None
+                now = [k, number, at, at, 1, *values] if now is None else [*now[:3], at, now[4] + 1, *(a + v for a, v in zip(now[5:], values))]
+                if now[5] >= at_least:
+                    out += [] if done is None else [done]
+                    done, now, number = now, None, number + 1
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if left := closed():
+            yield pd.DataFrame(left, columns=names)
 
     kinds = dict(series.dtypes)
     schema = f"{by} {kinds[by]}, block long, start {kinds[order]}, end {kinds[order]}, buckets long, " + ", ".join(f"{c} long" for c in [size, *sums])
-    return series.select(by, order, size, *sums).groupBy(by).applyInPandas(run, schema)
+    rows = series.select(by, order, *[F.col(c).cast("long").alias(c) for c in [size, *sums]]).repartition(by).sortWithinPartitions(by, order)
+    return rows.mapInPandas(run, schema)
 
 
 def stretches(series: DataFrame, order: str, breaks: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from countloom.sources.storage import stage
+
 #: A variance under this counts as none: the coefficient is null.
 EPS = 1e-12
 #: Scale of the median absolute deviation for a normal distribution.
@@ -66,7 +68,11 @@ def reversal(r_raw: Column, r_within: Column, shift: float = 0.2, sure: float =
 
 
 def robust_outliers(rows: DataFrame, by: Sequence[str], value: str, least: float, min_mad: float = 0.015) -> DataFrame:
-    """M6: robust z from median and MAD of a group; groups with a MAD under ``min_mad`` are left out."""
+    """M6: robust z from median and MAD of a group; groups with a MAD under ``min_mad`` are left out.
+
+    The rows are staged once: median, deviations and their median each read them again.
+    """
+    rows = stage(rows, "values")
     centre = rows.groupBy(*by).agg(F.median(value).alias("median"))
     off = rows.join(centre, list(by)).withColumn("off", F.abs(F.col(value) - F.col("median")))
     mad = off.groupBy(*by).agg(F.median("off").alias("mad")).where(F.col("mad") >= min_mad)
@@ -74,11 +80,15 @@ def robust_outliers(rows: DataFrame, by: Sequence[str], value: str, least: float
     return off.drop("off").join(mad, list(by)).withColumn("z", z).where(F.abs("z") >= least)
 
 
-def shape(rows: DataFrame, by: Sequence[str], value: str, least: int = 30) -> DataFrame:
-    """M5: population skewness and excess kurtosis from centred powers, null for few rows or no variance."""
-    mean = rows.groupBy(*by).agg(F.avg(value).alias("mean"))
-    d = F.col(value) - F.col("mean")
-    c = rows.join(mean, list(by)).groupBy(*by).agg(F.count("*").alias("n"), F.avg(d * d).alias("m2"), F.avg(d * d * d).alias("m3"), F.avg(d * d * d * d).alias("m4"))
+def shape(rows: DataFrame, by: Sequence[str], value: str, least: int = 30, pivot: float = 0.0) -> DataFrame:
+    """M5: population skewness and excess kurtosis from one pass of power sums about ``pivot``, null for few rows or no variance.
+
+    ``pivot`` should lie near the values: the sums lose digits with the distance of the mean from it.
+    """
+    d = F.col(value) - F.lit(float(pivot))
+    p = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(d).alias("a"), F.avg(d * d).alias("b"), F.avg(d * d * d).alias("c"), F.avg(d * d * d * d).alias("d"))
+    a, b2, c3, d4 = (F.col(x) for x in "abcd")
+    c = p.select(*by, "n", (b2 - a * a).alias("m2"), (c3 - 3 * a * b2 + 2 * a * a * a).alias("m3"), (d4 - 4 * a * c3 + 6 * a * a * b2 - 3 * a * a * a * a).alias("m4"))
     ok = (F.col("n") >= least) & (F.col("m2") > EPS)
     return c.select(*by, "n", F.when(ok, F.col("m3") / F.pow("m2", F.lit(1.5))).alias("skew"), F.when(ok, F.col("m4") / (F.col("m2") * F.col("m2")) - 3).alias("excess"))
 

@@ -9,6 +9,7 @@ from countloom.functions import scalars
 from countloom.functions.scalars import floor_time
 from countloom.operators import asof
 from countloom.plans.registry import query
+from countloom.plans.series import _arrivals
 from countloom.sources.driver import FEED, SNAPSHOTS, feed, snapshots, table
 from countloom.streaming.feeds import stream_arrivals as _stream_arrivals
 
@@ -18,8 +19,7 @@ _RECEIVED = f"""{SNAPSHOTS}, minutes AS (SELECT date_trunc('minute', ts) AS ts,
 
 
 def _received(spark, sf_dir):
-    minutes = feed(spark, sf_dir).groupBy(floor_time("minute", "ts").alias("ts")).agg(F.sum("n").alias("n"))
-    return minutes.select("ts", F.sum("n").over(Window.orderBy("ts")).alias("received"))
+    return _arrivals(spark, sf_dir, "minute").select(F.col("bucket").alias("ts"), F.col("cum_total").alias("received"))
 
 
 def _published(spark, sf_dir):
