@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, cover_dedup, decontaminate, langid, rlbwt_dedup, secrets, sentencepiece_scan, simhash_dedup, sql, training_order, vector_graph
-from .common import shared_dir, table
+from .common import shared_dir, stage, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def embedding_recall_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of op2 over all rows whose id 100 divides, by brute force against all rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_graph.audit_recall(vectors, stage(vector_graph.near_duplicates(vectors), "near-vectors"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -76,6 +82,6 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_simhash_dedup, op4_chat_formatting, op5_language_id, op6_sentencepiece, op7_benchmark_decontamination, op8_training_order, op9_substring_dedup, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_simhash_dedup, op4_chat_formatting, op5_language_id, op6_sentencepiece, op7_benchmark_decontamination, op8_training_order, op9_substring_dedup, op10_secret_scans, embedding_recall_audit)}
 #: Queries that hash with XXH64, encode with a vocabulary, train a model or search windows by similarity have no twin; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": sql.OP1, "op2_embedding_dedup": sql.OP2, "op4_chat_formatting": sql.OP4, "op9_substring_dedup": sql.OP9}

@@ -284,6 +284,14 @@ def _tree(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tuple(np.concatenate(y) if y else np.zeros(0, np.int64) for y in (a, b, d))
 
 
+def _leading_zeros(x: np.ndarray) -> np.ndarray:
+    """Zero bits above the highest one of 64-bit numbers; 63 for 0."""
+    y = x.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        y |= y >> np.uint64(k)
+    return (np.uint64(64) - np.maximum(np.bitwise_count(y), 1).astype(np.uint64)).astype(np.uint64)
+
+
 def wide_links(nodes: DataFrame, plan: Plan) -> DataFrame:
     """(a, b, d): links of ``nodes`` (node, fp0, ...) within the plan's radius, each bucket's as a spanning tree."""
     nb = n_groups(nodes, 16)
@@ -306,6 +314,26 @@ def wide_links(nodes: DataFrame, plan: Plan) -> DataFrame:
             out[own] = (values(fps[own], table) ^ mask) | np.uint64(table << 32)
         return out
 
+    def first_meeting(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
+        """Whether pairs of fingerprints meet under ``key`` and under no key before it.
+
+        A link need not be told where an earlier bucket has both: there they are in one tree already.
+        """
+        table, value = key >> 32, np.uint64(key & 0xFFFFFFFF)
+        first = np.ones(len(a), bool)
+        for t in range(table):
+            first &= np.bitwise_count(values(a, t) ^ values(b, t)) > 2
+        x, y = values(a, table), values(b, table)
+        low = np.minimum(x, y)  # of the values that both balls hold
+        differ = x ^ y
+        bit = differ & (~differ + np.uint64(1))
+        two = np.bitwise_count(differ) == 2
+        low[two] = np.minimum(x ^ bit, x ^ (differ ^ bit))[two]
+        same = differ == 0
+        top = np.uint64(1) << np.uint64(63) >> _leading_zeros(x)
+        low[same] = np.where(x > 0, x ^ top, x)[same]
+        return first & (low == value)
+
     def probes(batches):
         for b in batches:
             every = np.stack([b.column(k).to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)
@@ -331,7 +359,8 @@ def wide_links(nodes: DataFrame, plan: Plan) -> DataFrame:
         for s, n in zip(*(y[sizes > 1].tolist() for y in (starts, sizes))):
             a, b, d = _tree(x[s : s + n], plan.radius)
             if len(a):
-                a, b = node(x[s + a]), node(x[s + b])
+                first = first_meeting(x[s + a], x[s + b], int(key[s]))
+                a, b, d = node(x[s + a[first]]), node(x[s + b[first]]), d[first]
                 found.append(np.stack((np.minimum(a, b), np.maximum(a, b), d), axis=1))
         links = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": links[:, 0], "b": links[:, 1], "d": links[:, 2]})

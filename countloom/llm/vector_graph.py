@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from .common import components, lean, stage
 
 #: A shard is split if it has more home vectors than this.
-SHARD = 1500
+SHARD = 512
 #: Centres of a split, sampled vectors for each of them, and rounds of their fit.
 CENTRES, SAMPLE, FIT = 64, 64, 8
 #: Candidates of a vector (nearest, and spread ones for long edges), its degree and the slack of the pruning.
 NEAREST, SPREAD, DEGREE, LONG, ALPHA = 48, 16, 24, 6, 1.2
-BEAM, LEVELS = 24, 8
+BEAM, LEVELS = 24, 24
 BLOCK = 1 << 17
-_EDGE = np.dtype([("node", "<i8"), ("home", "<i8"), ("cosine", "<f8")])
+_EDGE = np.dtype([("node", "<i8"), ("home", "<i8"), ("cosine", "<f4")])
 
 
 def _unit(v: list | None) -> bytes | None:
@@ -60,7 +60,8 @@ def _matrix(column) -> np.ndarray:
 
 
 def _centres(t: pa.Table) -> pa.Table:
-    """Spherical k-means of a cell's sample; begins with vectors far from each other."""
+    """Spherical k-means of a cell's sample; begins with vectors far from each other. Rows count in the order of their bytes."""
+    t = t.sort_by("unit")
     x = _matrix(t["unit"])
     k = int(min(t["k"][0].as_py(), len(x)))
     chosen, near = [0], x @ x[0]
@@ -174,6 +175,7 @@ def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
 
 
 def _built(t: pa.Table) -> pa.Table:
+    t = t.sort_by("unit")  # so that the same vectors give the same graph
     x, node, home = _matrix(t["unit"]), t["node"].to_numpy(), t["home"].to_numpy()
     lists = []
     for k, near in enumerate(pruned_graph(x)):
@@ -417,22 +419,43 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard: int = SH
 
 
 def audit_recall(vectors: DataFrame, found: DataFrame, threshold: float = 0.98, every: int = 100) -> DataFrame:
-    """(links, found_links, recall) over the query rows whose vec_id ``every`` divides, against all rows, by brute force.
+    """(queries, links, found_links, recall) over the query rows whose vec_id ``every`` divides, against all rows, by brute force.
 
-    The queries go to the executors in one block; their number is that of the rows over ``every``. ``found`` is what
-    :func:`near_duplicates` returned.
+    Both are packed into blocks by label; each block of queries meets each block of its label's rows as one product of matrices.
+    Blocks are of bounded size, so neither rows nor queries of a label go to one task. ``found`` is what
+    :func:`near_duplicates` returned. Rows that have no links by contract aren't asked.
     """
     rows = with_units(vectors).where("vec_id is not null and label is not null and unit is not null")
-    asked = rows.where(F.col("vec_id") % every == 0).select("label", "vec_id", "unit")
-    pairs = rows.select("label", F.col("vec_id").alias("other"), F.col("unit").alias("u")).join(asked, "label").where("other <> vec_id").select("vec_id", "unit", "u")
+    cell = F.concat_ws(":", F.octet_length("unit").cast("string"), "label")
 
-    def check(batches):
+    def blocks(df: DataFrame, size: int) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                cells, ids, units = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_pylist()
+                by: dict[str, list[int]] = {}
+                for k, c in enumerate(cells):
+                    by.setdefault(c, []).append(k)
+                for c, own in by.items():
+                    for lo in range(0, len(own), size):
+                        part = own[lo : lo + size]
+                        yield pa.record_batch({"cell": pa.array([c]), "ids": pa.array([ids[part].tobytes()], pa.binary()), "units": pa.array([b"".join([units[k] for k in part])], pa.binary())})
+
+        dealt = df.select(cell.alias("cell"), "vec_id", "unit").sortWithinPartitions("cell")
+        return dealt.mapInArrow(run, "cell string, ids binary, units binary")
+
+    asked = blocks(rows.where(F.col("vec_id") % every == 0).repartition("label"), 1024)
+    pairs = blocks(rows, 4096).join(asked.select("cell", F.col("ids").alias("q"), F.col("units").alias("v")), "cell").select("ids", "units", "q", "v")
+
+    def count(batches):
         for b in batches:
-            ids, near = b.column(0).to_numpy(), []
-            for a, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                near.append(len(a) == len(c) and float(np.frombuffer(a) @ np.frombuffer(c)) >= threshold)
-            yield pa.record_batch({"vec_id": pa.array(ids), "near": pa.array(near, pa.bool_())})
-
-    exact = pairs.mapInArrow(check, "vec_id long, near boolean").groupBy("vec_id").agg(F.count_if("near").alias("links"))
-    both = exact.join(found.select("vec_id", "n_links"), "vec_id")
-    return both.agg(F.sum("links").alias("links"), F.sum("n_links").alias("found_links"), F.try_divide(F.sum("n_links"), F.sum("links")).alias("recall"))
+            for ids, units, q, v in zip(*(b.column(k).to_pylist() for k in range(4))):
+                ids, q = np.frombuffer(ids, np.int64), np.frombuffer(q, np.int64)
+                x, y = np.frombuffer(units).reshape(len(ids), -1), np.frombuffer(v).reshape(len(q), -1)
+                near = ((y @ x.T) >= threshold).sum(axis=1)
+                yield pa.record_batch({"vec_id": pa.array(q), "near": pa.array(near.astype(np.int64))})
+
+    # a row meets itself once; several rows of one vec_id are asked together
+    exact = pairs.mapInArrow(count, "vec_id long, near long").groupBy("vec_id").agg(F.sum("near").alias("near"))
+    mine = found.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.sum(F.col("n_links") + 1).alias("mine"), F.count("*").alias("rows"))
+    both = exact.join(mine, "vec_id").select(F.col("rows"), (F.col("near") - F.col("rows")).alias("links"), (F.col("mine") - F.col("rows")).alias("found"))
+    return both.agg(F.sum("rows").alias("queries"), F.sum("links").alias("links"), F.sum("found").alias("found_links"), F.try_divide(F.sum("found"), F.sum("links")).alias("recall"))
