@@ -184,7 +184,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity
     Words are runs of letters and digits, lower-cased; items of under ``width`` words count as one
     shingle; items and texts without words, or null, match nothing. The best window stands for a pair,
     the first one on ties. Items go to the executors in blocks of bounded size, each against
-    all documents. Repeated documents give rows each; so do repeated items.
+    all documents. Repeated documents give rows each; so do repeated items. Very long texts are searched whole. An empty table
+    of documents or of items gives no rows; further columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, similarity double, start_word int, n_words int"
@@ -216,7 +217,10 @@ def _blocks(benchmark: DataFrame, width: int, radius: int):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 23) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns as they are; each row is judged by itself."""
+    """The rows of ``docs`` that hold no item, all columns as they are; each row is judged by itself.
+
+    Null texts and such without words hold none and stay; so does every row where there are no items. An empty table stays empty.
+    """
     at = docs.columns.index("text")
     for shared in _blocks(benchmark, width, radius):
 

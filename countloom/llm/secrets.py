@@ -73,7 +73,8 @@ def find_secrets(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.
     """(doc_id, spans array<struct<start,end,kind>>) for every row of ``docs`` (doc_id, text).
 
     A null or empty text has no spans. Base kinds are ``assign``, ``access`` and ``hex``; the
-    token test adds ``random``. Rows that repeat keep a row each; very long texts are read whole.
+    token test adds ``random``. Rows that repeat keep a row each; very long texts are read whole. An empty table gives no rows;
+    further columns are not read.
     """
     lean(docs.sparkSession)
     struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
@@ -91,8 +92,8 @@ def find_secrets(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.
 def redact(docs: DataFrame, mark: str = "[REDACTED]", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", max_ratio: float = 2.0) -> DataFrame:
     """``docs`` with every span of :func:`find_secrets` replaced by ``mark``; overlapping spans become one.
 
-    The keyword of an ``assign`` span goes with its value. Null texts stay null. Where there is
-    a column n_chars it is set to the new length.
+    The keyword of an ``assign`` span goes with its value. Null texts stay null, empty ones empty. Where there is
+    a column n_chars it is set to the new length. Repeated rows and all other columns stay; an empty table stays empty.
     """
     lean(docs.sparkSession)
     columns = docs.columns
