@@ -115,7 +115,7 @@ def wide_export(spark, sf_dir):
     substr(sha256(CAST(p_partkey AS VARCHAR) || '|' || p_brand), 1, 16) AS row_hash FROM part"""
 )
 def scalar_columns(spark, sf_dir):
-    """Text keys, digits, safe names and row hashes of the part table."""
+    """Text keys, digits, safe names and row hashes of the part table."""
     p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type")
     return p.select(
         "p_partkey", F.regexp_extract("p_name", "[0-9]+$", 0).alias("digits"), scalars.canonical_category(F.col("p_type")).alias("label"), scalars.first_digit(F.col("p_partkey")).alias("first_digit"), scalars.second_digit(F.col("p_partkey")).alias("second_digit"),

@@ -75,7 +75,8 @@ def compact(spark: SparkSession, target: str, into: str, keys: list[str], order:
 def falling_counters(feed: DataFrame, key: str, order: str, counter: str) -> DataFrame:
     """Rows of a cumulative feed that fall below the highest value seen of their key, with state per key.
 
-    Rows of one key in a batch are read in time order. (key, order, counter, highest).
+    Rows of one key in a batch are read in time order, so a worker holds those of one key and trigger: bound the files of a trigger where
+    a key is hot (``file_feed``'s ``per_trigger``). (key, order, counter, highest).
     """
     import pandas as pd
 
