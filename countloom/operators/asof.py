@@ -8,17 +8,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_backward(left: DataFrame, right: DataFrame, on: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, on: str, values: Sequence[str], by: Sequence[str] = (), bucket: str | None = None) -> DataFrame:
     """Each left row with the ``values`` of the last right row at or before it; null where there is none.
 
-    Both sides go through one sort per ``by`` group; right rows come first at equal times.
+    Both sides go through one sort per ``by`` group; right rows come first at equal times. A group that is large, or the
+    whole table where ``by`` is empty, should name a ``bucket`` of time, such as a day: then a sort holds one bucket, and the last values
+    of the buckets before come by a window over buckets.
     """
     own = [c for c in left.columns if c not in (on, *by)]
     marked = left.select(*by, on, *own, *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values], F.lit(1).alias("__side"))
     other = right.select(*by, on, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in own], *values, F.lit(0).alias("__side"))
-    w = Window.partitionBy(*by).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = marked.unionByName(other).select(*by, on, *own, *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values], "__side")
-    return both.where("__side = 1").drop("__side")
+    both = marked.unionByName(other)
+    part = list(by)
+    if bucket:
+        both, part = both.withColumn("__bucket", F.date_trunc(bucket, on)), [*by, "__bucket"]
+    w = Window.partitionBy(*part).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    done = both.select(*part, on, *own, *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values], "__side").where("__side = 1")
+    if not bucket:
+        return done.drop("__side")
+    lasts = both.groupBy(*part).agg(*[F.max(F.when((F.col("__side") == 0) & F.col(v).isNotNull(), F.struct(on, v)))[v].alias(f"__{v}") for v in values])
+    before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    carried = lasts.select(*part, *[F.last(f"__{v}", ignorenulls=True).over(before).alias(f"__{v}") for v in values])
+    return done.join(carried, part).select(*by, on, *own, *[F.coalesce(v, f"__{v}").alias(v) for v in values])
 
 
 def first_reaching(levels: DataFrame, series: DataFrame, level: str, value: str, ts: str, out: str, by: Sequence[str] = ()) -> DataFrame:

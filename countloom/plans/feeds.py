@@ -35,7 +35,7 @@ def asof_received(spark, sf_dir):
     offsets = spark.createDataFrame([(-60,), (0,), (300,)], "offset int")
     p = _published(spark, sf_dir).crossJoin(F.broadcast(offsets)).select("offset", F.col("ts").alias("at"), (F.col("ts") + F.make_dt_interval(secs=F.col("offset"))).alias("ts"), "published")
     series = _received(spark, sf_dir).crossJoin(F.broadcast(offsets))
-    out = asof.asof_backward(p, series, "ts", ["received"], ["offset"])
+    out = asof.asof_backward(p, series, "ts", ["received"], ["offset"], "day")
     return out.select("offset", F.col("at").alias("ts"), "published", "received", (F.col("received") - F.col("published")).alias("surplus"), F.coalesce(F.col("received") >= F.col("published"), F.lit(False)).alias("ok"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from countloom.operators import series as S
 from countloom.operators import stats as M
+from countloom.operators.asof import asof_backward
 
 AXES = {"minutes": (10.0, 200.0, 20), "units": (5.0, 100.0, 20)}
 
@@ -119,6 +120,19 @@ def test_published_tail_gives_possible_batches(spark):
         assert y.deviation == pytest.approx((rows[q.index(y) + 19][3] - rows[q.index(x) + 19][3]) - (y.line_target * y.total - x.line_target * x.total) / 100)
 
 
+def test_as_of_by_buckets_is_as_of(spark):
+    rng = random.Random(5)
+    at = lambda: dt.datetime(2026, 1, 1) + dt.timedelta(minutes=rng.randrange(0, 20_000, 7))
+    left = spark.createDataFrame([(k, rng.choice("ab"), at()) for k in range(200)] + [(900, "z", at())], "id int, g string, ts timestamp_ntz")
+    right = spark.createDataFrame(list({(g, t): (g, t, k if k % 5 else None) for k, g, t in ((k, rng.choice("ab"), at()) for k in range(60))}.values()), "g string, ts timestamp_ntz, v int")
+    for by in (["g"], []):
+        l, r = (left, right) if by else (left.drop("g"), right.drop("g").groupBy("ts").agg(F.max("v").alias("v")))
+        want = {x.id: (x.ts, x.v) for x in asof_backward(l, r, "ts", ["v"], by).collect()}
+        got = asof_backward(l, r, "ts", ["v"], by, "day").collect()
+        assert {x.id: (x.ts, x.v) for x in got} == want and len(got) == len(want) == 201
+    assert any(v is None for _, v in want.values()) or want[900] is not None
+
+
 def test_stretches_and_comparisons(spark):
     s = spark.createDataFrame([(1, 5), (2, 6), (3, 7), (4, 8)], "t int, v int")
     assert [r.stretch for r in S.stretches(s, "t", F.col("t") == 3).orderBy("t").collect()] == [0, 0, 1, 1]
