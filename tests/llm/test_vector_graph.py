@@ -105,3 +105,8 @@ def test_audit(spark):
     audit = vector_graph.audit_recall(frame, vector_graph.near_duplicates(frame, shard=150), every=7).first()
     want = sum(w[1] for w in brute(rows) if w[0] % 7 == 0)
     assert audit.links == want > 0 and 0.9 <= audit.recall <= 1.0
+
+
+def test_audit_query(spark):
+    audit = queries.embedding_recall_audit(spark, "/root/testdata/sf0.01").first()
+    assert audit.queries >= 20 and (audit.recall is None or audit.recall >= 0.9)
