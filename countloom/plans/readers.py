@@ -174,7 +174,7 @@ def manifest_window(spark, sf_dir):
     """First and last capture of a JSON-lines manifest, and paths that occur twice."""
     path = new_path(spark, "manifest")
     rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
-    at = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    at = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
     rows.select(F.concat(F.lit("run/"), F.col("o_orderkey").cast("string")).alias("path"), F.sha2(F.col("o_custkey").cast("string"), 256).alias("sha256"), at.alias("captured")).write.json(path)
     m = S.read_manifest(spark, path)
     twice = S.repeated(m, ["path"]).agg(F.count("*").cast("int").alias("twice"))
