@@ -318,8 +318,8 @@ def residual_sets(batches: DataFrame, configs: Sequence[tuple[int, int]]) -> Dat
     return out
 
 
-def best_periods(sets: DataFrame, axes: dict[str, tuple[float, float, int]]) -> DataFrame:
-    """(least, half, axis, period, r2): the period of the grids that explains most of each set's residuals."""
+def best_periods(sets: DataFrame, axes: dict[str, tuple[float, float, int]], least_rows: int = 30) -> DataFrame:
+    """(least, half, axis, period, r2): the period of the grids that explains most of each set's residuals; null for under ``least_rows`` of them."""
     grids = F.array(*[F.struct(F.lit(axis).alias("axis"), p.alias("periods")) for axis, (lo, hi, n) in axes.items() for p in [log_grid(lo, hi, n)]])
     grid = sets.sparkSession.range(1).select(F.explode(grids).alias("g")).select("g.axis", F.explode("g.periods").alias("period"))
     place = F.when(F.col("axis") == "units", F.col("seen").cast("double")).otherwise(F.col("minute"))
@@ -329,9 +329,9 @@ def best_periods(sets: DataFrame, axes: dict[str, tuple[float, float, int]]) ->
     n = F.count("*")
     cov = lambda a, b: F.sum(F.col(a) * F.col(b)) - F.sum(a) * F.sum(b) / n
     k = {x + y: F.col(x + y) for x, y in ("cc", "ss", "cs", "cz", "sz", "zz")}
-    sums = rows.groupBy("least", "half", "axis", "period").agg(*[cov(x, y).alias(x + y) for x, y in ("cc", "ss", "cs", "cz", "sz", "zz")])
+    sums = rows.groupBy("least", "half", "axis", "period").agg(n.alias("m"), *[cov(x, y).alias(x + y) for x, y in ("cc", "ss", "cs", "cz", "sz", "zz")])
     det = k["cc"] * k["ss"] - k["cs"] * k["cs"]
-    r = F.when((det > EPS) & (k["zz"] > EPS), (k["ss"] * k["cz"] * k["cz"] - 2 * k["cs"] * k["cz"] * k["sz"] + k["cc"] * k["sz"] * k["sz"]) / (det * k["zz"]))
+    r = F.when((F.col("m") >= least_rows) & (det > EPS) & (k["zz"] > EPS), (k["ss"] * k["cz"] * k["cz"] - 2 * k["cs"] * k["cz"] * k["sz"] + k["cc"] * k["sz"] * k["sz"]) / (det * k["zz"]))
     return sums.withColumn("r2", r).groupBy("least", "half").agg(F.max_by("axis", "r2").alias("axis"), F.max_by("period", "r2").alias("period"), F.max("r2").alias("r2"))
 
 

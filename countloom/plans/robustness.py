@@ -118,9 +118,9 @@ _GRID = f"""{_SHARES.format(feed=FEED, unit="{unit}")}, cfg(least, half) AS (VAL
   x AS ({" UNION ALL ".join(f"SELECT {n} AS least, {h} AS half, s.*, share - median(share) OVER (ORDER BY ts ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING) AS residual FROM s WHERE n >= {n}" for n, h in CONFIGS)}),
   p AS ({_sql_periods()}), v AS (SELECT least, half, axis, period, cos(2 * pi() * place / period) AS c, sin(2 * pi() * place / period) AS s, residual AS z
     FROM (SELECT *, CASE WHEN axis = 'units' THEN seen ELSE (epoch(ts) - (SELECT min(epoch(ts)) FROM s)) / 60.0::DOUBLE END AS place FROM x, p)),
-  k AS (SELECT least, half, axis, period, sum(c * c) - sum(c) * sum(c) / count(*) AS cc, sum(s * s) - sum(s) * sum(s) / count(*) AS ss, sum(c * s) - sum(c) * sum(s) / count(*) AS cs, sum(c * z) - sum(c) * sum(z) / count(*) AS cz,
+  k AS (SELECT least, half, axis, period, count(*) AS m, sum(c * c) - sum(c) * sum(c) / count(*) AS cc, sum(s * s) - sum(s) * sum(s) / count(*) AS ss, sum(c * s) - sum(c) * sum(s) / count(*) AS cs, sum(c * z) - sum(c) * sum(z) / count(*) AS cz,
     sum(s * z) - sum(s) * sum(z) / count(*) AS sz, sum(z * z) - sum(z) * sum(z) / count(*) AS zz FROM v GROUP BY 1, 2, 3, 4),
-  r AS (SELECT least, half, axis, period, CASE WHEN cc * ss - cs * cs > 1e-12 AND zz > 1e-12 THEN (ss * cz * cz - 2 * cs * cz * sz + cc * sz * sz) / ((cc * ss - cs * cs) * zz) END AS r2 FROM k),
+  r AS (SELECT least, half, axis, period, CASE WHEN m >= 30 AND cc * ss - cs * cs > 1e-12 AND zz > 1e-12 THEN (ss * cz * cz - 2 * cs * cz * sz + cc * sz * sz) / ((cc * ss - cs * cs) * zz) END AS r2 FROM k),
   best AS (SELECT least, half, max_by(axis, r2) AS axis, max_by(period, r2) AS period, max(r2) AS r2 FROM r GROUP BY 1, 2),
   y AS (SELECT *, least(max(residual) OVER (PARTITION BY least, half ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), max(residual) OVER (PARTITION BY least, half ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) - residual AS prominence,
     lag(residual) OVER (PARTITION BY least, half ORDER BY ts) AS l, lead(residual) OVER (PARTITION BY least, half ORDER BY ts) AS h FROM x),
