@@ -292,7 +292,7 @@ def group_stress(influences: DataFrame, by: Sequence[str], group: Sequence[str],
     place = F.row_number().over(Window.partitionBy(*by, "replicate").orderBy(key))
     drawn = rows.withColumn("place", place).groupBy(*by, "replicate").agg(_without(F.col("place") <= removed).alias("d"), F.first("r_all").alias("all"))
     q = lambda p: F.percentile("d", F.lit(p))
-    spread = drawn.groupBy(*by).agg(F.count("d").alias("draws"), F.min("d").alias("low"), q(0.025).alias("p025"), F.median("d").alias("mid"), q(0.975).alias("p975"), F.max("d").alias("high"), (F.lit(100.0) * F.count_if(F.col("d") * F.col("all") > 0) / F.count("d")).alias("same_sign"))
+    spread = drawn.groupBy(*by).agg(F.count("d").alias("draws"), F.min("d").alias("low"), q(0.025).alias("p025"), F.median("d").alias("mid"), q(0.975).alias("p975"), F.max("d").alias("high"), F.try_divide(F.lit(100.0) * F.count_if(F.col("d") * F.col("all") > 0), F.count("d")).alias("same_sign"))
     return out.drop("groups").join(spread, list(by))
 
 
@@ -427,7 +427,7 @@ def published_tail(series: DataFrame, ts: str, units: str, total: str, a: str, k
 
     ``oracle_a``: whole counts at the tail's final rate, rounded cumulatively so that every batch is a possible one. ``line_target``: the share on a
     straight line over units; ``required_share`` is what a batch would need for it, ``unphysical`` where that isn't possible.
-    ``series`` has d_ columns of :func:`countloom.operators.series.deltas`; one row per update.
+    ``series`` has d_ columns of :func:`countloom.operators.series.deltas`; one row per update. What would be divided by zero is null.
     """
     w = Window.orderBy(ts)
     k = F.row_number().over(w)
@@ -436,10 +436,11 @@ def published_tail(series: DataFrame, ts: str, units: str, total: str, a: str, k
     q = tail.crossJoin(F.broadcast(ends))
     n0, n1, a0, a1, u0, u1 = (F.col(f"{c}{i}") for c in (total, a, units) for i in (0, 1))
     x = F.col(units) - u0
-    line = a0 / n0 + (a1 / n1 - a0 / n0) / (u1 - u0) * x
-    q = q.withColumns({"oracle_a": a0 + F.floor((a1 - a0) / (n1 - n0) * (F.col(total) - n0) + 0.5), "line": line, "x": x})
+    first, last = F.try_divide(a0, n0), F.try_divide(a1, n1)
+    line = first + F.try_divide(last - first, u1 - u0) * x
+    q = q.withColumns({"oracle_a": a0 + F.floor(F.try_divide(a1 - a0, n1 - n0) * (F.col(total) - n0) + 0.5), "line": line, "x": x})
     q = q.withColumns({"p_total": F.lag(total).over(w), "p_line": F.lag("line").over(w)})
     need = F.col("line") * F.col(total) - F.col("p_line") * F.col("p_total")
-    out = q.select(ts, "x", F.col(total).alias("total"), f"d_{total}", f"d_{a}", "p_total", (F.lit(100.0) * F.col(a) / F.col(total)).alias("actual"), "oracle_a", (F.lit(100.0) * (F.col(a) - F.col("oracle_a")) / F.col(total)).alias("oracle_residual"),
+    out = q.select(ts, "x", F.col(total).alias("total"), f"d_{total}", f"d_{a}", "p_total", F.try_divide(F.lit(100.0) * F.col(a), F.col(total)).alias("actual"), "oracle_a", F.try_divide(F.lit(100.0) * (F.col(a) - F.col("oracle_a")), F.col(total)).alias("oracle_residual"),
         (F.lit(100.0) * F.col("line")).alias("line_target"), F.try_divide(F.lit(100.0) * need, F.col(f"d_{total}")).alias("required_share"), (F.col(f"d_{a}") - need).alias("deviation"), (~need.between(F.lit(0.0), F.col(f"d_{total}").cast("double"))).alias("unphysical"))
     return out if keep_first else out.where(F.col("p_total").isNotNull() & (F.col(f"d_{total}") > 0)).drop("x", "total", "p_total")
