@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cover_dedup, decontaminate, langid, rlbwt_dedup, secrets, sentencepiece_scan, simhash_dedup, sql, training_order, vector_graph
+from . import chat, cover_dedup, decontaminate, hard_negatives, langid, page_text, rlbwt_dedup, secrets, sentencepiece_scan, simhash_dedup, spelling, sql, training_order, vector_graph
 from .common import shared_dir, stage, table
 
 
@@ -82,6 +82,19 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_simhash_dedup, op4_chat_formatting, op5_language_id, op6_sentencepiece, op7_benchmark_decontamination, op8_training_order, op9_substring_dedup, op10_secret_scans, embedding_recall_audit)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), change=spelling.slipped()))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=label)
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_simhash_dedup, op4_chat_formatting, op5_language_id, op6_sentencepiece, op7_benchmark_decontamination, op8_training_order, op9_substring_dedup, op10_secret_scans, op11_spelling_variants, op12_hard_negatives, op13_html_extraction, embedding_recall_audit)}
 #: Queries that hash with XXH64, encode with a vocabulary, train a model or search windows by similarity have no twin; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": sql.OP1, "op2_embedding_dedup": sql.OP2, "op4_chat_formatting": sql.OP4, "op9_substring_dedup": sql.OP9}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": sql.OP1, "op2_embedding_dedup": sql.OP2, "op4_chat_formatting": sql.OP4, "op9_substring_dedup": sql.OP9, "op11_spelling_variants": sql.OP11, "op12_hard_negatives": sql.OP12}

@@ -131,11 +131,11 @@ class Automaton:
         close(0)
         self.root = state(*open_.pop())
 
-    def number(self, word: str, state: int | None = None, before: int = 0) -> int | None:
-        """The word's place among the sorted words, None if it isn't one; from another state: of what is left of it."""
+    def number(self, word: str, state: int | None = None, before: int = 0, at: int = 0) -> int | None:
+        """The word's place among the sorted words, None if it isn't one; from another state: of what is left of it from ``at`` on."""
         state = self.root if state is None else state
-        for c in word:
-            to = self.edges[state].get(c)
+        for k in range(at, len(word)):
+            to = self.edges[state].get(word[k])
             if to is None:
                 return None
             state = to[0]
@@ -150,8 +150,8 @@ class Automaton:
             if k >= exact:
                 for c, (to, skipped) in edges[state].items():
                     if k < len(word) and c != word[k]:
-                        found.add(self.number(word[k + 1 :], to, before + skipped))
-                    found.add(self.number(word[k:], to, before + skipped))
+                        found.add(self.number(word, to, before + skipped, k + 1))
+                    found.add(self.number(word, to, before + skipped, k))
             if k < len(word):
                 step = edges[state].get(word[k])
                 if step is None:
@@ -176,18 +176,19 @@ def _halves(words: DataFrame) -> DataFrame:
 def _search(table: pa.Table) -> pa.Table:
     """(word, near, near_n) for the pairs at distance one of a shard, in both directions."""
     got: list[tuple[str, str, int]] = []
-    rows = list(zip(*(table[c].to_pylist() for c in ("backward", "query", "found", "word", "n"))))
+    rows = list(zip(*(table[c].to_pylist() for c in ("backward", "query", "found", "word", "n", "key", "block"))))
     for backward in (False, True):
         turn = slice(None, None, -1) if backward else slice(None)
-        own = {w[turn]: n for back, _, found, w, n in rows if back == backward and found}
+        own = {w[turn]: n for back, _, found, w, n, *_ in rows if back == backward and found}
+        under = {(w, *place) for back, _, found, w, _, *place in rows if back == backward and found}
         words = sorted(own)
         automaton = Automaton(words)
-        for w, n in {(w, n) for back, query, _, w, n in rows if back == backward and query}:
+        for w, n, *place in {(w, n, *place) for back, query, _, w, n, *place in rows if back == backward and query}:
             first = len(w) // 2
             for k in automaton.one_error(w[turn], len(w) - first if backward else first):
                 near, near_n = words[k][turn], own[words[k]]
-                if backward and near[:first] == w[:first]:
-                    continue  # found forward
+                if backward and near[:first] == w[:first] or (near, *place) not in under:
+                    continue  # found forward, or in another block
                 got.append((w, near, near_n))
                 if len(near) > len(w):
                     got.append((near, w, n))
@@ -209,7 +210,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("last"))).otherwise(F.array("own"))))
     shards = max(512, 4 * words.count() // SHARD)
     shard = F.pmod(F.xxhash64("key", "block"), F.lit(shards)).alias("shard")
-    rows = rows.select(shard, "backward", "query", (F.col("block") == F.col("own")).alias("found"), "word", "n")
+    rows = rows.select(shard, "backward", "query", (F.col("block") == F.col("own")).alias("found"), "word", "n", "key", "block")
     return rows.groupBy("shard").applyInArrow(_search, "word string, near string, near_n long")
 
 
