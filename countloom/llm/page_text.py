@@ -253,5 +253,9 @@ def main_text(pages: DataFrame, least: int = 3, share: float = 0.05, page_id: st
     dead = around.join(templates(parsed, least, share), ["host", "hash"]).groupBy("row").agg(F.collect_list("hash").alias("dead"))
     kept = F.filter("blocks", lambda b: F.col("dead").isNull() | ~F.arrays_overlap(b["around"], F.col("dead")))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text")
-    out = parsed.select("row", "page_id", "url", "blocks").join(dead, "row", "left").select("page_id", "url", text)
+    # only pages with content in such a subtree have to be told; the others' texts aren't moved
+    told = F.col("host").isNotNull() & (F.size(used) > 0)
+    columns = parsed.select("row", "page_id", "url", "host", "blocks")
+    out = columns.where(told).join(dead, "row", "left").select("page_id", "url", text)
+    out = out.unionByName(columns.where(~told).withColumn("dead", F.lit(None).cast("array<long>")).select("page_id", "url", text))
     return out.withColumn("n_chars", F.length("text").cast("long"))
