@@ -10,8 +10,9 @@ up the 32 one-bit neighbours of each. Complete distances verify all matches, so
 no few segments are sure to agree: fingerprints have 256 bits, and each enters a number of tables under all values of the ball of one
 bit around a segment; two such balls share a value where the segments differ in two bits at most. The width of the segments
 follows from the number of fingerprints, so that a value has a few at any size, and the number of tables from the
-width, so that a pair at the similarity meets with the wanted probability. What meets is verified by its complete
-distance; where that doesn't settle it, by the exact similarity of the shingles.
+width, so that a pair at the similarity meets with the wanted probability. Chains of meetings within the radius make candidate
+groups. Those that near distances alone don't join are dealt in blocks of texts, block against block, where every pair within
+the radius is settled: by its distance, or by the exact similarity of its shingles. An edge stands for others only once it is settled.
 
 Texts with one fingerprint count once: only distinct fingerprints take part in the search, and
 each bucket of the table answers with a spanning tree of its links, never with all its pairs.
@@ -35,6 +36,8 @@ from .common import components, lean, mix64, n_groups, packed, packed_schema, st
 SMALL = 256
 #: 64-bit words of a fingerprint of the wide search.
 WORDS = 4
+#: Bytes of shingles in a block of texts that are compared exactly, and the least that a text counts for.
+BLOCK, LEAST = 8 << 20, 8 << 10
 
 
 def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
@@ -293,7 +296,10 @@ def _leading_zeros(x: np.ndarray) -> np.ndarray:
 
 
 def wide_links(nodes: DataFrame, plan: Plan) -> DataFrame:
-    """(a, b, d): links of ``nodes`` (node, fp0, ...) within the plan's radius, each bucket's as a spanning tree."""
+    """(a, b, d): links of ``nodes`` (node, fp0, ...) within the plan's radius, each bucket's as a spanning forest.
+
+    The links up to ``sure`` bits span by themselves what such links join; they are in a small bucket's nearest tree anyway.
+    """
     nb = n_groups(nodes, 16)
     places, per = plan.places(), plan.width + 1
     codes = np.arange(plan.tables * per, dtype=np.int64)
@@ -357,7 +363,8 @@ def wide_links(nodes: DataFrame, plan: Plan) -> DataFrame:
         sizes = np.diff(np.concatenate((starts, [len(key)])))
         found = [np.zeros((0, 3), np.int64)]
         for s, n in zip(*(y[sizes > 1].tolist() for y in (starts, sizes))):
-            a, b, d = _tree(x[s : s + n], plan.radius)
+            part = x[s : s + n]
+            a, b, d = (np.concatenate(y) for y in zip(*(_tree(part, r) for r in ((plan.radius,) if n <= SMALL else (plan.sure, plan.radius)))))
             if len(a):
                 first = first_meeting(x[s + a], x[s + b], int(key[s]))
                 a, b, d = node(x[s + a[first]]), node(x[s + b[first]]), d[first]
@@ -383,27 +390,87 @@ def _with_node(batches):
         yield pa.record_batch([*b.columns, pa.array(node(x))], names=[*b.schema.names, "node"])
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose ``texts`` (node, text) have that Jaccard similarity of their sets of shingles."""
+def shingle_sets(texts: DataFrame, width: int, seed: int) -> DataFrame:
+    """(node, shingles): the sorted set of shingle hashes of each of the ``texts`` (node, text)."""
 
     def sets(batches):
         for b in batches:
-            found = [np.unique(shingle_hashes(t, width, seed)).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.record_batch({"node": b.column(0), "shingles": pa.array(found, pa.binary())})
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield pa.record_batch({"node": pa.array([k], pa.int64()), "shingles": pa.array([np.unique(shingle_hashes(text, width, seed)).tobytes()], pa.binary())})
+
+    return texts.mapInArrow(sets, "node long, shingles binary")
 
-    def exact(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    made = stage(texts.join(named, "node", "left_semi").mapInArrow(sets, "node long, shingles binary"), "shingles")
-    both = pairs.join(made.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(made.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
+def settle(fps: np.ndarray, sets: list[np.ndarray], group: np.ndarray, block: np.ndarray, plan: Plan, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of links that join the texts of two blocks as all their links across the blocks do; of one block, all its links.
+
+    ``group`` names what is joined already; pairs within a group aren't looked at. A pair links at ``plan.sure`` differing bits
+    or fewer, up to ``plan.radius`` if the ``sets`` have the Jaccard ``similarity``.
+    """
+    label = np.unique(group, return_inverse=True)[1]
+    blocks = np.unique(block)
+    left, right = np.flatnonzero(block == blocks[0]), np.flatnonzero(block == blocks[-1])
+    sizes = np.array([len(x) for x in sets], np.int64)
+    entries = np.concatenate([sets[k] for k in right])
+    owner = np.repeat(np.arange(len(right)), sizes[right])
+    order = np.argsort(entries, kind="stable")
+    entries, owner = entries[order], owner[order]
+    out_a, out_b = [], []
+    for i in left.tolist():
+        apart = label[right] != label[i]
+        if not apart.any():
+            continue
+        far = np.bitwise_count(fps[right] ^ fps[i]).sum(axis=1, dtype=np.int64)
+        hit = apart & (far <= plan.sure)
+        if (apart & ~hit & (far <= plan.radius)).any():
+            lo, hi = np.searchsorted(entries, sets[i], "left"), np.searchsorted(entries, sets[i], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(right))
+            hit |= apart & (far <= plan.radius) & (both >= similarity * (sizes[right] + sizes[i] - both) - 1e-9)
+        for j in right[hit].tolist():
+            if label[i] != label[j]:
+                out_a.append(i)
+                out_b.append(j)
+                label[label == label[j]] = label[i]
+    return np.array(out_a, np.int64), np.array(out_b, np.int64)
+
+
+def settled_links(groups: DataFrame, nodes: DataFrame, shingles: DataFrame, plan: Plan, similarity: float) -> DataFrame:
+    """Links (a, b) that settle candidate ``groups`` (node, grp, root), root: what near links join already.
+
+    Texts are dealt to blocks of about ``BLOCK`` bytes: small groups share one, large ones have several, and a root that fills
+    blocks has them for itself, so that two blocks of one root needn't meet. Each other two blocks of a group meet in one task, which
+    holds both; a text travels once for each block of its group. Links come as a spanning forest, never as all pairs.
+    """
+    names = _names(WORDS)
+    rows = groups.join(nodes.select("node", *names), "node").join(shingles, "node")
+    rows = stage(rows.withColumn("w", F.greatest(F.lit(LEAST), F.length("shingles"))), "doubtful-texts")
+    size = rows.groupBy("grp").agg(F.sum("w").alias("w_grp"))
+    bins = max(1, ceil((size.where(F.col("w_grp") < BLOCK).agg(F.sum("w_grp")).first()[0] or 0) / BLOCK))
+    of_root = rows.groupBy("grp", "root").agg(F.sum("w").alias("w_root")).join(size, "grp")
+    bin_ = F.when(F.col("w_grp") < BLOCK, F.pmod(F.xxhash64("grp", F.lit(1)), F.lit(bins))).otherwise(F.col("grp"))
+    small = F.sum(F.when(F.col("w_root") < BLOCK, F.col("w_root")))
+    of_root = of_root.withColumn("bin", F.struct((F.col("w_grp") < BLOCK).alias("shared"), bin_.alias("id")))
+    parts = of_root.groupBy("bin").agg(F.ceil(F.coalesce(small, F.lit(0)) / BLOCK).alias("parts"))
+    of_root = of_root.join(parts, "bin").select("grp", "root", "bin", "parts", F.when(F.col("w_root") >= BLOCK, F.ceil(F.col("w_root") / BLOCK)).alias("own"))
+    block = F.when(F.col("own").isNotNull(), F.xxhash64("root", F.pmod(F.xxhash64("node", F.lit(2)), "own"))).otherwise(F.pmod(F.xxhash64("root", F.lit(3)), "parts"))
+    rows = stage(rows.join(of_root, ["grp", "root"]).select("bin", block.alias("block"), "node", "root", *names, "shingles"), "text-blocks")
+    blocks = stage(rows.groupBy("bin", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "blocks")
+    x, y = (blocks.select("bin", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "lo", "hi")]) for k in "xy")
+    one_root = (F.col("lo_x") == F.col("hi_x")) & (F.col("lo_y") == F.col("hi_y")) & (F.col("lo_x") == F.col("lo_y"))
+    meet = x.join(y, "bin").where((F.col("block_x") <= F.col("block_y")) & ~one_root)
+    meet = meet.select("bin", "block_x", "block_y", F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        fps = np.stack([t[c].to_numpy().view(np.uint64) for c in names], axis=1)
+        sets = [np.frombuffer(s, np.uint64) for s in t["shingles"].to_pylist()]
+        a, b = settle(fps, sets, t["root"].to_numpy(), t["block"].to_numpy(), plan, similarity)
+        ids = t["node"].to_numpy()
+        return pa.table({"a": ids[a], "b": ids[b]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    dealt = rows.join(meet, ["bin", "block"])
+    return dealt.groupBy("bin", "block_x", "block_y").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.97, seed: int = 42) -> DataFrame:
@@ -411,7 +478,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, re
 
     Texts whose sets of ``width``-word shingles have at least that Jaccard ``similarity`` link; groups follow chains of links. A pair at the
     similarity meets with probability ``recall``, and as often its distance lies within the radius; nearer ones are nearly sure.
-    Links of a distance that leaves no doubt are taken as they are, all others only after an exact comparison.
+    Links of a distance that leaves no doubt are taken as they are, all others only after an exact comparison. Texts of one
+    candidate group that no near links join are all compared within the radius, so their work is quadratic in their number, dealt by blocks.
 
     A null text counts as empty; texts without words are alike. Repeated rows keep a row each. A null doc_id takes part but is never
     the least one. An empty table gives no rows; further columns are not read.
@@ -426,16 +494,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, re
     plan = Plan.of(distinct.count(), similarity, recall)
     links = stage(wide_links(distinct, plan), "near-links")
     sure = links.where(F.col("d") <= plan.sure).select("a", "b")
-    roots = components(sure)
-    ends = links.where(F.col("d") > plan.sure).select("a", "b")
-    for end in ("a", "b"):
-        ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    ends = ends.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    ends = stage(ends, "doubtful-links")
-    reps = distinct.select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("h"))
-    reps = reps.join(ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct(), "node", "left_semi")
+    candidates, near = components(links.select("a", "b")), components(sure)
+    groups = candidates.withColumnRenamed("root", "grp").join(near, "node", "left").select("node", "grp", F.coalesce("root", "node").alias("root"))
+    groups = stage(groups, "candidate-groups")
+    open_ = groups.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
+    groups = stage(groups.join(open_, "grp", "left_semi"), "open-groups")
+    reps = distinct.join(groups, "node", "left_semi").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("h"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
     texts = texts.join(reps, texts["id"].eqNullSafe(reps["id"]) & (texts["h"] == reps["h"])).select("node", "text").dropDuplicates(["node"])
-    linked = sure.unionByName(similar_pairs(ends, texts, width, similarity, seed))
+    linked = sure.unionByName(settled_links(groups, distinct, shingle_sets(texts, width, seed), plan, similarity))
     of = _with_first(distinct.select("node", "first_doc", *names), components(linked), names)
     return own.join(of, names).select("doc_id", "component_id")

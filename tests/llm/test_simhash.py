@@ -98,6 +98,98 @@ def test_near_duplicates_at_the_similarity(spark):
     assert share["at"] >= 0.9 and share["above"] >= 0.98 and share["below"] <= 0.03 and share["low"] == 0, share
 
 
+def crowd(seed, n, size=400):
+    """Variants of one text, most of them at a similarity of about 0.7 to each other, some at 0.8 and more."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(20_000)]
+    base = [rng.choice(words) for _ in range(size)]
+    texts = []
+    while len(texts) < n:
+        a = list(base)
+        for k in rng.sample(range(size), 15):
+            a[k] = rng.choice(words)
+        texts.append(a)
+        if rng.random() < 0.2:
+            b = list(a)
+            for k in rng.sample(range(size), rng.randint(5, 9)):
+                b[k] = rng.choice(words)
+            texts.append(b)
+    return [" ".join(x) for x in texts[:n]]
+
+
+def similar(texts, width=5):
+    """All pairs with a Jaccard similarity of 0.8 or more, and their similarities, by one product of the incidence matrix."""
+    sets = [np.unique(simhash_dedup.shingle_hashes(t, width, 42)) for t in texts]
+    every, at = np.unique(np.concatenate(sets), return_inverse=True)
+    common = np.flatnonzero(np.bincount(at) > 1)
+    place = np.full(len(every), -1)
+    place[common] = np.arange(len(common))
+    m = np.zeros((len(sets), len(common)), np.float32)
+    row, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), place[at]
+    m[row[at >= 0], at[at >= 0]] = 1
+    both = m @ m.T
+    sizes = np.array([len(s) for s in sets], np.float32)
+    s = both / (sizes[:, None] + sizes[None, :] - both)
+    a, b = np.nonzero(np.triu(s >= 0.8, 1))
+    return a, b, s[a, b]
+
+
+@pytest.mark.parametrize("n, block", [(400, 8 << 20), (1200, 8 << 20), (3000, 8 << 20), (400, 200_000)])
+def test_near_duplicates_in_a_crowd(spark, monkeypatch, n, block):
+    """Links in a crowded group are found as isolated ones are, however large the group is, in one block or many."""
+    monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+    texts = crowd(n, n)
+    a, b, s = similar(texts)
+    assert len(a) > n / 10
+    rows = [(k, t, "f", "c", "n") for k, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4)).collect()}
+    found = np.array([got[x] == got[y] for x, y in zip(a.tolist(), b.tolist())])
+    print(n, block, len(a), found.mean(), found[s < 0.85].mean())
+    assert found.mean() >= 0.95 and found[s < 0.85].mean() >= 0.95
+    # and hardly any that no chain of exact links joins
+    label = np.arange(n)
+    for _ in range(n):
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        if (before == label).all():
+            break
+    assert sum(label[got[k]] != label[k] for k in range(n)) <= 0.01 * n
+
+
+def test_settled_blocks():
+    """Blocks against blocks join what all pairs join; what is joined already isn't looked at."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 60, (3, 60), np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < 0.06, rng.integers(0, 1 << 60, 60, np.uint64), base[k % 3])) for k in range(60)]
+    sets += [np.zeros(0, np.uint64)] * 2
+    fps = np.stack([simhash_dedup.fingerprint(x, simhash_dedup.WORDS) for x in sets])
+    plan = simhash_dedup.Plan.of(62, 0.8, 0.97)
+    far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    exact = np.array([[len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) for y in sets] for x in sets])
+    link = (far <= plan.sure) | ((far <= plan.radius) & exact)
+
+    def labels(pairs):
+        label = list(range(62))
+        for x, y in pairs:
+            label = [label[x] if v == label[y] else v for v in label]
+        return np.unique(label, return_inverse=True)[1].tolist()
+
+    want = labels(np.argwhere(np.triu(link, 1)).tolist())
+    block = np.arange(62) % 3
+    pairs = []
+    for x in range(3):
+        for y in range(x, 3):
+            part = np.flatnonzero((block == x) | (block == y))
+            a, b = simhash_dedup.settle(fps[part], [sets[k] for k in part], part, block[part], plan, 0.8)
+            assert link[part[a], part[b]].all()
+            pairs += zip(part[a].tolist(), part[b].tolist())
+    assert labels(pairs) == want and len(set(want)) < 40
+    a, b = simhash_dedup.settle(fps, sets, np.zeros(62, np.int64), block * 0, plan, 0.8)
+    assert len(a) == len(b) == 0
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [*planted(3, 60), (None, "only a null id here and there"), (None, None), (70_001, "a b"), (70_002, "A  b"), (70_003, "a b c")]
     df = spark.createDataFrame([(*r, "f", "c", "n") for r in rows], DOCS).repartition(3)
