@@ -12,12 +12,27 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from countloom.functions.scalars import floor_time
+from countloom.sources.storage import stage
 
 
 def over(order: str, by: Sequence[str] = ()) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(order)
 
 
+def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``k``, their place from 0 by a total ``order``, and ``rows``, how many there are; without a window over all of them.
+
+    Ranges of the order are numbered one by one, each shifted by the counts of those before it: the one window over everything
+    has a row per range. The ranges are staged, so that a lost task finds the same ones.
+    """
+    ranged = stage(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("own"))
+    so_far = F.sum("own").over(Window.orderBy("part"))
+    starts = sizes.select("part", (so_far - F.col("own")).alias("start"), F.sum("own").over(Window.partitionBy()).alias("rows"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return ranged.withColumn("k", place).join(starts, "part").withColumn("k", F.col("start") + F.col("k")).drop("part", "start")
+
+
 def cumulative(series: DataFrame, order: str, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Running sums that replace the columns."""
     w = over(order, by).rowsBetween(Window.unboundedPreceding, 0)

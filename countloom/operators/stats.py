@@ -8,10 +8,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from countloom.operators.series import numbered
 from countloom.sources.storage import stage
 
 #: A variance under this counts as none: the coefficient is null.
 EPS = 1e-12
+#: Scores of shuffles this near to the observed one count as equal to it.
+TIE = 1e-9
 #: Scale of the median absolute deviation for a normal distribution.
 MAD_SCALE = 1.4826
 
@@ -129,66 +132,59 @@ def log_grid(low: float, high: float, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.lit(low) * F.exp(k * step))
 
 
-def permutation_p(series: DataFrame, order: str, value: str, periods: Sequence[float], replicates: int = 200, strata: int = 4, block: int = 1, seed: int = 11, axis: str | None = None) -> DataFrame:
-    """(replicates, observed, hits, p): how often a shuffle within strata of time explains as much.
+def shuffles(series: DataFrame, replicates: int, strata: int, block: int, seed: int) -> DataFrame:
+    """The numbered ``series`` (k, rows, v) as (replicate, k, v): 0 as it is, the others with v shuffled within strata of the order.
 
-    The series, a row per bucket, becomes one row; replicates are dealt over the tasks, each seeded by its number.
-    ``block`` shuffles stretches of so many rows instead of single ones. p = (hits + 1) / (replicates + 1).
+    The order is by a hash of (seed, replicate, stratum, stretch of ``block`` rows), so it depends on neither partitions nor
+    engine. A window sorts one stratum of one replicate.
     """
-    one = series.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(axis or order).alias("x"), F.col(value).cast("double").alias("v")))).alias("s")).select(F.col("s.x").cast("array<double>").alias("x"), F.col("s.v").alias("v"))
-    rows = series.sparkSession.range(0, replicates + 1).repartition(16).crossJoin(F.broadcast(one))
+    g = F.least(F.lit(strata - 1), F.expr(f"k * {strata} div rows"))
+    parts = series.select("k", "v", g.alias("g"), "rows").withColumn("from", F.expr(f"(g * rows + {strata - 1}) div {strata}"))
+    parts = parts.withColumn("stretch", F.expr(f"(k - `from`) div {block}")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    drawn = F.md5(F.concat_ws("|", F.lit(seed), "replicate", "g", "stretch"))
+    place = F.row_number().over(Window.partitionBy("replicate", "g").orderBy(F.when(F.col("replicate") > 0, drawn), "k"))
+    return parts.select("replicate", (F.col("from") + place - 1).alias("k"), "v")
 
-    def run(batches):
-        import pandas as pd
 
-        design = None
-        for b in batches:
-            out = []
-            for k, x, v in zip(b["id"], b["x"], b["v"]):
-                x, v = np.asarray(x), np.asarray(v)
-                if design is None:
-                    angle = 2 * np.pi * x[None, :] / np.asarray(periods)[:, None]
-                    c, s = np.cos(angle), np.sin(angle)
-                    c, s = c - c.mean(axis=1, keepdims=True), s - s.mean(axis=1, keepdims=True)
-                    cc, ss, cs = (c * c).sum(1), (s * s).sum(1), (c * s).sum(1)
-                    design = c, s, cc, ss, cs, cc * ss - cs * cs
-                if k:
-                    rng = np.random.default_rng([seed, int(k)])
-                    n = len(v)
-                    group = np.minimum(strata - 1, np.arange(n) * strata // n)
-                    take = []
-                    for g in range(strata):
-                        at = np.flatnonzero(group == g)
-                        parts = [at[i : i + block] for i in range(0, len(at), block)]
-                        take += [parts[i] for i in rng.permutation(len(parts))]
-                    v = v[np.concatenate(take)]
-                c, s, cc, ss, cs, det = design
-                z = v - v.mean()
-                cz, sz = c @ z, s @ z
-                ok = (det > EPS) & (z @ z > EPS)
-                r2 = np.where(ok, (ss * cz * cz - 2 * cs * cz * sz + cc * sz * sz) / np.where(ok, det * (z @ z), 1), 0)
-                out.append(float(r2.max(initial=0)))
-            yield pd.DataFrame({"id": b["id"], "best": out})
+def permutation_p(series: DataFrame, order: str, value: str, periods: Sequence[float], replicates: int = 200, strata: int = 4, block: int = 1, seed: int = 11, axis: str | None = None) -> DataFrame:
+    """(replicates, observed, hits, p): how often a shuffle within strata of time explains as much.
 
-    best = rows.mapInPandas(run, "id long, best double")
-    top = F.max(F.when(F.col("id") == 0, F.col("best")))
-    s = best.agg(top.alias("observed"), F.collect_list(F.when(F.col("id") > 0, F.col("best"))).alias("others"))
-    hits = F.size(F.filter("others", lambda v: v >= F.col("observed")))
-    return s.select(F.lit(replicates).alias("replicates"), "observed", hits.alias("hits"), ((hits + 1) / F.lit(replicates + 1)).alias("p"))
+    ``series`` has a row per bucket, with distinct ``order``; ``periods`` is a stated grid. ``block`` shuffles stretches of so many rows
+    instead of single ones. Shuffled values join the places of the series, and the fit of each replicate and period is made of sums.
+    p = (hits + 1) / (replicates + 1); null without rows. What can't be fitted explains nothing.
+    """
+    s = series.select(F.col(order).alias("o"), F.col(axis or order).cast("double").alias("x"), F.col(value).cast("double").alias("v"))
+    s = stage(numbered(s, ["o"]), "numbered")
+    grid = series.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(p)) for p in periods])).alias("period"))
+    waves = s.select("k", "x").join(shuffles(s, replicates, strata, block, seed), "k").crossJoin(F.broadcast(grid))
+    angle = 2 * F.pi() * F.col("x") / F.col("period")
+    n = F.count("*")
+    cov = lambda a, b: F.sum(F.col(a) * F.col(b)) - F.sum(a) * F.sum(b) / n
+    names = ("cc", "ss", "cs", "cz", "sz", "zz")
+    sums = waves.select("replicate", "period", F.cos(angle).alias("c"), F.sin(angle).alias("s"), F.col("v").alias("z")).groupBy("replicate", "period").agg(*[cov(a, b).alias(a + b) for a, b in names])
+    cc, ss, cs, cz, sz, zz = (F.col(k) for k in names)
+    det = cc * ss - cs * cs
+    r2 = F.when((det > EPS) & (zz > EPS), (ss * cz * cz - 2 * cs * cz * sz + cc * sz * sz) / (det * zz)).otherwise(0.0)
+    best = sums.groupBy("replicate").agg(F.max(r2).alias("best"))
+    observed = best.where("replicate = 0").select(F.col("best").alias("observed"))  # one row
+    hits = F.count_if(F.col("best") >= F.col("observed") - TIE)
+    out = best.where("replicate > 0").crossJoin(F.broadcast(observed)).agg(F.first("observed").alias("observed"), hits.alias("hits"))
+    return out.select(F.lit(replicates).alias("replicates"), "observed", "hits", F.when(F.col("observed").isNotNull(), (F.col("hits") + 1) / F.lit(replicates + 1)).alias("p"))
 
 
 def group_bootstrap(m: DataFrame, by: Sequence[str], group: Sequence[str], replicates: int = 400, seed: int = 3) -> DataFrame:
     """Within-group correlation of resampled groups: (by, replicates, low, median, high).
 
-    Each replicate draws as many groups as there are, with replacement; a draw is a hash of (replicate, place), so
-    the result depends on neither partitions nor order. Draws join the numbered groups; no group goes to one task.
+    Each replicate draws as many groups as there are, with replacement; a draw is a hash of (seed, replicate, place), so
+    the result depends on neither partitions nor engine. Groups are numbered by ranges, draws join them by number; no group goes to one task.
     """
-    w = Window.partitionBy(*by)
-    numbered = m.withColumn("k", F.row_number().over(w.orderBy(*group)) - 1).withColumn("groups", F.count("*").over(w))
-    sizes = numbered.groupBy(*by).agg(F.first("groups").alias("groups"))
-    draws = sizes.select(*by, "groups", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).select(*by, "groups", "replicate", F.explode(F.sequence(F.lit(0), F.col("groups").cast("int") - 1)).alias("place"))
-    draws = draws.select(*by, "replicate", F.pmod(F.xxhash64(F.lit(seed), "replicate", "place"), F.col("groups")).cast("int").alias("k"))
-    drawn = draws.join(numbered.drop("groups"), [*by, "k"])
+    every = stage(numbered(m, [*by, *group]).drop("rows"), "numbered")
+    sizes = every.groupBy(*by).agg(F.min("k").alias("first"), F.count("*").alias("groups"))
+    draws = sizes.select(*by, "first", "groups", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    draws = draws.repartition(*by, "replicate").select(*by, "first", "groups", "replicate", F.explode(F.sequence(F.lit(0), F.col("groups").cast("int") - 1)).alias("place"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "replicate", "place")), 1, 8), 16, 10).cast("long")
+    draws = draws.select(*by, "replicate", (F.col("first") + F.pmod(number, F.col("groups"))).alias("k"))
+    drawn = draws.join(every, [*by, "k"])
     r = raw_and_within(drawn, [*by, "replicate"], group, 2)
     q = lambda p: F.percentile("r_within", F.lit(p))
     return r.groupBy(*by).agg(F.count("*").alias("replicates"), q(0.025).alias("low"), q(0.5).alias("median"), q(0.975).alias("high"))

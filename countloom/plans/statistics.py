@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from countloom.functions import scalars
@@ -128,10 +129,18 @@ def zone_loo(spark, sf_dir):
     return out.select("region", "area", "zone", F.round("r_without", 6).alias("r_without"))
 
 
-@query()
+@query(
+    f"""WITH {_PAIR}, k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY area, zone) - 1 AS k, count(*) OVER (PARTITION BY region) AS groups FROM m),
+    d AS (SELECT k.region, replicate, k.groups, k.k AS place FROM k, range(1, 401) AS r(replicate)),
+    p AS (SELECT region, replicate, ('0x' || substr(md5('3|' || replicate || '|' || place), 1, 8))::BIGINT % groups AS k FROM d),
+    b AS (SELECT region, replicate, sum(n) AS n, sum(sxx - sx * sx / n) AS cxx, sum(syy - sy * sy / n) AS cyy, sum(sxy - sx * sy / n) AS cxy FROM p JOIN k USING (region, k) GROUP BY 1, 2),
+    c AS (SELECT region, replicate, CASE WHEN n >= 2 AND cxx > 1e-12 AND cyy > 1e-12 THEN greatest(-1, least(1, cxy / sqrt(cxx * cyy))) END AS r FROM b)
+    SELECT region, count(*) AS replicates, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.975), 6) AS high FROM c GROUP BY 1"""
+)
 def zone_bootstrap(spark, sf_dir):
-    """Quantiles of the coefficient over resampled zones; hashed draws, so rows only."""
-    return M.group_bootstrap(_pair_moments(spark, sf_dir), ["region"], ["area", "zone"])
+    """Quantiles of the coefficient over resampled zones, drawn by a hash."""
+    out = M.group_bootstrap(_pair_moments(spark, sf_dir), ["region"], ["area", "zone"])
+    return out.select("region", "replicates", *[F.round(c, 6).alias(c) for c in ("low", "median", "high")])
 
 
 @query(
@@ -233,13 +242,22 @@ def periodogram(spark, sf_dir):
     return M.periodogram(_hours(spark, sf_dir), "hour", "residual", grid).select(F.round("period", 6).alias("period"), F.round("r2", 6).alias("r2"))
 
 
-@query()
+@query(
+    f"""WITH {_RESIDUALS}, o AS (SELECT epoch(ts) / 3600.0::DOUBLE - 473352 AS x, residual::DOUBLE AS v, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM residuals),
+    h AS (SELECT *, (g * n + 3) // 4 AS k0 FROM (SELECT *, least(3, k * 4 // n) AS g FROM o)),
+    d AS (SELECT 0 AS replicate, k AS slot, v FROM h UNION ALL SELECT replicate, k0 + row_number() OVER (PARTITION BY replicate, g ORDER BY md5('11|' || replicate || '|' || g || '|' || (k - k0)), k) - 1, v FROM h, range(1, 201) AS r(replicate)),
+    w AS (SELECT replicate, period, cos(2 * pi() * x / period) AS c, sin(2 * pi() * x / period) AS s, d.v AS z FROM d JOIN h ON slot = k, {_GRID} q),
+    k AS (SELECT replicate, period, sum(c * c) - sum(c) * sum(c) / count(*) AS cc, sum(s * s) - sum(s) * sum(s) / count(*) AS ss, sum(c * s) - sum(c) * sum(s) / count(*) AS cs, sum(c * z) - sum(c) * sum(z) / count(*) AS cz,
+    sum(s * z) - sum(s) * sum(z) / count(*) AS sz, sum(z * z) - sum(z) * sum(z) / count(*) AS zz FROM w GROUP BY 1, 2),
+    b AS (SELECT replicate, max(CASE WHEN cc * ss - cs * cs > 1e-12 AND zz > 1e-12 THEN (ss * cz * cz - 2 * cs * cz * sz + cc * sz * sz) / ((cc * ss - cs * cs) * zz) ELSE 0 END) AS best FROM k GROUP BY 1),
+    a AS (SELECT any_value(o.best) AS observed, count(*) FILTER (WHERE b.best >= o.best - 1e-9) AS hits FROM b, (SELECT best FROM b WHERE replicate = 0) o WHERE replicate > 0)
+    SELECT 200 AS replicates, round(observed, 6) AS observed, hits, round((hits + 1) / 201.0::DOUBLE, 6) AS p FROM a"""
+)
 def permutation_p(spark, sf_dir):
-    """How often a shuffle within quarters of the time explains as much as the observed order."""
-    import numpy as np
-
-    periods = np.exp(np.linspace(np.log(_LOW), np.log(_HIGH), _N)).tolist()
-    return M.permutation_p(_hours(spark, sf_dir), "ts", "residual", periods, axis="hour")
+    """How often a shuffle within quarters of the time, drawn by a hash, explains as much as the observed order."""
+    periods = np.geomspace(_LOW, _HIGH, _N).tolist()
+    out = M.permutation_p(_hours(spark, sf_dir), "ts", "residual", periods, axis="hour")
+    return out.select("replicates", F.round("observed", 6).alias("observed"), "hits", F.round("p", 6).alias("p"))
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from countloom.functions.scalars import nearest_count
 from countloom.operators import forecast as P
 from countloom.operators import stats as M
+from countloom.operators.series import numbered
 
 
 def simpson(spark):
@@ -96,6 +97,26 @@ def test_a_period_is_found(spark):
     assert got.hits == 0 and got.p == pytest.approx(1 / 61) and got == p.first()
     flat = spark.createDataFrame([(k, float(v)) for k, v in enumerate(np.random.default_rng(8).normal(size=240))], "x int, v double")
     assert M.permutation_p(flat, "x", "v", [7.0, 12.0, 24.0, 50.0], 60).first().p > 0.05
+    assert M.permutation_p(flat.limit(0), "x", "v", [7.0, 12.0, 24.0, 50.0], 60).first().p is None
+    one = M.permutation_p(flat.limit(1), "x", "v", [7.0, 12.0, 24.0, 50.0], 60).first()
+    assert (one.observed, one.hits, one.p) == (0.0, 60, 1.0)
+
+
+@pytest.mark.parametrize("n, strata, block", [(50, 4, 1), (101, 4, 5), (3, 4, 1), (64, 1, 10)])
+def test_shuffles(spark, n, strata, block):
+    s = numbered(spark.range(n).select(F.col("id").alias("o"), F.col("id").cast("double").alias("v")).repartition(7), ["o"])
+    assert [(r.o, r.k, r.rows) for r in s.orderBy("o").collect()] == [(k, k, n) for k in range(n)]
+    got = {}
+    for r in M.shuffles(s, 20, strata, block, 5).collect():
+        got.setdefault(r.replicate, {})[r.k] = int(r.v)
+    quarter = [min(strata - 1, k * strata // n) for k in range(n)]
+    assert set(got) == set(range(21)) and all(got[0][k] == k for k in range(n))
+    for places in got.values():
+        assert sorted(places) == sorted(places.values()) == list(range(n)) and all(quarter[k] == quarter[v] for k, v in places.items())
+    together = sum(p.get(k + 1) == v + 1 for p in got.values() for k, v in p.items())
+    assert n < 50 or (together > 21 * n * 0.6) == (block > 1)
+    again = {(r.replicate, r.k): int(r.v) for r in M.shuffles(s.repartition(3), 20, strata, block, 5).collect()}
+    assert again == {(r, k): v for r, places in got.items() for k, v in places.items()}
 
 
 def test_random_refills(spark):
