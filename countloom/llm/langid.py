@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, mix64, n_groups, stage
@@ -441,39 +441,34 @@ def pieces_of(texts: list[str | None], order: int, most: int):
                 yield s[a - order + 1 : a + most]
 
 
-def train(rows: DataFrame, reject_sd: float = 8.0, calibration_rows: int = 4000, broadcast_rows: int = BROADCAST_ROWS) -> Model:
+def train(rows: DataFrame, reject_sd: float = 8.0, broadcast_rows: int = BROADCAST_ROWS) -> Model:
     """A model from ``rows`` (lang, text), all of them counted; rows with a null lang or text are left out.
 
     Every language with a letter and every n-gram is learned, and the model grows with them.
     A text of n symbols is far from a language beyond the mean of that language's own texts by ``reject_sd``
     deviations. Their variance is that of the own texts' means, which lines of code or secrets in them widen, and
     that of a symbol by n, so a short text needs a larger distance.
-    The limits come from at most about ``calibration_rows`` rows a language, chosen by a hash of
-    the text; that is the only sample. An empty table gives a model without languages.
+    The limits come from all rows too; nothing is sampled. An empty table gives a model without languages.
     """
-    spark: SparkSession = lean(rows.sparkSession)
+    lean(rows.sparkSession)
     rows = rows.where("lang is not null and text is not null").select("lang", "text")
     model = fit(stage(count_grams(rows), "grams"), broadcast_rows=broadcast_rows)
     if not model.langs:
         return model
-    n = rows.groupBy("lang").agg(F.count("*").alias("rows"))
-    sample = rows.join(n.join(spark.createDataFrame([(x,) for x in model.langs], "lang string"), "lang"), "lang")
-    sample = stage(sample.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(float(calibration_rows) * (1 << 20)) / F.col("rows")).select("lang", "text"), "calibration")
+    place = {x: k for k, x in enumerate(model.langs)}
 
     def own(b, m):
         e, n, squares = measured(_texts(b, 1), m, spread=True)
         langs = b.column(0).to_pylist()
-        at = np.array([m.langs.index(a) for a in langs], np.int64)
+        at = np.array([place.get(a, 0) for a in langs], np.int64)  # a language that the model lacks has no letter, so no entropy
         v, q = e[np.arange(len(at)), at], squares[np.arange(len(at)), at]
         ok = ~np.isnan(v)
         return pa.record_batch({"lang": pa.array([a for a, k in zip(langs, ok) if k], pa.string()), "v": pa.array(v[ok]), "n": pa.array(n[ok]), "q": pa.array(q[ok])})
 
     symbol = F.sum("q") / F.sum("n") - F.pow(F.sum(F.col("v") * F.col("n")) / F.sum("n"), 2)
-    spread = scored(sample, model, own, "lang string, v double, n double, q double").groupBy("lang").agg(F.avg("v").alias("m"), F.var_pop("v").alias("t"), symbol.alias("s"))
+    spread = scored(rows, model, own, "lang string, v double, n double, q double").groupBy("lang").agg(F.avg("v").alias("m"), F.var_pop("v").alias("t"), symbol.alias("s"))
     found = {r["lang"]: (r["m"], r["t"] or 0.0, max(r["s"], 0.0)) for r in spread.collect()}
-    # a language without a text of letters in the sample is held to the widest of the others
-    widest = tuple(max((x[k] for x in found.values()), default=0.0) for k in range(3))
-    model.limit = (np.array([found.get(x, widest) for x in model.langs]), reject_sd)
+    model.limit = (np.array([found[x] for x in model.langs]), reject_sd)
     return model
 
 

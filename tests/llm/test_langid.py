@@ -70,6 +70,18 @@ def test_counts_cover_all_rows(spark):
     assert got == counted(TEXTS * 3)
 
 
+def test_limits_come_from_all_rows(spark):
+    """More rows of a language than any sample was of: means and deviations are those of every text; a language without letters counts nowhere."""
+    texts = [("x", f"{'ab' * (k % 7)}{'cde' * (k % 5)} {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}") for k in range(6000)] + [("y", "der hund")] * 3 + [("z", "12 !")] * 2
+    model = langid.train(spark.createDataFrame(texts, "lang string, text string"))
+    assert model.langs == ["x", "y"]
+    for k, lang in enumerate(model.langs):
+        e, n, squares = langid.measured([t for x, t in texts if x == lang], model, spread=True)
+        v, q = e[:, k], squares[:, k]
+        want = (v.mean(), v.var(), q.sum() / n.sum() - ((v * n).sum() / n.sum()) ** 2)
+        assert model.limit[0][k] == pytest.approx(want, rel=1e-5, abs=1e-9)
+
+
 def test_a_model_that_is_too_large_to_broadcast(spark):
     """Joined to the documents' own n-grams it gives what the broadcast one gives, rejection included; other columns travel along."""
     sf = "/root/testdata/sf0.001"
