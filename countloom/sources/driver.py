@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from countloom.functions.scalars import floor_time
 
+#: Rows of the largest table that a task of a join takes; tasks become more with the table, not larger.
+TASK_ROWS = 250_000
+FEW_TASKS = 8
 UNIT = ["region", "area", "zone", "unit", "contest"]
 KEYS = [*UNIT, "category"]
 
@@ -20,14 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def n_tasks(df: DataFrame) -> int:
+    """Tasks that take about :data:`TASK_ROWS` rows of a stored table each; the count comes from the files' footers."""
+    return -(-df.count() // TASK_ROWS)
+
+
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """``df`` by its keys over at least so many tasks, which Spark doesn't merge by their compressed size; a few tasks are left to Spark."""
+    return df.repartition(tasks, *keys) if tasks > FEW_TASKS else df
+
+
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item: its keys, count ``n``, time of receipt, and two numbers that the sources differ by."""
+    """One row per line item: its keys, count ``n``, time of receipt, and two numbers that the sources differ by.
+
+    Rows are dealt by their order, a few lines each, and stay so: what is grouped by unit needs no other exchange.
+    """
     items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
     customers = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     nations = table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     units = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = items.join(units, F.col("l_orderkey") == F.col("o_orderkey"))
+    tasks = n_tasks(items)
+    rows = dealt(items, tasks, "l_orderkey").join(dealt(units, tasks, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select(
         F.col("n_name").alias("region"),
         (F.col("c_custkey") % 20).alias("area"),

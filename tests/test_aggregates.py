@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from countloom.operators import aggregates as A
+from countloom.plans import counts
+from countloom.sources import driver
 
 
 def offices(spark):
@@ -70,3 +72,15 @@ def test_weighted_errors(spark):
     e = A.weighted_errors(F.col("e"), F.col("w"))
     assert tuple(rows.agg(e["bias"], e["mae"], e["rmse"]).first()) == (-2.0, 2.5, 7.0**0.5)
     assert tuple(rows.where("w > 9").agg(e["bias"], e["mae"], e["rmse"]).first()) == (None, None, None)
+
+
+def test_tasks_of_the_facts_follow_the_rows(spark, monkeypatch):
+    """More rows make more tasks, not larger ones, whatever the session's number of partitions; units stay whole within a task."""
+    sf = "/root/testdata/sf0.001"
+    plain = sorted(map(tuple, counts.rule_violations(spark, sf).collect()))
+    monkeypatch.setattr(driver, "TASK_ROWS", 200)
+    facts = driver.counted(spark, sf).withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in facts.groupBy("task").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 600 and sum(sizes) == driver.table(spark, sf, "lineitem").count()
+    assert facts.groupBy("unit").agg(F.count_distinct("task").alias("n")).where("n > 1").count() == 0
+    assert sorted(map(tuple, counts.rule_violations(spark, sf).collect())) == plain
