@@ -6,6 +6,7 @@ import csv
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import islice
@@ -166,8 +167,40 @@ def read_zipped_csv(spark: SparkSession, path: str, columns: Sequence[str] = COU
     return zipped_csv(archives(spark, path), columns)
 
 
+#: Characters of text that a task holds before it compresses them, and so the most that a chunk has.
+CHUNK = 16 << 20
+
+
 def zipped(rows: DataFrame, archive: str, member: str, columns: Sequence[str], sep: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
-    """Archives (path, content) of CSV members, the reverse of :func:`zipped_csv`: sorted rows are compressed as a stream, one archive at a time."""
+    """Archives (path, content) of CSV members, the reverse of :func:`zipped_csv`.
+
+    Rows become compressed chunks of members where they lie; only chunks are dealt and sorted, and an archive is written from its own as a stream.
+    """
+
+    def chunks(batches):
+        import pandas as pd
+
+        held: dict[tuple, io.StringIO] = {}
+        size = 0
+
+        def packed():
+            out = [(a, m, zlib.compress(text.getvalue().encode(encoding))) for (a, m), text in held.items()]
+            held.clear()
+            return pd.DataFrame(out, columns=["archive", "member", "chunk"])
+
+        for b in batches:
+            for a, m, *values in zip(*(b[c] for c in b.columns)):
+                if (a, m) not in held:
+                    held[a, m] = io.StringIO(newline="")
+                text = held[a, m]
+                began = text.tell()
+                csv.writer(text, delimiter=sep, quoting=csv.QUOTE_ALL, lineterminator="\n").writerow(values)
+                size += text.tell() - began
+                if size > CHUNK:
+                    yield packed()
+                    size = 0
+        if held:
+            yield packed()
 
     def run(batches):
         import pandas as pd
@@ -180,7 +213,7 @@ def zipped(rows: DataFrame, archive: str, member: str, columns: Sequence[str], s
             return pd.DataFrame({"path": [name], "content": [held.getvalue()]})
 
         for b in batches:
-            for a, m, *values in zip(*(b[c] for c in b.columns)):
+            for a, m, chunk in zip(b["archive"], b["member"], b["chunk"]):
                 if a != name:
                     if name is not None:
                         yield closed()
@@ -189,14 +222,16 @@ def zipped(rows: DataFrame, archive: str, member: str, columns: Sequence[str], s
                 if m != inside:
                     if inside is not None:
                         f.close()
-                    inside, f = m, io.TextIOWrapper(z.open(m, "w"), encoding=encoding, newline="")
-                    csv.writer(f, delimiter=sep, quoting=csv.QUOTE_ALL, lineterminator="\n").writerow(columns)
-                csv.writer(f, delimiter=sep, quoting=csv.QUOTE_ALL, lineterminator="\n").writerow(values)
+                    inside, f = m, z.open(m, "w")
+                    head = io.StringIO(newline="")
+                    csv.writer(head, delimiter=sep, quoting=csv.QUOTE_ALL, lineterminator="\n").writerow(columns)
+                    f.write(head.getvalue().encode(encoding))
+                f.write(zlib.decompress(chunk))
         if name is not None:
             yield closed()
 
-    dealt = rows.select(F.col(archive), F.col(member), *columns).repartition(archive).sortWithinPartitions(archive, member)
-    return dealt.mapInPandas(run, "path string, content binary")
+    packed = rows.select(F.col(archive), F.col(member), *columns).mapInPandas(chunks, "archive string, member string, chunk binary")
+    return packed.repartition("archive").sortWithinPartitions("archive", "member").mapInPandas(run, "path string, content binary")
 
 
 def facts(rows: DataFrame, source: str) -> DataFrame:

@@ -69,6 +69,19 @@ def test_zip(spark, folder):
         S.read_zipped_csv(spark, f"{folder}/zip").collect()
 
 
+def test_archives_are_written_from_chunks(spark, monkeypatch):
+    """What is dealt to an archive's task is its compressed chunks, not its rows; they are cut at a size and give the same rows back."""
+    monkeypatch.setattr(S, "CHUNK", 2000)
+    rows = spark.range(3000).select(F.concat(F.col("id") % 3, F.lit(".zip")).alias("a"), F.concat(F.col("id") % 2, F.lit(".csv")).alias("m"), F.col("id").cast("string").alias("x"), F.lit('é;"\n').alias("y"))
+    got = S.zipped(rows, "a", "m", ["x", "y"])
+    sorts = got._jdf.queryExecution().optimizedPlan().toString().split("Sort [archive")[1]
+    assert "MapInPandas" in sorts and "chunk" in sorts
+    assert got.count() == 3 and sorted(map(tuple, S.archive_members(got).select("archive", "member").collect())) == [(f"{a}.zip", f"{m}.csv") for a in range(3) for m in range(2)]
+    back = S.zipped_csv(got, ["x", "y"])
+    assert sorted((r.archive, r.member, r.x, r.y) for r in back.collect()) == sorted(map(tuple, rows.collect()))
+
+
+
 def test_nested_documents(spark, tmp_path):
     doc = {"dg": "04/10/2026", "carg": [{"cd": "1", "agr": [{"par": [{"sg": "AA", "cand": [{"n": "13", "nm": "X", "vap": "1.234", "pvapn": "99,16"}, {"n": "22", "nm": "Y", "vap": "", "pvapn": None}]}]}]}], "s": {"st": "5", "ts": "10"}, "v": {"vv": "1.234"}}
     (tmp_path / "r.json").write_text(json.dumps(doc, indent=1))
