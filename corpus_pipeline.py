@@ -18,10 +18,10 @@ from countloom.sources.storage import discard, discard_since, mark
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the labelled ones teach; ``lang`` itself is left as it is.
 
-    Models are trained on the given documents' own labels, as in op5. Only texts that are null, have no letter
-    or lie far from every language are rejected.
+    Models are trained on all labelled rows of the given documents: op5 holds a fold out, this stage none. Only texts that are null, have no
+    letter or lie far from every language are rejected.
     """
-    return langid.without_rejected(docs, langid.train(docs.where(~langid.held_out(F.col("doc_id")))))
+    return langid.without_rejected(docs, langid.train(docs))
 
 
 def simhash_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
