@@ -58,11 +58,12 @@ def test_each_stage_alone(spark, k):
 
 
 def test_every_labelled_document_teaches(spark):
-    """A language that only documents of op5's held-out fold have is learned too: the stage holds nothing out."""
+    """A language that only documents of op5's held-out fold have is learned too: the stage holds nothing out. Unlabelled rows far from all of them go."""
     held = [k for k in range(400) if crc32(str(k).encode()) % 4 == 2]
     other = [k for k in range(400) if k not in held]
     en, ru = "the house and the river were with them in the morning ", "дом и река были с ними утром когда они там стояли "
     made = [(k, en * (2 + k % 3), "en", "s", 0) for k in other[:60]] + [(k, ru * (2 + k % 3), "ru", "s", 0) for k in held[:60]]
-    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    far = [(1000, "ωκ ψφ ξζθ λμν " * 20, None, "s", 0)]
+    docs = spark.createDataFrame(made + far, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()}
     assert kept == {r[0] for r in made}
