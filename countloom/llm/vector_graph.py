@@ -1,14 +1,15 @@
 """Embedding near-duplicates by a robust-pruned flat graph over overlapping cluster shards.
 
-Distinct vectors of a label are split by sampled centres until a shard is small; every vector has a home
-shard and overlaps into the next nearest one. Each shard builds a single-layer graph: candidates
+Distinct vectors of a label are split by sampled centres until a shard is small, overlaps included; every vector has
+a home shard and overlaps into the next nearest one. What centres can't split is dealt by a hash. Each shard builds a single-layer graph: candidates
 from its vectors, pruned so that an edge stays only if no kept neighbour is much nearer to its end. The
 adjacency lists of a vector's shards are united. Each vector then searches its home shard greedily
 from the medoid, and expands everything in range; where united lists or overlapping members lead on to
 another shard, the search goes there in the next round. All links found are verified in double precision.
 
 Copies of one vector are one node. A search reports how many vectors it links with and a spanning star,
-never pairs, so that a group of near copies costs no rows of its square.
+never pairs, so that a group of near copies costs no rows of its square. What a task holds is bounded by a shard's
+members and a number of pairs, however many vectors lie within range of each other.
 """
 
 from __future__ import annotations
@@ -20,14 +21,18 @@ from pyspark.sql import functions as F
 
 from .common import components, lean, stage
 
-#: A shard is split if it has more home vectors than this.
-SHARD = 512
+#: A shard is split if it has more home vectors than this, or more than CROWD times as many members.
+SHARD, CROWD = 512, 3
 #: Centres of a split, sampled vectors for each of them, and rounds of their fit.
 CENTRES, SAMPLE, FIT = 64, 64, 8
 #: Candidates of a vector (nearest, and spread ones for long edges), its degree and the slack of the pruning.
 NEAREST, SPREAD, DEGREE, LONG, ALPHA = 48, 16, 24, 6, 1.2
-BEAM, LEVELS = 24, 24
-BLOCK = 1 << 17
+#: Width of the beam, and levels of splits by centres.
+BEAM, LEVELS = 24, 8
+#: Edges and components of vectors that are looked at together, pairs of queries and members, and queries of a shard that one task answers.
+BLOCK, PAIRS, ASKING = 1 << 17, 1 << 20, 4096
+#: Rows of shards for each task of a search.
+DEALT = 1 << 14
 _EDGE = np.dtype([("node", "<i8"), ("home", "<i8"), ("cosine", "<f4")])
 
 
@@ -60,12 +65,16 @@ def _matrix(column) -> np.ndarray:
 
 
 def _centres(t: pa.Table) -> pa.Table:
-    """Spherical k-means of a cell's sample; begins with vectors far from each other. Rows count in the order of their bytes."""
+    """Spherical k-means of a cell's sample. Rows count in the order of their bytes.
+
+    It begins with vectors far from each other and as many drawn ones, so that a crowd is split as well.
+    """
     t = t.sort_by("unit")
     x = _matrix(t["unit"])
     k = int(min(t["k"][0].as_py(), len(x)))
-    chosen, near = [0], x @ x[0]
-    for _ in range(k - 1):
+    chosen = np.random.default_rng(len(x)).permutation(len(x))[: k // 2 + 1].tolist()
+    near = (x @ x[chosen].T).max(axis=1)
+    for _ in range(k - len(chosen)):
         chosen.append(int(near.argmin()))
         near = np.maximum(near, x @ x[chosen[-1]])
     c = x[chosen].copy()
@@ -100,25 +109,31 @@ _CELL_SQL = "cell string, node long, home boolean, unit binary, n long"
 def shards(nodes: DataFrame, size: int = SHARD) -> DataFrame:
     """(shard long, node, home long, unit, n) from (node, cell, unit, n): the home row and the overlaps of each node.
 
-    Cells with over ``size`` home vectors are split by centres that are fitted to a sample of at most about
-    CENTRES x SAMPLE of their vectors; every vector is assigned. A cell that LEVELS splits
-    do not make small stays as it is.
+    Cells with over ``size`` home vectors or CROWD times as many members are split by centres that are fitted to a sample
+    of at most about CENTRES x SAMPLE of their members; every vector is assigned. A cell that is still
+    too large after LEVELS splits holds vectors that centres hardly tell apart: it is dealt by a hash.
     """
-    left, done = nodes.select("cell", "node", F.lit(True).alias("home"), "unit", "n"), None
-    for _ in range(LEVELS):
+    left, done, level = nodes.select("cell", "node", F.lit(True).alias("home"), "unit", "n"), None, 0
+    while True:
         left = stage(left, "cells")
-        count = left.groupBy("cell").agg(F.count_if("home").alias("m")).where(F.col("m") > size)
-        k = F.least(F.lit(CENTRES), F.ceil(F.col("m") / size) + 1).cast("int")
-        big = stage(count.select("cell", k.alias("k"), (F.lit(SAMPLE) * k / F.col("m")).alias("share")), "big-cells")
+        count = left.groupBy("cell").agg(F.count("*").alias("m"), F.count_if("home").alias("h")).where((F.col("h") > size) | (F.col("m") > CROWD * size))
+        k = F.least(F.lit(CENTRES), F.ceil(F.greatest(F.col("h"), F.col("m") / CROWD) / size) + 1).cast("int")
+        parts = (F.ceil((F.col("m") + F.col("h")) / size) + 1).cast("int")
+        big = stage(count.select("cell", k.alias("k"), parts.alias("parts"), (F.lit(SAMPLE) * k / F.col("m")).alias("share")), "big-cells")
         small = left.join(big.select("cell"), "cell", "left_anti")
         done = small if done is None else done.unionByName(small)
         if big.isEmpty():
             break
-        sample = left.where("home").join(big, "cell").where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
-        centres = stage(sample.select("cell", "unit", "k").groupBy("cell").applyInArrow(_centres, "cell string, centres binary"), "centres")
-        left = left.join(centres, "cell").select("cell", "node", "home", "unit", "n", "centres").mapInArrow(_assigned, _CELL_SQL)
-    else:
-        done = done.unionByName(left)
+        if level < LEVELS:
+            sample = left.join(big, "cell").where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+            centres = stage(sample.select("cell", "unit", "k").groupBy("cell").applyInArrow(_centres, "cell string, centres binary"), "centres")
+            left = left.join(centres, "cell").select("cell", "node", "home", "unit", "n", "centres").mapInArrow(_assigned, _CELL_SQL)
+        else:
+            first = F.pmod(F.xxhash64("node", F.lit(level)), F.col("parts"))
+            other = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(-level)), F.col("parts") - 1), F.col("parts"))
+            dealt = left.join(big.select("cell", "parts"), "cell").select("cell", "node", "home", "unit", "n", F.posexplode(F.when(F.col("home"), F.array(first, other)).otherwise(F.array(first))).alias("rank", "at"))
+            left = dealt.select(F.concat_ws("/", "cell", F.col("at").cast("string")).alias("cell"), "node", (F.col("home") & (F.col("rank") == 0)).alias("home"), "unit", "n")
+        level += 1
     done = done.withColumn("shard", F.xxhash64("cell"))
     homes = done.where("home").select("node", F.col("shard").alias("at"))
     return stage(done.join(homes, "node").select("shard", "node", F.col("at").alias("home"), "unit", "n"), "shards")
@@ -191,12 +206,17 @@ class Shard:
     def __init__(self, node: np.ndarray, home: np.ndarray, x: np.ndarray, lists: list[list[bytes]]):
         self.node, self.home, self.x = node, home, x
         by = np.argsort(node)
-        edges = [np.unique(np.frombuffer(b"".join(p), _EDGE)) for p in lists]
-        size = np.array([len(e) for e in edges])
-        flat, row = np.concatenate(edges) if edges else np.zeros(0, _EDGE), np.repeat(np.arange(len(node)), size)
+        size = np.array([sum(map(len, p)) for p in lists]) // _EDGE.itemsize
+        flat, row = np.frombuffer(b"".join([e for p in lists for e in p]), _EDGE), np.repeat(np.arange(len(node)), size)
         at = by[np.minimum(np.searchsorted(node, flat["node"], sorter=by), len(node) - 1)]
         here = node[at] == flat["node"]
         self.out_row, self.out = row[~here], flat[~here]
+        # of a member's edges into one shard the nearest is enough
+        near = np.lexsort((self.out["node"], -self.out["cosine"], self.out["home"], self.out_row))
+        self.out_row, self.out = self.out_row[near], self.out[near]
+        new = np.ones(len(near), bool)
+        new[1:] = (self.out_row[1:] != self.out_row[:-1]) | (self.out["home"][1:] != self.out["home"][:-1])
+        self.out_row, self.out = self.out_row[new], self.out[new]
         pairs = np.unique(row[here] * len(node) + at[here])
         a, b = pairs // len(node), pairs % len(node)
         degree = np.bincount(a, minlength=len(node))
@@ -205,11 +225,13 @@ class Shard:
         self.medoid = int((x @ x.mean(axis=0)).argmax())
         self.place = dict(zip(node.tolist(), range(len(node))))
         self.x32 = x.astype(np.float32)
+        self.edges: np.ndarray | None = None
 
-    def cosines(self, q: np.ndarray, row: np.ndarray, to: np.ndarray) -> np.ndarray:
-        out = np.empty(len(row), np.float32)
-        for s in range(0, len(row), BLOCK):
-            out[s : s + BLOCK] = np.einsum("ij,ij->i", q[row[s : s + BLOCK]], self.x32[to[s : s + BLOCK]])
+    @staticmethod
+    def cosines(q: np.ndarray, x: np.ndarray, row: np.ndarray, to: np.ndarray) -> np.ndarray:
+        out, step = np.empty(len(row), x.dtype), max(1, (BLOCK << 3) // x.shape[1])
+        for s in range(0, len(row), step):
+            out[s : s + step] = np.einsum("ij,ij->i", q[row[s : s + step]], x[to[s : s + step]])
         return out
 
     def search(self, q: np.ndarray, entries: list[list[int]], slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,7 +250,7 @@ class Shard:
             fresh = ~seen[row, to]
             row, to = row[fresh], to[fresh]
             seen[row, to] = True
-            c = self.cosines(q, row, to)
+            c = self.cosines(q, self.x32, row, to)
             found.append((row, to, c))
             if len(row):
                 some, begin = np.unique(row, return_index=True)
@@ -253,14 +275,9 @@ class Shard:
         while len(row):
             new = np.unique(row * n + to)
             a, b = [], []
-            for s in range(0, len(new), BLOCK // self.near.shape[1] + 1):
-                part = new[s : s + BLOCK // self.near.shape[1] + 1]
-                r, t = self._spread(part // n, part % n)
-                fresh = ~seen[r, t]
-                pairs = np.unique(r[fresh] * n + t[fresh])
-                r, t = pairs // n, pairs % n
+            for r, t in self._around(new // n, new % n, seen):
                 seen[r, t] = True
-                c = self.cosines(q, r, t)
+                c = self.cosines(q, self.x32, r, t)
                 found.append((r, t, c))
                 a.append(r[c >= slack])
                 b.append(t[c >= slack])
@@ -269,19 +286,73 @@ class Shard:
         inside = c >= slack
         return row[inside], to[inside], c[inside]
 
+    def _around(self, row: np.ndarray, node: np.ndarray, seen: np.ndarray):
+        """(row, neighbour), each once, of what isn't seen: by lists, or if that is less work by a product with the matrix of the edges."""
+        n, width = len(self.node), self.near.shape[1]
+        if len(row) * width * 300 > seen.size * n and n <= BLOCK >> 5:
+            if self.edges is None:
+                self.edges = np.zeros((n, n), np.float32)
+                self.edges[self._spread(np.arange(n), np.arange(n))] = 1
+            hit = np.zeros(seen.shape, np.float32)
+            hit[row, node] = 1
+            yield np.nonzero((hit @ self.edges > 0) & ~seen)
+            return
+        for s in range(0, len(row), BLOCK // width + 1):
+            r, t = self._spread(row[s : s + BLOCK // width + 1], node[s : s + BLOCK // width + 1])
+            fresh = ~seen[r, t]
+            pairs = np.unique(r[fresh] * n + t[fresh])
+            yield pairs // n, pairs % n
+
+    def onward(self, row: np.ndarray, to: np.ndarray, c: np.ndarray, link: np.ndarray, homes: np.ndarray, own: int, sure: float, far: float):
+        """(query, shard, entry), one for each query and shard: members linked whose home is elsewhere, and edges that leave from members near enough.
+
+        An edge leads on if its angle is ``sure`` more than the member's at most; hits have angles up to ``far``.
+        """
+        m, n = len(homes), len(self.node)
+        angle = np.arccos(np.clip(self.out["cosine"], -1, 1))
+        always = np.flatnonzero(angle <= sure)
+        maybe = np.flatnonzero((angle > sure) & (angle <= sure + far))
+        away = np.flatnonzero(self.home != own)
+        shards = np.unique(np.concatenate((self.home[away], self.out["home"][always], self.out["home"][maybe])))
+        hit, linked = np.zeros((m, n), bool), np.zeros((m, n), bool)
+        hit[row, to] = True
+        linked[row[link], to[link]] = True
+        entry = np.full((m, len(shards)), -1, np.int64)
+        for among, members, nodes, place in ((hit, self.out_row[always], self.out["node"][always], self.out["home"][always]), (linked, away, self.node[away], self.home[away])):
+            by = np.lexsort((nodes, place))
+            members, nodes = members[by], nodes[by]
+            cuts = np.searchsorted(place[by], shards), np.searchsorted(place[by], shards, "right")
+            for k, (lo, hi) in enumerate(zip(*(x.tolist() for x in cuts))):
+                if lo < hi:
+                    part = among[:, members[lo:hi]]
+                    first = part.argmax(axis=1)
+                    yes = part[np.arange(m), first]
+                    entry[yes, k] = nodes[lo:hi][first[yes]]
+        if len(maybe):
+            member, target, nodes = self.out_row[maybe], np.searchsorted(shards, self.out["home"][maybe]), self.out["node"][maybe]
+            begin, size = np.searchsorted(member, np.arange(n)), np.bincount(member, minlength=n)
+            some = np.flatnonzero(size[to] > 0)
+            for lo in range(0, len(some), step := BLOCK // int(size.max()) + 1):
+                k = some[lo : lo + step]
+                times = size[to[k]]
+                pair = np.repeat(k, times)
+                e = np.repeat(begin[to[k]], times) + np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times)
+                ok = (angle[maybe][e] - np.arccos(np.clip(c[pair], -1, 1)) <= sure) & (entry[row[pair], target[e]] < 0)
+                entry[row[pair[ok]], target[e[ok]]] = nodes[e[ok]]
+        entry[shards == homes[:, None]] = -1
+        entry[:, shards == own] = -1
+        a, k = np.nonzero(entry >= 0)
+        return a, shards[k], entry[a, k]
+
     def _spread(self, row: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         to = self.near[node]
         a, b = np.nonzero(to >= 0)
         return row[a], to[a, b]
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, root) that span the components of the links (a, b)."""
-    if not len(a):
-        return a, b
-    nodes, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
-    a, b = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(nodes))
+def _stars(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, root) that span the components of the links (a, b) between ``n`` nodes."""
+    label = np.arange(n)
     while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -291,8 +362,8 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if (new == label).all():
             break
         label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
+    moved = np.flatnonzero(label != np.arange(n))
+    return moved, label[moved]
 
 
 _FOUND = pa.schema([("kind", pa.int32()), ("node", pa.int64()), ("other", pa.int64()), ("entry", pa.int64())])
@@ -321,56 +392,44 @@ def _searched(threshold: float, first: bool):
             entries = [[s.medoid, *(s.place[e] for e in set(x) if e in s.place)] for x in queries["entries"].to_pylist()]
         if not len(q):
             return _FOUND.empty_table()
-        parts = []
-        step = max(64, (1 << 22) // len(node))
+        # nodes by their place: members, then queries that are none
+        of = np.array([s.place.get(k, -1) for k in ids.tolist()])
+        guest = np.flatnonzero(of < 0)
+        of[guest] = len(node) + np.arange(len(guest))
+        names = np.concatenate((node, ids[guest]))
+        count, stars, go = np.zeros(len(q), np.int64), [], []
+        step = max(1, PAIRS // len(node))
         for lo in range(0, len(q), step):
-            row, to, c = s.search(q[lo : lo + step], entries[lo : lo + step], slack)
-            parts.append((row + lo, to, c))
-        row, to, c = (np.concatenate(x) for x in zip(*parts))
-        sure = c >= threshold - 1e-3
-        exact = np.zeros(len(row))
-        near = np.flatnonzero(sure)
-        for lo in range(0, len(near), BLOCK):
-            k = near[lo : lo + BLOCK]
-            exact[k] = np.einsum("ij,ij->i", q[row[k]], s.x[to[k]])
-        link = (exact >= threshold) & (ids[row] != node[to])
-        mine = link & (home[to] == own)
-        count = np.bincount(row[mine], weights=n[to[mine]], minlength=len(q)).astype(np.int64)
-        a, b = _stars(ids[row[link]], node[to[link]])
-        # onward: members in range whose home is elsewhere, and edges that leave from members near enough
-        away = np.flatnonzero(link & (home[to] != own) & (home[to] != homes[row]))
-        go = [(ids[row[away]], home[to[away]], node[to[away]])]
-        if len(s.out):
-            by = np.argsort(s.out_row, kind="stable")
-            begin, size = np.searchsorted(s.out_row[by], np.arange(len(node))), np.bincount(s.out_row, minlength=len(node))
-            some = np.flatnonzero(size[to] > 0)
-            for lo in range(0, len(some), BLOCK):
-                k = some[lo : lo + BLOCK]
-                m = size[to[k]]
-                pair = np.repeat(k, m)
-                e = by[np.repeat(begin[to[k]], m) + np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)]
-                least = np.arccos(np.clip(s.out["cosine"][e], -1, 1)) - np.arccos(np.clip(c[pair], -1, 1))
-                ok = (least <= (reach + wide) / 2) & (s.out["home"][e] != homes[row[pair]])
-                go.append((ids[row[pair[ok]]], s.out["home"][e[ok]], s.out["node"][e[ok]]))
-        g = np.stack([np.concatenate(x) for x in zip(*go)], axis=1)
-        if len(g):  # an entry for each query and shard is enough: ranges are expanded there
-            g = g[np.lexsort((g[:, 2], g[:, 1], g[:, 0]))]
-            g = g[np.concatenate(([True], (g[1:, :2] != g[:-1, :2]).any(axis=1)))]
+            part = q[lo : lo + step]
+            row, to, c = s.search(part, entries[lo : lo + step], slack)
+            near = np.flatnonzero(c >= threshold - 1e-3)
+            link = np.zeros(len(row), bool)
+            link[near] = s.cosines(part, s.x, row[near], to[near]) >= threshold
+            link &= of[lo + row] != to
+            mine = link & (home[to] == own)
+            count[lo : lo + step] = np.bincount(row[mine], weights=n[to[mine]], minlength=len(part)).astype(np.int64)
+            stars.append(_stars(of[lo + row[link]], to[link], len(names)))
+            a, shard, entry = s.onward(row, to, c, link, homes[lo : lo + step], own, (reach + wide) / 2, wide)
+            go.append((ids[lo + a], shard, entry))
+        a, b = _stars(*(np.concatenate(x) for x in zip(*stars)), len(names))
+        a, b = names[a], names[b]
+        g = [np.concatenate(x) for x in zip(*go)]
         some = np.flatnonzero(count)
-        kind = np.repeat([0, 1, 2], [len(some), len(a), len(g)])
-        return pa.table([pa.array(kind, pa.int32()), *(pa.array(np.concatenate(x).astype(np.int64)) for x in ((ids[some], a, g[:, 0]), (count[some], b, g[:, 1]), (np.zeros(len(some) + len(a)), g[:, 2])))], schema=_FOUND)
+        kind = np.repeat([0, 1, 2], [len(some), len(a), len(g[0])])
+        return pa.table([pa.array(kind, pa.int32()), *(pa.array(np.concatenate(x).astype(np.int64)) for x in ((ids[some], a, g[0]), (count[some], b, g[1]), (np.zeros(len(some) + len(a)), g[2])))], schema=_FOUND)
 
     return run
 
 
 def search_all(members: DataFrame, threshold: float) -> DataFrame:
     """All rounds of the search over ``members`` (shard, node, home, unit, n): rows (kind, node, other)."""
-    lists = members.groupBy("shard").applyInArrow(_built, "node long, edges binary").groupBy("node").agg(F.collect_list("edges").alias("lists"))
+    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // DEALT)
+    lists = members.repartition(tasks, "shard").groupBy("shard").applyInArrow(_built, "node long, edges binary").groupBy("node").agg(F.collect_list("edges").alias("lists"))
     none = F.lit(None).cast("array<long>").alias("entries")
     table = stage(members.join(lists, "node").select("shard", "node", "home", "unit", "n", "lists", none), "graph")
     homes = table.where("shard = home").select("node", "home", "unit")
     schema = "kind int, node long, other long, entry long"
-    found = stage(table.groupBy("shard").applyInArrow(_searched(threshold, True), schema), "found")
+    found = stage(table.repartition(tasks, "shard").groupBy("shard").applyInArrow(_searched(threshold, True), schema), "found")
     every = [found]
     gone = None
     while True:
@@ -381,8 +440,12 @@ def search_all(members: DataFrame, threshold: float) -> DataFrame:
         if go.isEmpty():
             break
         gone = go.select("node", "shard") if gone is None else gone.unionByName(go.select("node", "shard"))
-        queries = go.join(homes, "node").select("shard", "node", "home", "unit", F.lit(None).cast("long").alias("n"), F.lit(None).cast("array<binary>").alias("lists"), "entries")
-        found = stage(table.join(go.select("shard").distinct(), "shard", "left_semi").unionByName(queries).groupBy("shard").applyInArrow(_searched(threshold, False), schema), "found")
+        # a shard that many ask is searched by several tasks, each with all its members
+        parts = go.groupBy("shard").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("parts"))
+        queries = go.join(homes, "node").join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        queries = queries.select("shard", "node", "home", "unit", F.lit(None).cast("long").alias("n"), F.lit(None).cast("array<binary>").alias("lists"), "entries", "part")
+        asked = table.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        found = stage(asked.unionByName(queries).repartition(tasks, "shard", "part").groupBy("shard", "part").applyInArrow(_searched(threshold, False), schema), "found")
         every.append(found)
     out = every[0]
     for x in every[1:]:

@@ -1,6 +1,10 @@
 """Embedding near-duplicates against brute force: no wrong link, recall, and every odd input."""
 
+import tracemalloc
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from countloom.llm import queries, vector_graph
@@ -110,3 +114,38 @@ def test_audit(spark):
 def test_audit_query(spark):
     audit = queries.embedding_recall_audit(spark, "/root/testdata/sf0.01").first()
     assert audit.queries >= 5 and (audit.recall is None or audit.recall >= 0.9)
+
+
+def test_crowds_are_split_with_their_overlaps(spark):
+    """A ball at the border of a cell, and vectors that no centre tells apart: members are bounded, not homes only."""
+    rng = np.random.default_rng(8)
+    base = np.ones(16)
+    x = np.concatenate((rng.normal(size=(400, 16)), base + rng.normal(size=(1500, 16)) * 0.02, -base + rng.normal(size=(600, 16)) * 1e-15))
+    units = [(k, "a", (v / np.linalg.norm(v)).tobytes(), 1) for k, v in enumerate(x)]
+    got = vector_graph.shards(spark.createDataFrame(units, "node long, cell string, unit binary, n long"), 100).collect()
+    members, homes = Counter(r.shard for r in got), Counter(r.node for r in got if r.home == r.shard)
+    assert max(members.values()) <= 300
+    assert homes == Counter(range(len(x)))
+
+
+def test_memory_of_a_crowd():
+    """A shard whose members are all linked and have edges into many others: pairs and their edges aren't held at once."""
+    rng = np.random.default_rng(9)
+    x = 1 + rng.normal(size=(1000, 16)) * 0.02
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    lists = []
+    for k, near in enumerate(vector_graph.pruned_graph(x)):
+        edges = np.zeros(len(near) + 20, vector_graph._EDGE)
+        edges["node"], edges["home"], edges["cosine"] = [*near, *range(5000 + 20 * k, 5020 + 20 * k)], [*[7] * len(near), *range(100, 120)], 0.999
+        lists.append([edges.tobytes()])
+    columns = {"shard": [7] * 1000, "node": range(1000), "home": [7] * 1000, "unit": [v.tobytes() for v in x], "n": [1] * 1000, "lists": lists, "entries": pa.nulls(1000, pa.list_(pa.int64()))}
+    t = pa.table({k: v if k == "entries" else pa.array(list(v)) for k, v in columns.items()})
+    tracemalloc.start()
+    got = vector_graph._searched(0.98, True)(t).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6  # it was 1.7 GB
+    counts, links, onward = (got[got.kind == k] for k in range(3))
+    assert (counts.other == 999).all() and len(counts) == 1000 and len(links) == 999
+    assert len(onward) == 1000 * 20 and set(onward.other) == set(range(100, 120))
+    assert ((onward.entry - 5000) % 20 + 100 == onward.other).all()
