@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, mix64, n_groups, packed, packed_schema, stage, unpacked
-from .repeats import PIECE, Task, chunkwise, member, shared_keys, short, sorted_keys, with_chunk
+from .repeats import PIECE, Task, chunkwise, grouped, member, shared_keys, short, sorted_keys, with_chunk
 from .words import runs
 
 #: Stands for a null doc_id, which comes after all others.
@@ -36,6 +36,8 @@ HELD = 1 << 24
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _ANSWERS = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("payload", pa.binary())])
 _RECORD = np.dtype([("key", "<u8"), ("least", "<i8"), ("chunk", "<i4"), ("length", "u1")])
+#: Bytes of segments that are indexed at once; sorting more costs more for each byte.
+INDEXED = 1 << 20
 #: A segment's length and the places in it are held in a byte.
 LONGEST = 200
 
@@ -45,6 +47,34 @@ def _values() -> np.ndarray:
     return np.random.default_rng(50).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def grams(x: np.ndarray, inner: int) -> np.ndarray:
+    """Hash of ``inner`` bytes from each place on, put together from powers of two."""
+    h, width, out, done = _values()[x], 1, None, 0
+    while True:
+        if inner & width:
+            n = max(0, len(x) - (done + width) + 1)
+            out = h[:n].copy() if out is None else out[:n] * _B + h[done : done + n]
+            done += width
+        if done == inner:
+            out ^= out >> np.uint64(32)
+            out *= _C
+            out ^= out >> np.uint64(29)
+            return out
+        h = h[: max(0, len(h) - width)] * (_A + np.uint64(2 * width)) + h[width:]
+        width *= 2
+
+
+def minimizers(g: np.ndarray, span: int) -> np.ndarray:
+    """For each window the least hash of the ``span`` grams in it."""
+    width = 1
+    while width < span:
+        step = min(width, span - width)
+        n = max(0, len(g) - step)
+        g = np.minimum(g[:n], g[step:])
+        width += step
+    return g
+
+
 class Windows:
     """The windows of a piece of some documents, grouped into runs with one minimizer.
 
@@ -58,8 +88,8 @@ class Windows:
         n = max(0, len(x) - length + 1)
         sizes = np.array([len(b) for _, _, b in blocks], np.int64)
         ends = np.cumsum(sizes)
-        self.g = self._grams(x)
-        low = self._least(self.g)
+        self.g = grams(x, inner)
+        low = minimizers(self.g, length - inner + 1)
         new = np.ones(n, bool)
         np.not_equal(low[1:], low[:-1], out=new[1:])
         begin = ends - sizes
@@ -80,32 +110,6 @@ class Windows:
         self.text = np.array([k for k, _, _ in blocks], np.int64)[block]
         self.shift = (np.array([base for _, base, _ in blocks], np.int64) - begin)[block]
 
-    def _grams(self, x: np.ndarray) -> np.ndarray:
-        """Hash of ``inner`` bytes from each place on, put together from powers of two."""
-        h, width, out, done = _values()[x], 1, None, 0
-        while True:
-            if self.inner & width:
-                n = max(0, len(x) - (done + width) + 1)
-                out = h[:n].copy() if out is None else out[:n] * _B + h[done : done + n]
-                done += width
-            if done == self.inner:
-                out ^= out >> np.uint64(32)
-                out *= _C
-                out ^= out >> np.uint64(29)
-                return out
-            h = h[: max(0, len(h) - width)] * (_A + np.uint64(2 * width)) + h[width:]
-            width *= 2
-
-    def _least(self, g: np.ndarray) -> np.ndarray:
-        """For each window the least hash of the grams in it."""
-        span, width = self.length - self.inner + 1, 1
-        while width < span:
-            step = min(width, span - width)
-            n = max(0, len(g) - step)
-            g = np.minimum(g[:n], g[step:])
-            width += step
-        return g
-
     def content(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Key of the bytes of the segments [first, last + length), from four grams that cover them."""
         end = last + self.length - self.inner
@@ -151,16 +155,17 @@ class RunLengthIndex:
         self.rest = rest = np.repeat(ends.astype(np.int32), sizes + 1) - places  # bytes up to the separator
         bits = max(1, n.bit_length())
         code, width = self._codes(segments, ends, bits)
-        key, longest = code, int(sizes.max(initial=0))
+        longest = int(sizes.max(initial=0))
+        order, new = self._sorted(code, bits, places)
+        del code
         while True:
-            order, new = self._sorted(key, bits, places)
             rank = np.empty(n, np.int32)
             rank[order] = np.cumsum(new, dtype=np.int32)
             if width <= least:
                 near, near_width = rank, width
             if width >= longest:
                 break
-            key = (rank.astype(np.int64) << bits) | rank[places + np.minimum(rest, np.int32(width))]
+            self._doubled(order, new, rank, rest, width, bits)
             width *= 2
         # equal rests of two segments go by the place of their separators
         left = order - 1
@@ -207,18 +212,46 @@ class RunLengthIndex:
 
     @staticmethod
     def _sorted(key: np.ndarray, bits: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places by key, then by place, and where a new key begins. Sorts values with the place in their low bits if they fit."""
-        n = len(key)
-        if n and int(key.max()).bit_length() + bits <= 63:
-            both = (key << bits) | places
+        """Places by key, then by place, and where a new key begins. The place stands in the low bits, so values are sorted."""
+        both = (key << bits) | places
+        both.sort()
+        order = (both & ((1 << bits) - 1)).astype(np.int32)
+        both >>= bits
+        return order, np.concatenate(([False], both[1:] != both[:-1]))
+
+    @staticmethod
+    def _doubled(order: np.ndarray, new: np.ndarray, rank: np.ndarray, rest: np.ndarray, width: int, bits: int) -> None:
+        """From the order by the first ``width`` symbols, and where a new rank begins in it, to the order by twice as many, in place.
+
+        Only suffixes that share their rank are sorted: by their own rank, the rank of what follows and their place, in one value. Where these do
+        not fit, by the latter two first and then in this order by their own rank, so the sorts are such of values however many suffixes there are.
+        """
+        n = len(order)
+        open_ = np.zeros(n, bool)
+        np.logical_not(new[1:], out=open_[1:])
+        open_[:-1] |= open_[1:]
+        slots = np.flatnonzero(open_)
+        own = order[slots]
+        low = np.int64((1 << bits) - 1)
+        follows = rank[own + np.minimum(rest[own], np.int32(width))]
+        if 3 * bits <= 63:
+            both = (((rank[own].astype(np.int64) << bits) | follows) << bits) | own
             both.sort()
-            order = (both & ((1 << bits) - 1)).astype(np.int32)
+            order[slots] = both & low
             both >>= bits
-            key = both
-        else:
-            order = np.argsort(key, kind="stable").astype(np.int32)
-            key = key[order]
-        return order, np.concatenate(([False], key[1:] != key[:-1]))
+            new[slots[1:]] = both[1:] != both[:-1]
+            return
+        both = (follows.astype(np.int64) << bits) | own
+        both.sort()
+        own = (both & low).astype(np.int32)
+        both >>= bits
+        follows = both.astype(np.int32)
+        both = (rank[own].astype(np.int64) << bits) | np.arange(len(own))
+        both.sort()
+        by = both & low
+        both >>= bits
+        order[slots], follows = own[by], follows[by]
+        new[slots[1:]] = (both[1:] != both[:-1]) | (follows[1:] != follows[:-1])
 
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For each text position, in order: the longest match with the suffix before it, and that one's place."""
@@ -305,16 +338,39 @@ def _merged(content: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.nd
     return order, head, sure
 
 
-def _shard(t: pa.Table, length: int, seed: int) -> pa.Table:
-    """For each chunk: which windows of its segments start in an earlier document, and in which."""
+def _shard(t: pa.Table, length: int, inner: int, seed: int) -> pa.Table:
+    """For each chunk: which windows of its segments start in an earlier document, and in which.
+
+    Segments are indexed in shares of about INDEXED bytes by their minimizers, as they came here.
+    """
     parts, texts = [], []
     for n, data in zip(t["n"].to_pylist(), t["payload"].to_pylist()):
         own, text = _unpacked(n, data)
         parts.append(own)
         texts.append(text)
     records, x = np.concatenate(parts), np.concatenate(texts)
+    del parts, texts
     size = records["length"].astype(np.int64)
     begin = np.cumsum(size) - size
+    shares = -(-len(x) // INDEXED)
+    if shares < 2:
+        told = [_answers(records, x, size, begin, length, seed)]
+    else:
+        share = np.zeros(len(records), np.int64)
+        for lo, hi in grouped(size.tolist()):
+            piece = x[begin[lo] : begin[hi - 1] + size[hi - 1]]
+            share[lo:hi] = mix64(minimizers(grams(piece, inner), length - inner + 1)[begin[lo:hi] - begin[lo]] ^ _D) % np.uint64(shares)
+        order = np.argsort(share, kind="stable")
+        told = [_answers(records[k], x, size[k], begin[k], length, seed) for k in np.split(order, np.searchsorted(share[order], np.arange(1, shares))) if len(k)]
+    chunk, *columns, first = (np.concatenate(c) for c in zip(*told))
+    sure = chunk >= 0  # one document of the chunk has this content: it is said here that it is a later one
+    chunk = np.where(sure, chunk, -chunk - 1)
+    batches = [*packed(chunk[sure], [c[sure] for c in columns], key="chunk"), *packed(chunk[~sure], [c[~sure] for c in (*columns, first)], key="chunk", kind=1)]
+    return pa.Table.from_batches(batches, schema=_ANSWERS).select(["chunk", "payload", "kind"]) if batches else _ANSWERS.empty_table().select(["chunk", "payload", "kind"])
+
+
+def _answers(records: np.ndarray, x: np.ndarray, size: np.ndarray, begin: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
+    """(chunk as records have it, key, check, from, to, first document) of runs of windows with one first document; records of one content share them."""
     order = np.lexsort((records["least"], records["key"]))
     records, size = records[order], size[order]
     # a row of bytes for each record, its own first and then zeros
@@ -349,12 +405,8 @@ def _shard(t: pa.Table, length: int, seed: int) -> pa.Table:
     chunk = records["chunk"][rec]
     need = (first[lo[span]] < records["least"][rec]) | (chunk < 0)
     rec, span, chunk = rec[need], span[need], chunk[need]
-    sure = chunk >= 0  # one document of the chunk has this content: it is said here that it is a later one
-    chunk = np.where(sure, chunk, -chunk - 1)
     check = checks(flat, start, sizes, seed)
-    columns = [records["key"][rec], check[of[rec]], (lo[span] - start[of[rec]]).astype(np.uint8), (hi[span] - start[of[rec]]).astype(np.uint8)]
-    batches = [*packed(chunk[sure], [c[sure] for c in columns], key="chunk"), *packed(chunk[~sure], [c[~sure] for c in (*columns, first[lo[span]])], key="chunk", kind=1)]
-    return pa.Table.from_batches(batches, schema=_ANSWERS).select(["chunk", "payload", "kind"]) if batches else _ANSWERS.empty_table().select(["chunk", "payload", "kind"])
+    return chunk, records["key"][rec], check[of[rec]], (lo[span] - start[of[rec]]).astype(np.uint8), (hi[span] - start[of[rec]]).astype(np.uint8), first[lo[span]]
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary"
@@ -373,7 +425,8 @@ def dedup_bytes(docs: DataFrame, length: int = 50, inner: int = 24) -> DataFrame
         raise ValueError(f"length must lie in inner + 1 .. 2 * inner + 2, and be {LONGEST // 2} at most")
     seed = secrets.randbits(64)
     lean(docs.sparkSession)
-    chunks, nb = n_groups(docs, 4, most=1 << 22), n_groups(docs, 16, most=1 << 22)
+    # each chunk sends a row to each shard and gets one from it: fewer shards, which index their segments in shares
+    chunks, nb, shards = n_groups(docs, 4, most=1 << 22), n_groups(docs, 16, most=1 << 22), n_groups(docs, 4, most=1 << 22)
     rows = with_chunk(docs, chunks)
 
     def pieces(texts):
@@ -424,10 +477,10 @@ def dedup_bytes(docs: DataFrame, length: int = 50, inner: int = 24) -> DataFrame
             records["chunk"] = np.where((doc[final] > doc[head]) | ~sure | (not self.whole), -self.chunk - 1, self.chunk)
             single = (size[head] == length) & told.value.has(short(key[head], nb))
             route = np.where(single, mix64(content[head] ^ _B), mix64(key[head]))
-            yield from _packed((route % np.uint64(nb)).astype(np.int64), records, start[head], x)
+            yield from _packed((route % np.uint64(shards)).astype(np.int64), records, start[head], x)
 
     def answered(t: pa.Table) -> pa.Table:
-        return _shard(t, length, seed)
+        return _shard(t, length, inner, seed)
 
     found = chunkwise(shared, rows, Segments, packed_schema()).groupBy("bucket").applyInArrow(answered, "chunk int, payload binary, kind int")
     found = found.select("chunk", F.concat(F.when(F.col("kind") == 1, F.lit(b"\1")).otherwise(F.lit(b"\0")), "payload").alias("payload"))

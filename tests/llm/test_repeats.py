@@ -198,3 +198,63 @@ def test_hot_keys_are_found(spark, monkeypatch):
     assert 0 < int(np.bitwise_count(hot.bits).sum()) < 20
     got = rlbwt_dedup.dedup_bytes(frame(spark, rows)).select("doc_id", "n_removed").collect()
     assert Counter((r.doc_id, r.n_removed) for r in got) == Counter((i, n) for i, _, n, _, _ in brute_bytes(rows, 50))
+
+
+def test_a_large_shard_is_indexed_in_shares(monkeypatch):
+    """However much comes to a shard, what is sorted together is bounded, and the answers are those of one index."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    known = [rng.integers(97, 123, 400).astype(np.uint8).tobytes() for _ in range(60)]
+    texts = [b"".join(known[k][a : a + 120] for k, a in zip(rng.integers(0, 60, 4), rng.integers(0, 280, 4))) for _ in range(400)]
+    w = rlbwt_dedup.Windows(next(rlbwt_dedup.blocks_of(texts, 50, 1 << 20)), 50, 24)
+    size = w.last - w.first + 50
+    records = np.zeros(len(size), rlbwt_dedup._RECORD)
+    records["key"], records["least"], records["length"], records["chunk"] = w.content(w.first, w.last), w.text, size, w.text % 7 - 3
+    (batch,) = rlbwt_dedup._packed(np.arange(len(size)) % 9, records, w.first, w.x)
+    sizes, real = [], rlbwt_dedup.RunLengthIndex
+
+    def index(segments, *a):
+        sizes.append(len(segments))
+        return real(segments, *a)
+
+    def answers(most):
+        monkeypatch.setattr(rlbwt_dedup, "INDEXED", most)
+        out = set()
+        for chunk, payload, kind in zip(*(c.to_pylist() for c in rlbwt_dedup._shard(pa.table(batch), 50, 24, 5).columns)):
+            types = [np.dtype(t) for t in (np.uint64, np.uint32, np.uint8, np.uint8, np.int64)[: 4 + kind]]
+            n = len(payload) // sum(t.itemsize for t in types)
+            out |= {(chunk, kind, *(int(v) for v in row)) for row in zip(*rlbwt_dedup.unpacked([n], [payload], types))}
+        return out
+
+    monkeypatch.setattr(rlbwt_dedup, "RunLengthIndex", index)
+    whole = answers(1 << 40)
+    assert len(sizes) == 1 and len(whole) > 1000
+    assert answers(1 << 15) == whole
+    assert max(sizes[1:]) <= 1 << 17 < int(size.sum())
+
+
+def test_order_beyond_21_bits():
+    """Three numbers of more than 21 bits don't fit a value: the two sorts give the same order."""
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    text = rng.integers(97, 99, 4000).astype(np.uint8)
+    sizes = np.full(40, 99)
+    ends = np.cumsum(sizes + 1) - 1
+    rest = (np.repeat(ends, sizes + 1) - np.arange(4000)).astype(np.int32)
+    s = np.where(rest == 0, 0, text)
+    orders = []
+    for bits in (12, 31):
+        order, new = rlbwt_dedup.RunLengthIndex._sorted(s.astype(np.int64), 12, np.arange(4000, dtype=np.int32))
+        width = 1
+        while width < 99:
+            rank = np.empty(4000, np.int32)
+            rank[order] = np.cumsum(new, dtype=np.int32)
+            rlbwt_dedup.RunLengthIndex._doubled(order, new, rank, rest, width, bits)
+            width *= 2
+        orders.append((order, new))
+    assert (orders[0][0] == orders[1][0]).all() and (orders[0][1] == orders[1][1]).all()
+    keys = [(bytes(text[i : i + rest[i]]), i) for i in range(4000)]
+    assert orders[0][0].tolist() == sorted(range(4000), key=lambda i: keys[i])
